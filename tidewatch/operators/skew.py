@@ -93,7 +93,7 @@ def _scan(steps: Column, start: Column) -> Column:
 
 def prefix_states(
     steps: DataFrame, keys: list[str], index: str, fn: str, n_states: int,
-    start: Column | int = 0, levels: int = 2, fan: int = FAN,
+    start: int | DataFrame = 0, levels: int = 2, fan: int = FAN,
 ) -> DataFrame:
     """State before each step, as rows ``keys, index, state``.
 
@@ -102,12 +102,17 @@ def prefix_states(
     Steps are folded in blocks of ``fan`` numbers, blocks of blocks, and so on:
     an array never holds more than ``fan`` steps, except at the top, which holds
     ``range / fan**levels``. The per-key work is thus spread over its blocks.
+    ``start`` is one state for all keys or a DataFrame ``keys, _start``, joined at
+    the top where a key has one row; keys it lacks are left out.
     """
-    begin = start if isinstance(start, Column) else F.lit(start)
     item = F.struct(F.col(index).cast("bigint").alias("i"), F.col(fn).alias("fn"))
     if levels == 0:
         chains = steps.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_steps"))
-        scanned = chains.select(*keys, F.inline(_scan(F.col("_steps"), begin)))
+        if isinstance(start, DataFrame):
+            chains = chains.join(start, keys)
+        else:
+            chains = chains.withColumn("_start", F.lit(start))
+        scanned = chains.select(*keys, F.inline(_scan(F.col("_steps"), F.col("_start"))))
         return scanned.withColumnRenamed("i", index)
 
     blocks = (
