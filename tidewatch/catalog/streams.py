@@ -1 +1,95 @@
 """Streaming jobs run over the event table as a bounded stream."""
+
+import uuid
+from datetime import timedelta
+
+from pyspark.sql import functions as F
+
+from tidewatch.catalog.base import ev, EV, failed, query, review_requests
+from tidewatch.catalog.base import REQUESTS
+from tidewatch.catalog.windowed import (
+    ALERT_COLS, CAPPED, CLICKS, FAILURES, FAIL_WALK, FREQUENT, PURCHASES, SESSION_GAP, SESSION_MAX, SESSIONS, bursts,
+)
+from tidewatch.catalog.users import COUNTS_SQL, SPENT_SQL
+from tidewatch.session import ROCKSDB, ensure_checkpoint_dir
+from tidewatch.sources.events import events_std
+from tidewatch.streaming import jobs, stateful
+
+LATE = timedelta(seconds=30)
+PAST = 'WHERE {} <= (SELECT max("timestamp") - INTERVAL 30 SECOND FROM ev)'
+
+
+def _events(spark, folder):
+    # as a pattern the path may be one file or a folder of files
+    return events_std(jobs.table_stream(spark, f"{folder}/events.parque[t]"))
+
+
+def _finished(spark, stream):
+    """Runs the stream over what is there, into a table of its own, and reads the table."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    base = f"{ensure_checkpoint_dir(spark)}/tidewatch-{uuid.uuid4().hex}"
+    schema = stream.schema
+    jobs.append_table(stream, f"{base}/rows", f"{base}/progress", every=None).awaitTermination()
+    return spark.read.schema(schema).parquet(f"{base}/rows")
+
+
+@query("stream_minute_totals", f"""WITH {EV}, w AS (SELECT user_id, date_trunc('minute', "timestamp") AS window_start,
+  date_trunc('minute', "timestamp") + INTERVAL 1 MINUTE AS window_end, {COUNTS_SQL},
+  {SPENT_SQL.format('amount')} AS total_amount, count(DISTINCT session_id) AS unique_sessions FROM ev GROUP BY ALL)
+  SELECT * FROM w {PAST.format('window_end')}""")
+def stream_minute_totals(spark, d):
+    return _finished(spark, jobs.minute_totals_stream(_events(spark, d)))
+
+
+@query("stream_sliding_counts", f"""WITH {EV}, spread AS (
+  SELECT user_id, time_bucket(INTERVAL 1 HOUR, "timestamp") - to_hours(CAST(i AS INTEGER)) AS window_start FROM ev, range(6) r(i)), w AS (
+  SELECT user_id, window_start, window_start + INTERVAL 6 HOUR AS window_end, count(*) AS event_count FROM spread GROUP BY ALL)
+  SELECT * FROM w {PAST.format('window_end')}""")
+def stream_sliding_counts(spark, d):
+    return _finished(spark, jobs.windowed_counts_stream(
+        _events(spark, d), ["user_id"], timedelta(hours=6), timedelta(hours=1)))
+
+
+@query("stream_session_counts", f"""WITH {SESSIONS} SELECT user_id, session_start, session_end, event_count FROM sessions
+  {PAST.format('session_end')}""")
+def stream_session_counts(spark, d):
+    return _finished(spark, jobs.session_counts_stream(_events(spark, d), "user_id", SESSION_GAP))
+
+
+@query("stream_capped_sessions", f"""WITH RECURSIVE {CAPPED} SELECT event_id, user_id,
+  make_timestamp(start_us) AS session_start, is_new AS is_new_session FROM walk""")
+def stream_capped_sessions(spark, d):
+    rows = stateful.session_stream(_events(spark, d), "user_id", SESSION_GAP, SESSION_MAX)
+    return _finished(spark, rows).select("event_id", "user_id", "session_start", "is_new_session")
+
+
+@query("stream_alerts", f"""WITH RECURSIVE {FAIL_WALK}, every AS (
+  {FREQUENT} UNION ALL {CLICKS} UNION ALL {PURCHASES} UNION ALL {FAILURES}) SELECT * FROM every""")
+def stream_alerts(spark, d):
+    rows = stateful.alert_stream(_events(spark, d), bursts(), failed(), 3, timedelta(days=2))
+    return _finished(spark, rows).select(*ALERT_COLS)
+
+
+@query("stream_deduplicated", f"WITH {EV} SELECT event_type, count(*) AS event_count FROM ev GROUP BY event_type")
+def stream_deduplicated(spark, d):
+    rows = _events(spark, d)
+    once = jobs.without_replays(rows.unionByName(rows)).select("event_id", "event_type")
+    return _finished(spark, once).groupBy("event_type").agg(F.count(F.lit(1)).alias("event_count"))
+
+
+@query("stream_order_replay", f"""WITH RECURSIVE {EV}, {REQUESTS} SELECT order_id, seq, status_before, accepted, status_after FROM outcome""")
+def stream_order_replay(spark, d):
+    # only users who bought have an order
+    buyers = ev(spark, d).filter(F.col("event_type") == "purchase").select(F.concat(F.lit("u"), F.col("user_id")).alias("order_id"))
+    done = _finished(spark, stateful.replay_stream(review_requests(_events(spark, d))))
+    return done.join(buyers, "order_id", "left_semi").select("order_id", "seq", "status_before", "accepted", "status_after")
+
+
+@query("stream_event_log", f"""WITH {EV} SELECT strftime("timestamp", '%Y-%m') AS event_month, event_type, count(*) AS event_count FROM ev GROUP BY ALL""")
+def stream_event_log(spark, d):
+    base = f"{ensure_checkpoint_dir(spark)}/tidewatch-{uuid.uuid4().hex}"
+    rows = _events(spark, d).select("event_id", "user_id", "event_type", "timestamp", "session_id", "page_url", "properties")
+    jobs.append_log_stream(rows, f"{base}/log", f"{base}/progress", every=None).awaitTermination()
+    log = spark.read.parquet(f"{base}/log")
+    return log.groupBy(F.col("event_month").cast("string").alias("event_month"), "event_type").agg(
+        F.count(F.lit(1)).alias("event_count"))

@@ -72,7 +72,7 @@ def _code(status: Column) -> Column:
     return (ranked(status, STATUSES) - 1).cast("int")
 
 
-def _reached(action: str, status: str, wanted: str | None) -> str:
+def status_after(action: str, status: str, wanted: str | None) -> str:
     """Status after one request; the same status where it is refused."""
     if action == "assign":
         return "in_review" if status == "pending" else status
@@ -83,7 +83,7 @@ def _reached(action: str, status: str, wanted: str | None) -> str:
 
 def _moves(action: str, wanted: str | None = None) -> list[int]:
     """The request as a map from each status to the next, by position in STATUSES."""
-    return [STATUSES.index(_reached(action, status, wanted)) for status in STATUSES]
+    return [STATUSES.index(status_after(action, status, wanted)) for status in STATUSES]
 
 
 def _step() -> Column:
