@@ -15,7 +15,7 @@ from tidewatch.session import spark_session  # noqa: E402
 
 def main(folder: str, names: list[str]) -> int:
     spark = spark_session("local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g",
     })
     spark.sparkContext.setLogLevel("ERROR")
     con, sql, bad = connect(folder), oracle_sql(), 0

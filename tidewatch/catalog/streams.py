@@ -5,23 +5,21 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from tidewatch.catalog.base import ev, EV, failed, query, review_requests
-from tidewatch.catalog.base import REQUESTS
+from tidewatch.catalog.base import EV, REQUESTS, ev, failed, query, review_requests
+from tidewatch.catalog.users import COUNTS_SQL, SPENT_SQL
 from tidewatch.catalog.windowed import (
-    ALERT_COLS, CAPPED, CLICKS, FAILURES, FAIL_WALK, FREQUENT, PURCHASES, SESSION_GAP, SESSION_MAX, SESSIONS, bursts,
+    ALERT_COLS, CAPPED, CLICKS, FAIL_WALK, FAILURES, FREQUENT, PURCHASES, SESSION_GAP, SESSION_MAX, SESSIONS, bursts,
 )
-from tidewatch.catalog.users import COUNTS_SQL, SPENT_SQL
 from tidewatch.session import ROCKSDB, ensure_checkpoint_dir
-from tidewatch.sources.events import events_std
+from tidewatch.sources.events import BENCH_EVENTS, events_std
 from tidewatch.streaming import jobs, stateful
 
-LATE = timedelta(seconds=30)
 PAST = 'WHERE {} <= (SELECT max("timestamp") - INTERVAL 30 SECOND FROM ev)'
 
 
 def _events(spark, folder):
     # as a pattern the path may be one file or a folder of files
-    return events_std(jobs.table_stream(spark, f"{folder}/events.parque[t]"))
+    return events_std(jobs.table_stream(spark, f"{folder}/events.parque[t]", BENCH_EVENTS))
 
 
 def _finished(spark, stream):

@@ -181,8 +181,9 @@ def failure_bursts(
     """
     width, states = micros(window), threshold
     chosen = failed if failed is not None else login_failed()
-    kept = ["event_id", "user_id", "timestamp"]
-    rows = sliced(events.filter(chosen).select(*kept), F.unix_micros("timestamp"), width, width)
+    # both uses of the rows below need the same columns, so they share one shuffle
+    kept = events.filter(chosen).select("event_id", "user_id", F.unix_micros("timestamp").alias("_at"))
+    rows = sliced(kept, F.col("_at"), width, width).drop("_at")
     in_slice = Window.partitionBy("user_id", "_slice").orderBy("_us", "event_id")
     upto = in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     oldest = F.lag("_us", threshold - 1).over(in_slice)
@@ -221,7 +222,10 @@ def failure_bursts(
     return (
         rows.filter("_dense").join(entry, ["user_id", "_slice"])
         .filter(state == states - 1)
-        .select(*kept, F.lit(threshold).cast("bigint").alias("fail_count"))
+        .select(
+            "event_id", "user_id", F.timestamp_micros("_us").alias("timestamp"),
+            F.lit(threshold).cast("bigint").alias("fail_count"),
+        )
     )
 
 

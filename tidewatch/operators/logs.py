@@ -21,11 +21,14 @@ TREND_RANGES = {
 
 
 def in_range(events: DataFrame, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
-    """Both ends belong to the range."""
+    """Both ends belong to the range; on the stored log, other months are not opened."""
+    by_month = "event_month" in events.columns
     if start is not None:
         events = events.filter(F.col("timestamp") >= F.lit(start))
+        events = events.filter(F.col("event_month") >= start.strftime("%Y-%m")) if by_month else events
     if end is not None:
         events = events.filter(F.col("timestamp") <= F.lit(end))
+        events = events.filter(F.col("event_month") <= end.strftime("%Y-%m")) if by_month else events
     return events
 
 

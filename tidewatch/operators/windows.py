@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from tidewatch.session import ensure_checkpoint_dir
 
 ZERO = timedelta(0)
 HOUR = timedelta(hours=1)
-FOLD_LIMIT = 20_000
+FOLD_LIMIT = 2_000
 
 
 def _spread_window(df: DataFrame, window: Column) -> DataFrame:
@@ -168,49 +167,59 @@ def new_session_flags(events: DataFrame, key: str, timeout: timedelta, **options
     return mark_new_sessions(events, key, timeout, **options).drop("_us", "_slice")
 
 
-def session_windows(
-    events: DataFrame, key: str, timeout: timedelta, sums: tuple[str, ...] = (),
-    ts: str = "timestamp", **options,
-) -> DataFrame:
-    """One row per inactivity session: start, end (last event + timeout), count, sums.
+def _session_parts(
+    flagged: DataFrame, key: str, tie: str, sums: tuple[str, ...]
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``_part``, and the parts: what each session holds of each time slice.
 
-    Sessions are first totalled within time slices; only these partial sessions
-    are put in order per key.
+    Parts carry the session (``_session``, its first instant), its span and its
+    size. Only parts, not events, are put in order per key.
     """
-    flagged = mark_new_sessions(events, key, timeout, ts=ts, **options)
     in_slice = (
-        Window.partitionBy(key, "_slice")
-        .orderBy("_us", F.desc("is_new_session"))
+        Window.partitionBy(key, "_slice").orderBy("_us", tie)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     in_key = (
-        Window.partitionBy(key)
-        .orderBy("_slice", "_part")
+        Window.partitionBy(key).orderBy("_slice", "_part")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    whole = Window.partitionBy(key, "_no")
+    rows = flagged.withColumn("_part", F.sum(F.col("is_new_session").cast("bigint")).over(in_slice))
     parts = (
-        flagged.withColumn("_part", F.sum(F.col("is_new_session").cast("bigint")).over(in_slice))
-        .groupBy(key, "_slice", "_part")
+        rows.groupBy(key, "_slice", "_part")
         .agg(
-            F.min("_us").alias("_first"),
-            F.max("_us").alias("_last"),
-            F.count(F.lit(1)).alias("event_count"),
-            *[F.sum(c).alias(c) for c in sums],
+            F.min("_us").alias("_first"), F.max("_us").alias("_last"),
+            F.count(F.lit(1)).alias("event_count"), *[F.sum(c).alias(c) for c in sums],
         )
+        .withColumn("_no", F.sum((F.col("_part") > 0).cast("bigint")).over(in_key))
+        .withColumn("_session", F.min("_first").over(whole))
+        .withColumn("_span", F.max("_last").over(whole) - F.col("_session"))
+        .withColumn("_n", F.sum("event_count").over(whole))
+        .drop("_no")
     )
+    return rows, parts
+
+
+def _part_totals(parts: DataFrame, key: str, timeout: timedelta, sums: tuple[str, ...]) -> DataFrame:
     return (
-        parts.withColumn("_session", F.sum((F.col("_part") > 0).cast("bigint")).over(in_key))
-        .groupBy(key, "_session")
+        parts.groupBy(key, "_session")
         .agg(
-            F.timestamp_micros(F.min("_first")).alias("session_start"),
             F.timestamp_micros(F.max("_last") + micros(timeout)).alias("session_end"),
-            F.sum("event_count").alias("event_count"),
-            *[F.sum(c).alias(c) for c in sums],
+            F.sum("event_count").alias("event_count"), *[F.sum(c).alias(c) for c in sums],
         )
-        .drop("_session")
+        .select(key, F.timestamp_micros("_session").alias("session_start"), "session_end", "event_count", *sums)
     )
 
 
+def session_windows(
+    events: DataFrame, key: str, timeout: timedelta, sums: tuple[str, ...] = (),
+    ts: str = "timestamp", tie: str = "event_id", **options,
+) -> DataFrame:
+    """One row per inactivity session: start, end (last event + timeout), count, sums."""
+    flagged = mark_new_sessions(events, key, timeout, ts=ts, tie=tie, **options)
+    return _part_totals(_session_parts(flagged, key, tie, sums)[1], key, timeout, sums)
+
+
 def inactive_sessions(sessions: DataFrame, as_of: datetime, threshold: timedelta) -> DataFrame:
     """Sessions whose end lies more than ``threshold`` before ``as_of``."""
     return sessions.filter(
@@ -218,20 +227,28 @@ def inactive_sessions(sessions: DataFrame, as_of: datetime, threshold: timedelta
     )
 
 
-def _starts_by_fold(long: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Later session starts inside islands of bounded size: one ordered pass over times."""
-    times = long.groupBy(*keys).agg(F.array_sort(F.collect_set("_us")).alias("_times"))
-    walked = F.aggregate(
-        "_times",
-        F.struct(
-            F.element_at("_times", 1).alias("start"), F.array().cast("array<bigint>").alias("starts")
-        ),
-        lambda acc, t: F.when(
-            t - acc["start"] > limit,
-            F.struct(t.alias("start"), F.concat(acc["starts"], F.array(t)).alias("starts")),
-        ).otherwise(acc),
+def _walk_by_fold(rows: DataFrame, keys: list[str], limit: int, tie: str) -> DataFrame:
+    """Session starts inside stretches of bounded size: one ordered pass over each."""
+    bare = [c for c in rows.columns if c not in (*keys, "_us", tie, "is_new_session")]
+    item = F.struct("_us", tie, *bare)
+    done = "array<struct<start:bigint,is_new:boolean>>"
+
+    def step(acc: Column, e: Column) -> Column:
+        new = acc["start"].isNull() | (e["_us"] - acc["start"] > limit)
+        start = F.when(new, e["_us"]).otherwise(acc["start"])
+        return F.struct(
+            start.alias("start"),
+            F.concat(acc["out"], F.array(F.struct(start.alias("start"), new.alias("is_new")))).alias("out"),
+        )
+
+    walked = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    first = F.struct(F.lit(None).cast("bigint").alias("start"), F.array().cast(done).alias("out"))
+    marked = F.arrays_zip(
+        F.col("_items").alias("e"), F.aggregate("_items", first, step)["out"].alias("s")
+    )
+    return walked.select(*keys, F.explode(marked).alias("_m")).select(
+        *keys, "_m.e.*", F.col("_m.s.start").alias("_start"), F.col("_m.s.is_new").alias("is_new_session")
     )
-    return times.select(*keys, F.explode(walked["starts"]).alias("_us"))
 
 
 def _starts_by_jumps(long: DataFrame, keys: list[str], limit: int, slice_us: int) -> DataFrame:
@@ -280,6 +297,35 @@ def _starts_by_jumps(long: DataFrame, keys: list[str], limit: int, slice_us: int
     return reached.join(first, keys).filter("_us > _first").drop("_first")
 
 
+def _walk_by_jumps(
+    rows: DataFrame, keys: list[str], limit: int, gap: int, tie: str
+) -> DataFrame:
+    """The same for stretches of any size."""
+    nodes = rows.select(*keys, "_us").withColumn("_gap", F.lit(gap))
+    inner = _starts_by_jumps(nodes, keys, limit, max(limit, gap)).withColumn("_inner", F.lit(True))
+    at_once = Window.partitionBy(*keys, "_slice", "_us").orderBy(F.desc("is_new_session"), tie)
+    marked = (
+        rows.join(inner, [*keys, "_us"], "left")
+        .withColumn("is_new_session", F.col("is_new_session") | (
+            F.coalesce(F.col("_inner"), F.lit(False)) & (F.row_number().over(at_once) == 1)
+        ))
+        .withColumn("_open", F.when(F.col("is_new_session"), F.col("_us")))
+        .drop("_inner")
+    )
+    return carry_forward(marked, keys, ["_us", tie], "_open", "_start").drop("_open")
+
+
+def _walk(rows: DataFrame, keys: list[str], limit: int, gap: int, tie: str, fold_limit: int,
+          crowded: bool) -> DataFrame:
+    """Rows of long stretches with ``_start`` and ``is_new_session``."""
+    small = rows.filter(F.col("_n") <= fold_limit).drop("_n")
+    out = _walk_by_fold(small, keys, limit, tie)
+    if crowded:
+        large = _walk_by_jumps(rows.filter(F.col("_n") > fold_limit).drop("_n"), keys, limit, gap, tie)
+        out = out.unionByName(large)
+    return out
+
+
 def capped_sessions(
     events: DataFrame, key: str, timeout: timedelta, max_length: timedelta,
     ts: str = "timestamp", tie: str = "event_id", fold_limit: int = FOLD_LIMIT, **options,
@@ -287,52 +333,53 @@ def capped_sessions(
     """Events with ``session_start`` and ``is_new_session`` under a length limit.
 
     A session also ends at the first event more than ``max_length`` after its
-    start. Stretches without a gap ("islands") no longer than that are one
-    session; longer ones are walked: in one pass where they hold at most
-    ``fold_limit`` events, by jump doubling where they hold more.
+    start. Stretches without a gap that are no longer than that are one session.
+    Longer ones are walked: in one pass where they hold at most ``fold_limit``
+    events, by jump doubling where they hold more.
     """
-    limit = micros(max_length)
-    flagged = mark_new_sessions(events, key, timeout, ts=ts, tie=tie, **options).withColumn(
-        "_open", F.when(F.col("is_new_session"), F.col("_us"))
-    )
-    islands = carry_forward(flagged, [key], ["_us", F.desc("is_new_session")], "_open", "_island")
-    keys = [key, "_island"]
-    spans = (
-        islands.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), (F.max("_us") - F.min("_us")).alias("_span"))
-        .filter(F.col("_span") > limit)
-    )
-    light = spans.filter(F.col("_n") <= fold_limit).select(*keys)
-    long = islands.select(*keys, "_us")
-    starts = [_starts_by_fold(long.join(light, keys, "left_semi"), keys, limit)]
-    heavy = spans.filter(F.col("_n") > fold_limit).select(*keys)
-    if not heavy.isEmpty():
-        crowded = long.join(heavy, keys, "left_semi").withColumn("_gap", F.lit(micros(timeout)))
-        starts.append(_starts_by_jumps(crowded, keys, limit, max(limit, micros(timeout))))
-    inner = reduce(DataFrame.unionByName, starts).select(key, "_us").withColumn("_inner", F.lit(True))
-    first_of_time = F.row_number().over(
-        Window.partitionBy(key, "_slice", "_us").orderBy(F.desc("is_new_session"), tie)
-    )
-    marked = (
-        islands.join(inner, [key, "_us"], "left")
-        .withColumn("_rank", F.when(F.col("_inner"), first_of_time))
-        .withColumn("is_new_session", F.col("is_new_session") | F.coalesce(F.col("_rank") == 1, F.lit(False)))
-        .withColumn("_open", F.when(F.col("is_new_session"), F.col("_us")))
-    )
-    done = carry_forward(marked, [key], ["_us", F.desc("is_new_session")], "_open", "_start")
-    return done.withColumn("session_start", F.timestamp_micros("_start")).drop(
-        "_us", "_slice", "_open", "_island", "_inner", "_rank", "_start"
+    limit, gap = micros(max_length), micros(timeout)
+    flagged = mark_new_sessions(events, key, timeout, ts=ts, tie=tie, **options)
+    rows, parts = _session_parts(flagged, key, tie, ())
+    crowded = not parts.filter((F.col("_span") > limit) & (F.col("_n") > fold_limit)).isEmpty()
+    placed = rows.join(
+        parts.select(key, "_slice", "_part", "_session", "_span", "_n"), [key, "_slice", "_part"]
+    ).drop("_part")
+    short = placed.filter(F.col("_span") <= limit).withColumn("_start", F.col("_session"))
+    long = placed.filter(F.col("_span") > limit).drop("_span")
+    walked = _walk(long, [key, "_session"], limit, gap, tie, fold_limit, crowded)
+    return (
+        short.drop("_span", "_n").unionByName(walked)
+        .withColumn("session_start", F.timestamp_micros("_start"))
+        .drop("_us", "_slice", "_session", "_start")
     )
 
 
 def capped_session_windows(
     events: DataFrame, key: str, timeout: timedelta, max_length: timedelta,
-    sums: tuple[str, ...] = (), ts: str = "timestamp", **options,
+    sums: tuple[str, ...] = (), ts: str = "timestamp", tie: str = "event_id",
+    fold_limit: int = FOLD_LIMIT, **options,
 ) -> DataFrame:
-    """One row per session under a length limit."""
-    rows = capped_sessions(events, key, timeout, max_length, ts=ts, **options)
-    return rows.groupBy(key, "session_start").agg(
-        F.timestamp_micros(F.max(F.unix_micros(ts)) + micros(timeout)).alias("session_end"),
-        F.count(F.lit(1)).alias("event_count"),
-        *[F.sum(c).alias(c) for c in sums],
+    """One row per session under a length limit.
+
+    Short stretches are totalled from their parts; only the events of long ones,
+    whose parts are kept aside, are looked at one by one.
+    """
+    limit, gap = micros(max_length), micros(timeout)
+    ensure_checkpoint_dir(events.sparkSession)
+    slim = events.select(*dict.fromkeys([key, ts, tie, *sums]))
+    flagged = mark_new_sessions(slim, key, timeout, ts=ts, tie=tie, **options)
+    rows, parts = _session_parts(flagged, key, tie, sums)
+    long = (
+        parts.filter(F.col("_span") > limit).select(key, "_slice", "_part", "_session", "_n").checkpoint()
+    )
+    crowded = not long.filter(F.col("_n") > fold_limit).isEmpty()
+    stretch = rows.join(long, [key, "_slice", "_part"]).select(
+        key, "_session", "_us", tie, "is_new_session", "_slice", "_n", *[c for c in sums if c != tie]
+    )
+    walked = _walk(stretch, [key, "_session"], limit, gap, tie, fold_limit, crowded)
+    capped = walked.select(
+        key, F.col("_start").alias("_session"), F.col("_us").alias("_last"),
+        F.lit(1).cast("bigint").alias("event_count"), *sums,
     )
+    short = parts.filter(F.col("_span") <= limit).select(key, "_session", "_last", "event_count", *sums)
+    return _part_totals(short.unionByName(capped), key, timeout, sums)

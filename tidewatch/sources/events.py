@@ -126,6 +126,14 @@ def retained(events: DataFrame, as_of: date, days: int = RETENTION_DAYS) -> Data
     return kept
 
 
+# the benchmark table; its zone-less instants are read as UTC instants, without a cast in the way of filters
+BENCH_EVENTS = T.StructType([
+    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()),
+    T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()),
+    T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
+])
+
+
 def events_std(table: DataFrame) -> DataFrame:
     """The benchmark event table in the shape of this package's events."""
     item = F.get_json_object("props", "$.k")
@@ -148,4 +156,4 @@ def events_std(table: DataFrame) -> DataFrame:
 
 
 def load_events(spark: SparkSession, folder: str) -> DataFrame:
-    return events_std(spark.read.parquet(f"{folder}/events.parquet"))
+    return events_std(spark.read.schema(BENCH_EVENTS).parquet(f"{folder}/events.parquet"))

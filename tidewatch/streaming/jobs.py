@@ -8,6 +8,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from tidewatch.functions.timeutil import interval_text
 from tidewatch.operators.stats import _spent, session_key, type_count_columns
@@ -32,9 +33,9 @@ def event_stream(messages: DataFrame) -> DataFrame:
     return valid_events(parse_messages(messages))
 
 
-def table_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """A parquet folder as a stream, with the columns it has now."""
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+def table_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
+    """A parquet folder as a stream."""
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(path)

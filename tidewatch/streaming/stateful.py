@@ -45,7 +45,7 @@ class TrailingCounter(_Ordered):
 
     State is the instants still inside the window. With ``reset`` the instants
     are cleared as soon as their number reaches the limit, which is reported.
-    A timer drops the state of keys that stay silent for a window.
+    A timer, one per key with state, drops what a silent key has left.
     """
 
     def __init__(self, windows: dict[int, int], limits: dict[int, int]):
@@ -78,8 +78,12 @@ class TrailingCounter(_Ordered):
                 every = np.sort(np.concatenate([old, new]))
             left = every[every > every[-1] - width]
             hits = counts > limit
-        self.kept.put([(int(t),) for t in left]) if len(left) else self.kept.clear()
-        self._set_timer(int(max(new[-1], old[-1] if len(old) else new[-1])) + width)
+        if len(left):
+            self.kept.put([(int(t),) for t in left])
+            if not len(old):
+                self.handle.registerTimer((int(left[-1]) + width) // 1000 + 1)
+        elif len(old):
+            self.kept.clear()
         if hits.any():
             out = batch.loc[hits, ["event_id", "us"]].copy()
             out.insert(0, "user_id", key[0])
@@ -98,13 +102,15 @@ class TrailingCounter(_Ordered):
                 recent = []
         return counts, np.array(recent, dtype=np.int64)
 
-    def _set_timer(self, until_us: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(until_us // 1000 + 1)
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.kept.clear()
+        width = self.windows[int(key[1])]
+        latest = max((r[0] for r in self.kept.get()), default=None)
+        if latest is not None:
+            until = (latest + width) // 1000 + 1
+            if until > timerValues.getCurrentWatermarkInMs():
+                self.handle.registerTimer(until)
+            else:
+                self.kept.clear()
         return iter([])
 
 
@@ -185,13 +191,12 @@ class CappedSessions(_Ordered):
             last = t if new else max(last, t)
             starts.append(first)
             flags.append(new)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if last is None:
-            self.session.clear()
-        else:
+        if last is not None:
             self.session.update((int(first), int(last)))
-            self.handle.registerTimer((int(last) + self.timeout_us) // 1000 + 1)
+            if known is None:
+                self.handle.registerTimer((int(last) + self.timeout_us) // 1000 + 1)
+        elif known is not None:
+            self.session.clear()
         out = batch[["event_id", "us"]].copy()
         out.insert(0, "key", key[0])
         out["start_us"] = pd.array(starts, dtype="Int64")
@@ -199,7 +204,13 @@ class CappedSessions(_Ordered):
         yield out[out["start_us"].notna()]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.session.clear()
+        known = self.session.get()
+        if known is not None:
+            until = (known[1] + self.timeout_us) // 1000 + 1
+            if until > timerValues.getCurrentWatermarkInMs():
+                self.handle.registerTimer(until)
+            else:
+                self.session.clear()
         return iter([])
 
 
