@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 NUMBERS = ("bool", "int", "float")
 SEQUENCES = ("list", "tuple", "set")
+REPEAT_LIMIT = 1 << 22
 # The variables conditions are checked against when no schema is given.
 SAMPLE_SCHEMA = T.StructType([
     T.StructField("user_id", T.StringType()),
@@ -49,8 +50,10 @@ class Undefined(Exception):
 class Value:
     """One typed column.
 
-    ``ok`` is null-free; None means always valid. ``items`` are the parts of a
-    literal sequence or dict, ``literal`` the value of a constant.
+    ``ok`` is null-free; None means always valid. A ``strict`` value is valid
+    only where it is not null: arithmetic hands on the null of whatever failed,
+    so a long formula needs a single check. ``items`` are the parts of a literal
+    sequence or dict, ``literal`` the value of a constant.
     """
 
     kind: str
@@ -60,6 +63,7 @@ class Value:
     items: list | None = None
     nullable: bool = False
     literal: object = None
+    strict: bool = False
 
     def missing(self) -> Column:
         if self.kind == "none":
@@ -330,52 +334,58 @@ def _arithmetic(op: ast.operator, a: Value, b: Value) -> Value:
             raise Undefined("lists of different types")
         return Value(a.kind, F.concat(x.col, y.col), _present(x, y), x.of, nullable=True)
     if name is ast.Mult:
-        text, times = (a, b) if a.kind not in NUMBERS else (b, a)
-        if text.kind == "str" and times.kind in ("bool", "int"):
-            count = F.greatest(_as_int(times), F.lit(0)).cast("int")
-            return Value("str", F.repeat(text.col, count), _present(a, b), T.StringType(), nullable=True)
+        body, times = (a, b) if a.kind not in NUMBERS else (b, a)
+        if body.kind in ("str", "list", "tuple") and times.kind in ("bool", "int"):
+            return _repeated(_materialised(body), times)
     raise Undefined(f"unsupported operands: {a.kind}, {b.kind}")
 
 
+def _repeated(body: Value, times: Value) -> Value:
+    """Text or a list several times over; a result too long to hold is an error."""
+    count = F.greatest(_as_int(times), F.lit(0).cast("bigint"))
+    size = (F.length(body.col) if body.kind == "str" else F.size(body.col)).cast("double")
+    fits = _sure(size * count.cast("double") <= REPEAT_LIMIT)
+    # an empty body stays empty however often it is repeated
+    often = F.when(fits, F.least(count, F.lit(REPEAT_LIMIT).cast("bigint")).cast("int")).otherwise(F.lit(0))
+    often = F.when(size == 0, F.lit(1)).otherwise(often)
+    col = F.repeat(body.col, often) if body.kind == "str" else F.flatten(F.array_repeat(body.col, often))
+    return Value(body.kind, col, _both(_present(body, times), fits), body.of, nullable=True)
+
+
 def _numeric(name: type, a: Value, b: Value) -> Value:
+    """Null where an operand is None or the operation fails; beyond 64 bits a whole
+    number fails too."""
     kind, x, y = _pair(a, b)
-    ok = _present(a, b)
     if name in (ast.Add, ast.Sub, ast.Mult):
         if kind == "int":
             run = {ast.Add: F.try_add, ast.Sub: F.try_subtract, ast.Mult: F.try_multiply}[name]
-            col = run(x, y)
-            # a result beyond 64 bits counts as an error
-            return Value("int", col, _both(ok, col.isNotNull()), nullable=True)
-        run = {ast.Add: Column.__add__, ast.Sub: Column.__sub__, ast.Mult: Column.__mul__}[name]
-        return Value("float", run(x, y), ok, nullable=True)
+        else:
+            run = {ast.Add: Column.__add__, ast.Sub: Column.__sub__, ast.Mult: Column.__mul__}[name]
+        return Value(kind, run(x, y), strict=True)
     if name is ast.Div:
-        divisor = F.nullif(_as_float(b), F.lit(0.0))
-        return Value("float", _as_float(a) / divisor, _both(ok, divisor.isNotNull()), nullable=True)
+        return Value("float", _as_float(a) / F.nullif(_as_float(b), F.lit(0.0)), strict=True)
     if name in (ast.FloorDiv, ast.Mod):
         divisor = F.nullif(y, F.lit(0).cast("bigint") if kind == "int" else F.lit(0.0))
         rest = _modulo(x, divisor)
-        good = _both(ok, divisor.isNotNull())
         if name is ast.Mod:
-            return Value(kind, rest, good, nullable=True)
+            return Value(kind, rest, strict=True)
         if kind == "int":
             whole = F.when(divisor == -1, F.try_subtract(F.lit(0).cast("bigint"), x)).otherwise(
                 F.call_function("div", F.try_subtract(x, rest), divisor)
             )
-            return Value("int", whole, _both(good, whole.isNotNull()), nullable=True)
-        return Value("float", F.rint((x - rest) / divisor), good, nullable=True)
+            return Value("int", whole, strict=True)
+        return Value("float", F.rint((x - rest) / divisor), strict=True)
     if name is ast.Pow:
         p, q = _as_float(a), _as_float(b)
-        power = F.pow(p, q)
         # 0 to a negative power fails; a root of a negative number is not real
-        good = _both(ok, _sure(~((p == 0) & (q < 0)) & ~((p < 0) & (q != F.rint(q)))))
-        if kind == "int":
-            whole = F.when(q >= 0, power.try_cast("bigint"))
-            exact = F.when(F.abs(power) <= F.lit(2.0**53), whole)
-            # Python gives an int for exponents from 0 on; large ones stay doubles here
-            if isinstance(b.literal, int) and b.literal >= 0:
-                return Value("int", exact, _both(good, exact.isNotNull()), nullable=True)
-            return Value("float", power, good, nullable=True)
-        return Value("float", power, _both(good, _sure(F.abs(power) != float("inf"))), nullable=True)
+        real = ~((p == 0) & (q < 0)) & ~((p < 0) & (q != F.rint(q)))
+        power = F.when(real, F.pow(p, q))
+        if kind == "int" and isinstance(b.literal, int) and b.literal >= 0:
+            # whole as long as a double holds it exactly
+            return Value("int", F.when(F.abs(power) <= 2.0**53, power.try_cast("bigint")), strict=True)
+        if kind == "float":
+            power = F.when(F.abs(power) != float("inf"), power)
+        return Value("float", power, strict=True)
     raise Undefined(f"unsupported operator: {name.__name__}")
 
 
@@ -383,9 +393,13 @@ def _negate(v: Value) -> Value:
     if v.kind not in NUMBERS:
         raise Undefined(f"bad operand for unary -: {v.kind}")
     if v.kind == "float":
-        return Value("float", -v.col, _present(v), nullable=True)
-    col = F.try_subtract(F.lit(0).cast("bigint"), _as_int(v))
-    return Value("int", col, _both(_present(v), col.isNotNull()), nullable=True)
+        return Value("float", -v.col, strict=True)
+    return Value("int", F.try_subtract(F.lit(0).cast("bigint"), _as_int(v)), strict=True)
+
+
+def _settled(v: Value) -> Value:
+    """The value with its null check spelled out."""
+    return replace(v, ok=_both(v.ok, v.col.isNotNull()), strict=False) if v.strict else v
 
 
 # --- containers and functions -----------------------------------------------
@@ -435,7 +449,8 @@ def _pick(box: Value, key: Value) -> Alternatives:
         at, size = _as_int(key), F.length(box.col)
         place = F.when(at < 0, at + size).otherwise(at)
         ok = _both(_present(box, key), _sure((place >= 0) & (place < size)))
-        return [(None, Value("str", F.substring(box.col, place.cast("int") + 1, F.lit(1)), ok, nullable=True))]
+        spot = F.when(ok, place.cast("int") + 1)
+        return [(None, Value("str", F.substring(box.col, spot, F.lit(1)), ok, nullable=True))]
     if box.kind == "dict":
         if box.items is not None:
             chosen, taken = [], F.lit(False)
@@ -651,9 +666,8 @@ def _call(name: str, args: list[Value]) -> Value:
             raise Undefined(f"abs of {v.kind}")
         if v.kind == "float":
             return Value("float", F.abs(v.col), _present(v), nullable=True)
-        negative = _negate(v)
-        size = F.when(_as_int(v) < 0, negative.col).otherwise(_as_int(v))
-        return Value("int", size, _both(_present(v), size.isNotNull()), nullable=True)
+        size = F.when(_as_int(v) < 0, _negate(v).col).otherwise(_as_int(v))
+        return Value("int", size, strict=True)
     if name in ("any", "all"):
         return _any_all(v, name == "all")
     if name == "set":
@@ -712,8 +726,13 @@ class Condition:
             self.problem = self.problem or str(error)
             return [(None, _never())]
 
-    def _over(self, run: Callable[..., Value | Alternatives], *operands: Alternatives) -> Alternatives:
-        """Applies ``run`` to every combination of alternatives; operands must be valid."""
+    def _over(
+        self, run: Callable[..., Value | Alternatives], *operands: Alternatives, passes_null: bool = False
+    ) -> Alternatives:
+        """Applies ``run`` to every combination of alternatives; operands must be valid.
+
+        With ``passes_null`` the result of ``run`` is null where an operand is.
+        """
         combos: list[tuple[Column | None, list[Value]]] = [(None, [])]
         for alternatives in operands:
             combos = [
@@ -721,18 +740,21 @@ class Condition:
             ]
         out: Alternatives = []
         for guard, values in combos:
+            settled = [_settled(v) for v in values]
             try:
-                got = run(*values)
+                got = run(*(values if passes_null else settled))
             except Undefined as error:
                 self.problem = self.problem or str(error)
                 got = _never()
-            ok = _both(*[v.ok for v in values])
+            absorbed = passes_null and isinstance(got, Value) and got.strict
+            ok = _both(*[v.ok for v in (values if absorbed else settled)])
             for g, v in got if isinstance(got, list) else [(None, got)]:
                 out.append((_both(guard, g), replace(v, ok=_both(ok, v.ok))))
         return _merged(out)
 
     def _flag(self, alternatives: Alternatives) -> tuple[Column, Column | None]:
         """Truth and validity of a value, whatever its type."""
+        alternatives = [(g, _settled(v)) for g, v in alternatives]
         if len(alternatives) == 1 and alternatives[0][0] is None:
             value = alternatives[0][1]
             return _truth(value), value.ok
@@ -750,13 +772,14 @@ class Condition:
             return [(None, _of_column(F.col(name), self._types[node.id]))]
         if isinstance(node, ast.BinOp):
             return self._over(
-                lambda a, b: _arithmetic(node.op, a, b), self._any(node.left), self._any(node.right)
+                lambda a, b: _arithmetic(node.op, a, b), self._any(node.left), self._any(node.right),
+                passes_null=True,
             )
         if isinstance(node, ast.UnaryOp):
             if isinstance(node.op, ast.Not):
                 truth, valid = self._flag(self._any(node.operand))
                 return [(None, Value("bool", ~truth, valid))]
-            return self._over(lambda v: _signed(node.op, v), self._any(node.operand))
+            return self._over(lambda v: _signed(node.op, v), self._any(node.operand), passes_null=True)
         if isinstance(node, ast.Compare):
             return self._compare(node)
         if isinstance(node, ast.BoolOp):
@@ -771,7 +794,7 @@ class Condition:
             return _merged([
                 (_both(side, guard), replace(v, ok=_both(valid, v.ok), literal=None))
                 for branch, side in ((node.body, test), (node.orelse, ~test))
-                for guard, v in self._any(branch)
+                for guard, v in ((g, _settled(v)) for g, v in self._any(branch))
             ])
         if isinstance(node, (ast.List, ast.Tuple)):
             kind = "list" if isinstance(node, ast.List) else "tuple"
@@ -824,6 +847,7 @@ def _merged(alternatives: Alternatives) -> Alternatives:
     """Alternatives of one plain type as a single value; others stay apart."""
     if len(alternatives) == 1:
         return alternatives
+    alternatives = [(g, _settled(v)) for g, v in alternatives]
     kinds = {v.kind for _, v in alternatives} - {"none"}
     plain = all(v.items is None for _, v in alternatives)
     if len(kinds) == 1 and plain and (kind := kinds.pop()) in ("bool", "int", "float", "str"):
@@ -851,9 +875,7 @@ def _signed(op: ast.unaryop, v: Value) -> Value:
         return _negate(v)
     if not isinstance(op, ast.UAdd) or v.kind not in NUMBERS:
         raise Undefined(f"unsupported operator: {type(op).__name__} on {v.kind}")
-    if v.kind == "float":
-        return replace(v, ok=_present(v))
-    return Value("int", _as_int(v), _present(v), nullable=True)
+    return Value(v.kind, v.col, strict=True) if v.kind == "float" else Value("int", _as_int(v), strict=True)
 
 
 def _test(op: ast.cmpop, a: Value, b: Value) -> Value:

@@ -21,6 +21,8 @@ def spark_session(master: str | None = None, app: str = "tidewatch", **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # no stack trace per column expression: conditions are made of many
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # the form of instants whose file statistics filters can use
         "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
