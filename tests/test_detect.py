@@ -131,7 +131,5 @@ def test_all_alerts_and_one_shuffle(spark):
     rows = burst(21, "click", timedelta(milliseconds=100)) + burst(5, "login", SEC, '{"status": "fail"}')
     got = kinds(detect.all_alerts(frame(spark, rows)))
     assert got == [("rapid_click", "click0020"), ("login_failure_brute_force", "login0004")]
-    plan = detect.burst_alerts(frame(spark, rows))._jdf.queryExecution().sparkPlan().toString()
-    exchanges = spark._jvm.org.apache.spark.sql.execution.exchange  # noqa: F841 - loads the package
-    executed = detect.burst_alerts(frame(spark, rows))._jdf.queryExecution().executedPlan().toString()
-    assert executed.count("Exchange hashpartitioning") == 1 and "user_id" in plan
+    plan = detect.burst_alerts(frame(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

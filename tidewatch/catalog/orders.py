@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.base import (
-    AS_OF, EV, HITS, MID, ORDERS, REQUESTS, TAGS, ev, query, review_orders, review_requests, tag_changes,
+    EV, HITS, MID, ORDERS, REQUESTS, TAGS, ev, query, review_orders, review_requests, tag_changes,
     user_orders,
 )
 from tidewatch.catalog.users import matches

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,7 +75,8 @@ def login_failed() -> Column:
 def trailing_counts(
     events: DataFrame, bursts: list[Burst], slice_width: timedelta | None = None
 ) -> DataFrame:
-    """Adds one column ``_n<i>`` per detector: flagged events in the trailing window.
+    """Flagged events in the trailing window of each detector, as columns ``_n<i>``
+    next to ``event_id``, ``user_id``, ``timestamp`` and the detectors' own columns.
 
     One shuffle by (user, time slice) serves all detectors. An event is copied
     to the next slice only if a window it counts for reaches over the edge.
@@ -82,12 +84,15 @@ def trailing_counts(
     crowded stretch of one user over more tasks at the price of more copies.
     """
     width = micros(slice_width) if slice_width else max(micros(b.window) for b in bursts)
-    marked, reach = events, F.lit(0).cast("bigint")
+    flags = [b.flag.cast("int").alias(f"_f{i}") for i, b in enumerate(bursts)]
+    # what only some events are counted by is not carried along with the others
+    own = {b.by: F.when(b.flag, F.col(b.by)).alias(b.by) for b in bursts if b.by}
+    marked = events.select("event_id", "user_id", F.unix_micros("timestamp").alias("_at"), *own.values(), *flags)
+    reach = F.lit(0).cast("bigint")
     for i, burst in enumerate(bursts):
-        marked = marked.withColumn(f"_f{i}", burst.flag.cast("int"))
         reach = F.greatest(reach, F.when(F.col(f"_f{i}") == 1, F.lit(micros(burst.window))))
-    rows = sliced(marked.withColumn("_reach", reach).filter("_reach > 0"),
-                  F.unix_micros("timestamp"), width, F.col("_reach"))
+    rows = sliced(marked.withColumn("_reach", reach).filter("_reach > 0"), F.col("_at"), width, F.col("_reach"))
+    rows = rows.drop("_at", "_reach")
     for i, burst in sorted(enumerate(bursts), key=lambda p: p[1].by is not None):
         keys = ["user_id", "_slice", *([burst.by] if burst.by else [])]
         upto = (
@@ -102,9 +107,8 @@ def trailing_counts(
         rows = rows.withColumn(
             f"_n{i}", F.when(flag == 1, F.sum(flag).over(upto) - F.coalesce(F.sum(flag).over(past), F.lit(0)))
         )
-    return rows.filter("_own").drop(
-        "_reach", "_own", "_us", "_slice", *[f"_f{i}" for i in range(len(bursts))]
-    )
+    counted = rows.filter("_own").withColumn("timestamp", F.timestamp_micros("_us"))
+    return counted.drop("_own", "_us", "_slice", *[f"_f{i}" for i in range(len(bursts))])
 
 
 def _alert(alert_type: str, severity: str, message: Column, data: list[Column]) -> Column:
@@ -146,19 +150,13 @@ def burst_alerts(
 ) -> DataFrame:
     """Alerts of the count detectors: one per event over its limit."""
     bursts = bursts if bursts is not None else default_bursts()
-    columns = ["event_id", "user_id", "timestamp", *{b.by for b in bursts if b.by}]
-    counted = trailing_counts(
-        events.select(*columns, *[c for c in ("event_type",) if c in events.columns]),
-        bursts, slice_width,
-    )
+    counted = trailing_counts(events, bursts, slice_width)
     hits = F.array(*[
         F.when(F.col(f"_n{i}") > b.threshold, burst_alert(b, F.col(f"_n{i}")))
         for i, b in enumerate(bursts)
     ])
     over = [F.col(f"_n{i}") > b.threshold for i, b in enumerate(bursts)]
-    anything = over[0]
-    for condition in over[1:]:
-        anything = F.coalesce(anything, F.lit(False)) | F.coalesce(condition, F.lit(False))
+    anything = reduce(Column.__or__, [F.coalesce(c, F.lit(False)) for c in over])
     found = counted.filter(anything).withColumn(
         "_alert", F.explode(F.filter(hits, lambda a: a.isNotNull()))
     )

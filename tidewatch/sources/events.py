@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tidewatch import schema
 
 RETENTION_DAYS = 90
+EPOCH_SECONDS_MAX = 20_000_000_000
 LOG_KEYS = ("event_date", "event_type", "timestamp", "event_id")
 
 # message fields as they arrive: the instant as text, the open part as JSON
@@ -36,7 +37,7 @@ def parse_messages(messages: DataFrame, value: str = "value") -> DataFrame:
         body, _MESSAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     )
     rows = messages.select(body.alias("_raw"), parsed.alias("_m")).select("_raw", "_m.*")
-    at = F.try_to_timestamp(F.col("timestamp"))
+    at = _moment(F.col("timestamp"))
     properties = F.coalesce(F.col("properties"), F.lit("{}"))
     # ids are random where the producer gave none; a digest keeps replays stable
     event_id = F.coalesce(F.col("event_id"), F.sha2(F.col("_raw"), 256))
@@ -47,7 +48,7 @@ def parse_messages(messages: DataFrame, value: str = "value") -> DataFrame:
         "user_id", "event_type", seen.alias("timestamp"),
         "session_id", "page_url", "referrer", "user_agent", "ip_address",
         properties.alias("properties"),
-        F.when(F.col("_corrupt").isNotNull() | F.col("_raw").isNull(), F.lit("malformed"))
+        F.when(F.col("_corrupt").isNotNull() | (F.coalesce(F.trim("_raw"), F.lit("")) == ""), F.lit("malformed"))
         .when(F.col("user_id").isNull(), F.lit("missing user_id"))
         .when(~_known_type(F.col("event_type")), F.lit("unknown event_type"))
         .when(seen.isNull(), F.lit("bad timestamp"))
@@ -57,6 +58,14 @@ def parse_messages(messages: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
+def _moment(text: Column) -> Column:
+    """ISO text, or a number of seconds (of milliseconds, where it is too large for seconds)."""
+    number = text.try_cast("double")
+    seconds = F.when(F.abs(number) > EPOCH_SECONDS_MAX, number / 1000).otherwise(number)
+    instant = F.when(F.abs(seconds) < EPOCH_SECONDS_MAX, F.timestamp_micros((seconds * 1_000_000).cast("bigint")))
+    return F.when(number.isNotNull(), instant).otherwise(F.try_to_timestamp(text))
+
+
 def _known_type(event_type: Column) -> Column:
     return F.coalesce(event_type.isin(*schema.EVENT_TYPES), F.lit(False))
 
