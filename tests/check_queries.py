@@ -4,19 +4,23 @@ import os
 import sys
 import time
 
+from pyspark.sql import SparkSession
+
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from oracle import connect, difference  # noqa: E402
 
 from __spark_entry__ import oracle_sql, queries  # noqa: E402
-from tidewatch.session import spark_session  # noqa: E402
 
 
 def main(folder: str, names: list[str]) -> int:
-    spark = spark_session("local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g",
-    })
+    # a plain session: the queries must not lean on settings of ours
+    spark = (
+        SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.driver.memory", "8g").getOrCreate()
+    )
     spark.sparkContext.setLogLevel("ERROR")
     con, sql, bad = connect(folder), oracle_sql(), 0
     for name, run in queries().items():
