@@ -32,7 +32,15 @@ def test_prefix_states_with_own_starts(spark):
     df = spark.createDataFrame([("a", 1, [1, 0]), ("a", 2, [1, 0]), ("z", 1, [0, 0])], "k string, i bigint, fn array<int>")
     starts = spark.createDataFrame([("a", 1)], "k string, _start int")
     got = skew.prefix_states(df, ["k"], "i", "fn", 2, start=starts).collect()
-    assert {(r["k"], r["i"]): r["state"] for r in got} == {("a", 1): 1, ("a", 2): 0}
+    assert {(r["k"], r["i"]): r["state"] for r in got} == {("a", 1): 1, ("a", 2): 0, ("z", 1): None}
+
+
+@pytest.mark.parametrize("light", [2, 100])
+def test_ordered_states_carry_their_rows(spark, light):
+    rows = [("a", i, [1, 2, 0], f"a{i}") for i in range(9)] + [("b", 5, [0, 0, 0], "b5")]
+    df = spark.createDataFrame(rows, "k string, i bigint, fn array<int>, name string")
+    got = skew.ordered_states(df, ["k"], "i", "fn", 3, carry=["name"], light=light, fan=2).collect()
+    assert {r["name"]: r["state"] for r in got} == {**{f"a{i}": i % 3 for i in range(9)}, "b5": 0}
 
 
 def test_sliced_and_carried(spark):

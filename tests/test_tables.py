@@ -255,7 +255,8 @@ def plain_replay(requests):
     return order, out
 
 
-def test_replay_equals_loop(spark):
+@pytest.mark.parametrize("light", [1000, 50])
+def test_replay_equals_loop(spark, light):
     rnd = random.Random(3)
     requests = []
     for order, n in (("hot", 700), ("b", 12), ("c", 1)):
@@ -268,7 +269,7 @@ def test_replay_equals_loop(spark):
         spark.createDataFrame([("hot",), ("b",), ("c",), ("quiet",)], "id string"), F.lit("u"), F.lit("r"), F.lit("{}"),
         F.lit("HIGH"), F.lit(T0), order_key=F.col("id"),
     )
-    done = audit.replay(orders, frame).collect()
+    done = audit.replay(orders, frame, light).collect()
     after = {r["id"]: r for r in audit.apply_requests(orders, frame).collect()}
     for order in ("hot", "b", "c"):
         final, outcome = plain_replay([r for r in requests if r[0] == order])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewatch import schema
 from tidewatch.functions.values import ranked
 from tidewatch.operators.logs import page
-from tidewatch.operators.skew import prefix_states
+from tidewatch.operators.skew import LIGHT, ordered_states
 
 # Which status may follow which.
 TRANSITIONS = {
@@ -100,27 +100,27 @@ def _step() -> Column:
     return step.otherwise(codes(_moves("review")))
 
 
-def replay(orders: DataFrame, requests: DataFrame) -> DataFrame:
+def replay(orders: DataFrame, requests: DataFrame, light: int = LIGHT) -> DataFrame:
     """Each request with ``status_before``, ``accepted`` and ``status_after``.
 
-    Requests of an order apply by ``seq`` (unique within the order, best without
-    large holes). Whether one is accepted depends on the status alone, which has
-    five values, so stretches of requests are folded into status-to-status maps
-    in parallel. Requests for unknown orders are refused: their status is null.
+    Requests of an order apply by ``seq`` (unique within the order). Whether one
+    is accepted depends on the status alone, which has five values; so the many
+    requests of a crowded order (more than ``light``) are folded block by block
+    into status-to-status maps. Requests for unknown orders are refused: their
+    status is null.
     """
     start = orders.select(F.col("id").alias("order_id"), _code(F.col("status")).alias("_start"))
-    steps = requests.withColumn("_fn", _step())
-    states = prefix_states(
-        steps.select("order_id", "seq", "_fn"), ["order_id"], "seq", "_fn", len(STATUSES), start
+    rest = [c for c in requests.columns if c not in ("order_id", "seq")]
+    states = ordered_states(
+        requests.withColumn("_fn", _step()), ["order_id"], "seq", "_fn", len(STATUSES), start, rest, light
     )
     names = F.array(*[F.lit(s) for s in STATUSES])
     before = F.get(names, F.col("state"))
-    after = F.get(names, F.get(F.col("_fn"), F.col("state")))
-    wanted_same = F.coalesce(before != after, F.lit(False))
-    return steps.join(states, ["order_id", "seq"], "left").select(
+    after = F.get(names, F.get(_step(), F.col("state")))
+    return states.select(
         *requests.columns,
         before.alias("status_before"),
-        wanted_same.alias("accepted"),
+        F.coalesce(before != after, F.lit(False)).alias("accepted"),
         after.alias("status_after"),
     )
 

@@ -200,7 +200,11 @@ def failure_bursts(
             F.collect_list(F.when(F.col("_pos") <= head_len, F.struct("_pos", "_dense")))
         ).alias("_head"),
         F.count(F.lit(1)).alias("_size"),
+        F.max("_dense").alias("_any"),
     )
+    # only users with a dense event somewhere can alert
+    anywhere = F.max("_any").over(Window.partitionBy("user_id"))
+    slices = slices.withColumn("_any", anywhere).filter("_any").drop("_any")
     rest = F.greatest(F.col("_size") - head_len, F.lit(0)).cast("int")
     after_head = F.aggregate(
         "_head", identity(states), lambda acc, e: F.transform(acc, lambda s: step(s, e["_dense"]))

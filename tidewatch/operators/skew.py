@@ -6,7 +6,8 @@ slice edge as small per-slice summaries:
 
 * ``sliced`` copies a row into the later slices whose look-back reaches it;
 * ``carry_forward`` fills the latest value of a key across slices;
-* ``prefix_states`` gives the state of a finite automaton before each step.
+* ``prefix_states`` and ``ordered_states`` give the state of a finite automaton
+  before each step.
 """
 
 from __future__ import annotations
@@ -15,8 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.timeutil import floor_div
+from tidewatch.session import ensure_checkpoint_dir
 
 FAN = 256
+LIGHT = 1024
+BROADCAST_KEYS = 100_000
 
 
 def sliced(rows: DataFrame, at: Column, slice_us: int, reach: Column | int = 0) -> DataFrame:
@@ -75,27 +79,29 @@ def identity(n_states: int) -> Column:
     return F.array(*[F.lit(s) for s in range(n_states)])
 
 
-def _scan(steps: Column, start: Column) -> Column:
-    """``struct(i, state)`` with the state before each step of a sorted bounded array."""
-    out = F.array().cast("array<struct<i:bigint,state:int>>")
-    walked = F.aggregate(
+def _scan(steps: Column, start: Column, carry: list[str]) -> Column:
+    """``struct(i, state, carry...)`` for a sorted bounded array, ``state`` being the one before."""
+    states = F.aggregate(
         steps,
-        F.struct(start.cast("int").alias("state"), out.alias("out")),
+        F.struct(start.cast("int").alias("state"), F.array().cast("array<int>").alias("out")),
         lambda acc, s: F.struct(
             F.get(s["fn"], acc["state"]).alias("state"),
-            F.concat(
-                acc["out"], F.array(F.struct(s["i"].alias("i"), acc["state"].alias("state")))
-            ).alias("out"),
+            F.concat(acc["out"], F.array(acc["state"])).alias("out"),
+        ),
+    )["out"]
+    return F.zip_with(
+        steps, states,
+        lambda s, state: F.struct(
+            s["i"].alias("i"), state.alias("state"), *[s["row"][c].alias(c) for c in carry]
         ),
     )
-    return walked["out"]
 
 
 def prefix_states(
     steps: DataFrame, keys: list[str], index: str, fn: str, n_states: int,
-    start: int | DataFrame = 0, levels: int = 2, fan: int = FAN,
+    start: int | DataFrame = 0, levels: int = 2, fan: int = FAN, carry: list[str] | None = None,
 ) -> DataFrame:
-    """State before each step, as rows ``keys, index, state``.
+    """State before each step, as rows ``keys, index, state`` and the ``carry`` columns.
 
     Each step maps every state to the next one (``fn``, an ``array<int>``), is
     numbered by ``index`` (unique within the key) and steps apply in that order.
@@ -103,16 +109,18 @@ def prefix_states(
     an array never holds more than ``fan`` steps, except at the top, which holds
     ``range / fan**levels``. The per-key work is thus spread over its blocks.
     ``start`` is one state for all keys or a DataFrame ``keys, _start``, joined at
-    the top where a key has one row; keys it lacks are left out.
+    the top where a key has one row; keys it lacks have null states.
     """
-    item = F.struct(F.col(index).cast("bigint").alias("i"), F.col(fn).alias("fn"))
+    carry = carry or []
+    row = [F.struct(*carry).alias("row")] if carry else []
+    item = F.struct(F.col(index).cast("bigint").alias("i"), F.col(fn).alias("fn"), *row)
     if levels == 0:
         chains = steps.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_steps"))
         if isinstance(start, DataFrame):
-            chains = chains.join(start, keys)
+            chains = chains.join(start, keys, "left")
         else:
             chains = chains.withColumn("_start", F.lit(start))
-        scanned = chains.select(*keys, F.inline(_scan(F.col("_steps"), F.col("_start"))))
+        scanned = chains.select(*keys, F.inline(_scan(F.col("_steps"), F.col("_start"), carry)))
         return scanned.withColumnRenamed("i", index)
 
     blocks = (
@@ -127,6 +135,32 @@ def prefix_states(
     starts = prefix_states(folded, keys, "_block", "_fn", n_states, start, levels - 1, fan)
     return (
         blocks.join(starts, [*keys, "_block"])
-        .select(*keys, F.inline(_scan(F.col("_steps"), F.col("state"))))
+        .select(*keys, F.inline(_scan(F.col("_steps"), F.col("state"), carry)))
         .withColumnRenamed("i", index)
     )
+
+
+def ordered_states(
+    steps: DataFrame, keys: list[str], index: str, fn: str, n_states: int,
+    start: int | DataFrame = 0, carry: list[str] | None = None, light: int = LIGHT, fan: int = FAN,
+) -> DataFrame:
+    """``prefix_states`` with one array per key where that is short, blocks where it is not.
+
+    Keys with more than ``light`` steps are looked for first; mostly there are none.
+    """
+    ensure_checkpoint_dir(steps.sparkSession)
+    crowded = (
+        steps.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > light)
+        .select(*keys).checkpoint()
+    )
+    n_crowded = crowded.count()
+    if n_crowded == 0:
+        return prefix_states(steps, keys, index, fn, n_states, start, 0, fan, carry)
+    if n_crowded <= BROADCAST_KEYS:
+        # with so few keys the steps need not be shuffled to be told apart
+        crowded = F.broadcast(crowded)
+    few = steps.join(crowded, keys, "left_anti")
+    many = steps.join(crowded, keys, "left_semi")
+    return prefix_states(few, keys, index, fn, n_states, start, 0, fan, carry).unionByName(
+        prefix_states(many, keys, index, fn, n_states, start, 2, fan, carry)
+    )
