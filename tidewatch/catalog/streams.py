@@ -10,6 +10,8 @@ from tidewatch.catalog.users import COUNTS_SQL, SPENT_SQL
 from tidewatch.catalog.windowed import (
     ALERT_COLS, CAPPED, CLICKS, FAIL_WALK, FAILURES, FREQUENT, PURCHASES, SESSION_GAP, SESSION_MAX, SESSIONS, bursts,
 )
+from tidewatch.plans.rules import Action, Rule
+from tidewatch.schema import TAG_CHANGES
 from tidewatch.session import ROCKSDB, ensure_checkpoint_dir
 from tidewatch.sources.events import BENCH_EVENTS, events_std
 from tidewatch.streaming import jobs, stateful
@@ -91,3 +93,19 @@ def stream_event_log(spark, d):
     log = spark.read.parquet(f"{base}/log")
     return log.groupBy(F.col("event_month").cast("string").alias("event_month"), "event_type").agg(
         F.count(F.lit(1)).alias("event_count"))
+
+
+@query("stream_rule_tags", f"""WITH {EV}, big AS (SELECT * FROM ev WHERE event_type = 'purchase' AND value > 100)
+  SELECT user_id, 'big_spender' AS tag_name, count(*) AS changes FROM big GROUP BY user_id
+  UNION ALL SELECT user_id, 'seen', count(*) FROM big GROUP BY user_id""")
+def stream_rule_tags(spark, d):
+    # each event is a context of its own
+    contexts = _events(spark, d).select("event_id", "user_id", "event_type", "value")
+    rule = Rule("spender", "Spender", "event_type == 'purchase' and value > 100",
+                actions=(Action("TAG_USER", {"tags": ["big_spender", "seen"]}),))
+    base = f"{ensure_checkpoint_dir(spark)}/tidewatch-{uuid.uuid4().hex}"
+    jobs.rule_job(
+        contexts, lambda: [rule], f"{base}/tags", f"{base}/orders", f"{base}/matches", f"{base}/progress", every=None
+    ).awaitTermination()
+    changes = spark.read.schema(TAG_CHANGES).parquet(f"{base}/tags")
+    return changes.groupBy("user_id", "tag_name").agg(F.count(F.lit(1)).alias("changes"))

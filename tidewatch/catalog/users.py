@@ -281,3 +281,42 @@ def rules_by_tag(spark, d):
 @query("rules_by_priority", f"WITH {RULE_LOG} SELECT CAST(priority AS INTEGER) AS priority, count(*) AS rule_count FROM rules_r GROUP BY 1")
 def rules_by_priority(spark, d):
     return rules.rules_by_priority(rule_table(spark, d))
+
+
+# --- every construct of a condition, as text and as SQL -------------------------
+
+CONSTRUCTS = {
+    "chain": ("60 <= event_count < 70", "event_count >= 60 AND event_count < 70"),
+    "arithmetic": ("view_count + click_count * 2 - 1 > 40", "view_count + click_count * 2 - 1 > 40"),
+    "division": ("total_amount / (purchase_count - 10) > 100", "purchase_count <> 10 AND total_amount / nullif(purchase_count - 10, 0) > 100"),
+    "floor_division": ("(view_count - 15) // 4 == -1", "floor((view_count - 15) / 4.0) = -1"),
+    "modulo": ("(view_count - 15) % 4 == 3", "(((view_count - 15) % 4) + 4) % 4 = 3"),
+    "power": ("view_count ** 2 > 150", "view_count * view_count > 150"),
+    "negation": ("not -click_count < -12", "NOT (-click_count < -12)"),
+    "membership": ("view_count in [10, 12, 14] and user_id not in ('3', '5')", "view_count IN (10, 12, 14) AND user_id NOT IN ('3', '5')"),
+    "text": ("'1' in user_id and len(user_id) == 2", "contains(user_id, '1') AND length(user_id) = 2"),
+    "text_parts": ("user_id[0] == '1' or user_id[-1] == '9'", "user_id[1] = '1' OR user_id[-1] = '9'"),
+    "concatenation": ("'u' + user_id == 'u7'", "user_id = '7'"),
+    "choice": ("(total_amount if purchase_count > 12 else event_count) > 70", "CASE WHEN purchase_count > 12 THEN total_amount ELSE event_count END > 70"),
+    "mixed_choice": ("('many' if event_count > 66 else 0) == 'many'", "event_count > 66"),
+    "list_part": ("[10, 'x', view_count][2] == 12", "view_count = 12"),
+    "dict_part": ("{'7': 1, '8': 2}[user_id] == 2", "user_id = '8'"),
+    "casts": ("int(user_id) % 10 == 3 and float(user_id) > 20 and str(view_count) == '12'", "CAST(user_id AS BIGINT) % 10 = 3 AND CAST(user_id AS DOUBLE) > 20 AND view_count = 12"),
+    "extremes": ("max(view_count, click_count) - min(view_count, click_count) > 6", "abs(view_count - click_count) > 6"),
+    "sums": ("sum([view_count, click_count, purchase_count]) > 42 and abs(view_count - 12) < 3", "view_count + click_count + purchase_count > 42 AND abs(view_count - 12) < 3"),
+    "quantifiers": ("any([view_count > 18, click_count > 18]) or all([view_count < 10, click_count < 10])", "view_count > 18 OR click_count > 18 OR (view_count < 10 AND click_count < 10)"),
+    "truth": ("bool(click_count - 12) and user_id and not None", "click_count <> 12"),
+    "equal_types": ("user_id == 7 or view_count == '12'", "false"),
+    "lists": ("[view_count, click_count] == [12, 12] or len(set([view_count, click_count])) == 1", "view_count = click_count"),
+    "eager_error": ("event_count > 0 or 1 / 0", "false"),
+    "lazy_chain": ("event_count < 0 < missing or event_count > 66", "event_count > 66"),
+    "refused": ("(lambda: 1)() or event_count.real", "false"),
+}
+
+
+@query("condition_constructs", f"""WITH {CONTEXTS} SELECT c.name AS construct, count(*) FILTER (c.hit) AS matched FROM (
+  SELECT unnest([{", ".join(f"{{'name': '{n}', 'hit': coalesce({sql}, false)}}" for n, (_, sql) in CONSTRUCTS.items())}]) AS c
+  FROM contexts) GROUP BY 1""")
+def condition_constructs(spark, d):
+    rows = match.validate(contexts(spark, d), [rules.Rule(n, n, text) for n, (text, _) in CONSTRUCTS.items()])
+    return rows.select(F.col("rule_id").alias("construct"), F.col("matched_contexts").alias("matched"))
