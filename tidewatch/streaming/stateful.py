@@ -8,6 +8,7 @@ the watermark is counted from then on; results already emitted stay.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from datetime import timedelta
 
@@ -41,11 +42,11 @@ class _Ordered(StatefulProcessor):
 
 
 class TrailingCounter(_Ordered):
-    """Counts the events of one key in the window up to each event.
+    """Counts a user's events in the window up to each event, per detector and ``by``.
 
-    State is the instants still inside the window. With ``reset`` the instants
-    are cleared as soon as their number reaches the limit, which is reported.
-    A timer, one per key with state, drops what a silent key has left.
+    State is the instants still inside their windows. For login failures they are
+    cleared as soon as their number reaches the limit, which is reported. A timer,
+    one per key with state, drops what a silent user has left.
     """
 
     def __init__(self, windows: dict[int, int], limits: dict[int, int]):
@@ -54,59 +55,85 @@ class TrailingCounter(_Ordered):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.kept = handle.getListState("instants", "us bigint")
+        self.kept = handle.getValueState("instants", "slot array<int>, by array<string>, us array<bigint>")
+
+    def stored(self) -> dict[tuple[int, str], list[int]]:
+        value, groups = self.kept.get(), {}
+        for slot, by, us in zip(*value) if value is not None else ():
+            groups.setdefault((slot, by), []).append(us)
+        return groups
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = self.rows(rows)
-        slot = int(batch["slot"].iloc[0])
-        width, limit = self.windows[slot], self.limits[slot]
-        old = np.array(sorted(r[0] for r in self.kept.get()), dtype=np.int64)
-        new = batch["us"].to_numpy(dtype=np.int64)
-        if slot == FAILURE_SLOT:
-            counts, left = self._with_reset(old, new, width, limit)
-            hits = counts >= limit
-        else:
-            # late events go behind what is stored, earlier instants first
-            every = np.concatenate([old, new]) if not len(old) or new[0] >= old[-1] else None
-            if every is not None:
-                upto = np.arange(len(old) + 1, len(every) + 1)
-                counts = upto - np.searchsorted(every, new - width, side="right")
+        groups: dict[tuple[int, str], list[int]] = {}
+        for place, group in enumerate(zip(batch["slot"].tolist(), batch["by"].tolist())):
+            groups.setdefault(group, []).append(place)
+        instants = batch["us"].to_numpy(dtype=np.int64)
+        counts, hit = np.zeros(len(batch), dtype=np.int64), np.zeros(len(batch), dtype=bool)
+        known = self.stored()
+        had_state = bool(known)
+        for group, places in groups.items():
+            old, width, limit = known.get(group, []), self.windows[group[0]], self.limits[group[0]]
+            if group[0] == FAILURE_SLOT:
+                found, known[group] = self._with_reset(old, instants[places], width, limit)
+                hit[places] = found >= limit
             else:
-                counts = np.array([
-                    np.sum(old > t - width) + np.sum(new[: i + 1] > t - width) for i, t in enumerate(new)
-                ])
-                every = np.sort(np.concatenate([old, new]))
-            left = every[every > every[-1] - width]
-            hits = counts > limit
-        if len(left):
-            self.kept.put([(int(t),) for t in left])
-            if not len(old):
-                self.handle.registerTimer((int(left[-1]) + width) // 1000 + 1)
-        elif len(old):
-            self.kept.clear()
-        if hits.any():
-            out = batch.loc[hits, ["event_id", "us"]].copy()
+                found, known[group] = self._plain(old, instants[places], width)
+                hit[places] = found > limit
+            counts[places] = found
+        self._store(known, had_state)
+        if hit.any():
+            out = batch.loc[hit, ["slot", "by", "event_id", "us"]].copy()
             out.insert(0, "user_id", key[0])
-            out.insert(1, "slot", slot)
-            out.insert(2, "by", key[2])
-            out["n"] = counts[hits]
+            out["n"] = counts[hit]
             yield out
 
+    def _store(self, known: dict[tuple[int, str], list[int]], had_state: bool) -> None:
+        newest = max((times[-1] for times in known.values() if times), default=None)
+        flat = [
+            (slot, by, t) for (slot, by), times in known.items() for t in times
+            if t > newest - self.windows[slot]
+        ]
+        if flat:
+            self.kept.update(tuple(list(c) for c in zip(*flat)))
+            if not had_state:
+                self.handle.registerTimer(self._silent_after(known))
+        elif had_state:
+            self.kept.clear()
+
+    def _silent_after(self, known: dict[tuple[int, str], list[int]]) -> int:
+        return max(times[-1] + self.windows[slot] for (slot, _), times in known.items() if times) // 1000 + 1
+
     @staticmethod
-    def _with_reset(old, new, width, limit):
-        recent, counts = list(old), np.zeros(len(new), dtype=np.int64)
-        for i, t in enumerate(new):
-            recent = [r for r in recent if r > t - width] + [t]
-            counts[i] = len(recent)
+    def _plain(old: list[int], new: np.ndarray, width: int) -> tuple[np.ndarray, list[int]]:
+        before = np.array(old, dtype=np.int64)
+        if not old or new[0] >= before[-1]:
+            every = np.concatenate([before, new])
+            upto = np.arange(len(before) + 1, len(every) + 1)
+            counts = upto - np.searchsorted(every, new - width, side="right")
+        else:
+            # late events: what is stored counts, whether earlier or later
+            upto = np.arange(1, len(new) + 1) - np.searchsorted(new, new - width, side="right")
+            counts = upto + len(before) - np.searchsorted(before, new - width, side="right")
+            every = np.sort(np.concatenate([before, new]))
+        return counts, every[every > every[-1] - width].tolist()
+
+    @staticmethod
+    def _with_reset(old: list[int], new: np.ndarray, width: int, limit: int) -> tuple[np.ndarray, list[int]]:
+        recent, counts = deque(old), []
+        for t in new.tolist():
+            recent.append(t)
+            while recent[0] <= t - width:
+                recent.popleft()
+            counts.append(len(recent))
             if len(recent) >= limit:
-                recent = []
-        return counts, np.array(recent, dtype=np.int64)
+                recent.clear()
+        return np.array(counts, dtype=np.int64), sorted(recent)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        width = self.windows[int(key[1])]
-        latest = max((r[0] for r in self.kept.get()), default=None)
-        if latest is not None:
-            until = (latest + width) // 1000 + 1
+        known = self.stored()
+        if known:
+            until = self._silent_after(known)
             if until > timerValues.getCurrentWatermarkInMs():
                 self.handle.registerTimer(until)
             else:
@@ -121,21 +148,23 @@ def alert_stream(
 ) -> DataFrame:
     """Alerts of all detectors as a stream.
 
-    State is keyed by user, detector and (for purchases) product, so a busy
-    user's detectors run in different tasks.
+    State has two keys per user, one for the first detector (all events, by
+    default) and one for the others, so that a busy user's events are split.
     """
     bursts = bursts if bursts is not None else default_bursts()
     chosen = failed if failed is not None else login_failed()
-    slots = [
-        F.when(b.flag, F.struct(F.lit(i).alias("slot"), (F.col(b.by) if b.by else F.lit("")).alias("by")))
-        for i, b in enumerate(bursts)
-    ]
-    slots.append(F.when(chosen, F.struct(F.lit(FAILURE_SLOT).alias("slot"), F.lit("").alias("by"))))
+
+    def slot(number: int, flag: Column, by: str | None, part: int) -> Column:
+        group = F.coalesce(F.col(by), F.lit("")) if by else F.lit("")
+        return F.when(flag, F.struct(F.lit(number).alias("slot"), group.alias("by"), F.lit(part).alias("part")))
+
+    slots = [slot(i, b.flag, b.by, 0 if i == 0 else 1) for i, b in enumerate(bursts)]
+    slots.append(slot(FAILURE_SLOT, chosen, None, 1))
     spread = (
         events.withWatermark("timestamp", interval_text(lateness))
         .withColumn("_s", F.explode(F.filter(F.array(*slots), lambda s: s.isNotNull())))
         .select(
-            "user_id", F.col("_s.slot"), F.col("_s.by"), "event_id", "timestamp",
+            "user_id", F.col("_s.part"), F.col("_s.slot"), F.col("_s.by"), "event_id", "timestamp",
             F.unix_micros("timestamp").alias("us"),
         )
     )
@@ -143,7 +172,7 @@ def alert_stream(
         {FAILURE_SLOT: micros(window), **{i: micros(b.window) for i, b in enumerate(bursts)}},
         {FAILURE_SLOT: threshold, **{i: b.threshold for i, b in enumerate(bursts)}},
     )
-    hits = spread.groupBy("user_id", "slot", "by").transformWithStateInPandas(
+    hits = spread.groupBy("user_id", "part").transformWithStateInPandas(
         counter, "user_id string, slot int, by string, event_id string, us bigint, n bigint", "append", "EventTime"
     )
     n, alert = F.col("n"), None
