@@ -159,6 +159,14 @@ def test_minute_totals_and_stats(spark):
     assert context["v"]["login_fail_count"] == 1 and context["u:1"]["days_since_last_visit"] == 5
 
 
+def test_any_amount_is_summed(spark):
+    rows = [(str(i), "u", "purchase", T0, f'{{"amount": {a}}}') for i, a in enumerate(("1e30", "0.1", "0.2", "-1e18"))]
+    df = stats.with_amount(spark.createDataFrame(rows, "event_id string, user_id string, event_type string, timestamp timestamp, properties string"))
+    df = df.withColumn("session_id", F.lit("s"))
+    assert stats.minute_totals(df).first()["total_amount"] == pytest.approx(1e30)
+    assert stats.minute_totals(df.filter("event_id in ('1', '2')")).first()["total_amount"] == 0.3
+
+
 # --- tags -------------------------------------------------------------------
 
 def changes(spark):

@@ -12,6 +12,7 @@ from tidewatch.operators.windows import tumbling
 
 MINUTE = timedelta(minutes=1)
 PERIOD_DAYS = (1, 7, 30)
+EXACT_AMOUNT = 1e15
 
 
 def with_amount(events: DataFrame) -> DataFrame:
@@ -25,10 +26,16 @@ def _is(event_type: str) -> Column:
 
 
 def _spent(condition: Column | None = None) -> Column:
-    """Sum in exact cents; adding doubles would depend on the order of rows."""
+    """Sum of purchase amounts, the same however rows are spread over tasks.
+
+    Amounts are added as decimals, as adding doubles depends on their order;
+    only amounts no decimal here can hold are added as doubles.
+    """
     bought = _is("purchase") if condition is None else _is("purchase") & condition
-    cents = F.when(bought, F.col("amount")).cast("decimal(28,6)")
-    return F.coalesce(F.sum(cents), F.lit(0)).cast("double")
+    usual = F.abs("amount") < EXACT_AMOUNT
+    exact = F.sum(F.when(bought, F.when(usual, F.col("amount")).cast("decimal(28,10)")))
+    huge = F.sum(F.when(bought & ~usual, F.col("amount")))
+    return F.coalesce(exact, F.lit(0)).cast("double") + F.coalesce(huge, F.lit(0.0))
 
 
 def type_count_columns() -> list[Column]:
