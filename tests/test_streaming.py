@@ -1,6 +1,7 @@
 """Streams over several micro-batches give what the batch operators give."""
 
 import json
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -43,6 +44,9 @@ def feed(spark, tmp_path_factory):
         (folder / f"{part}.json").write_text("\n".join(lines) + "\n", encoding="utf-8")
     last = {**rows[-1], "event_id": "z", "user_id": "end", "event_type": "share", "timestamp": "2024-02-01T00:00:00Z"}
     (folder / "9.json").write_text(json.dumps(last) + "\n", encoding="utf-8")
+    # the file source goes by modification time; files written at once would tie
+    for place, file in enumerate(sorted(folder.glob("*.json"))):
+        os.utime(file, (1_700_000_000 + place, 1_700_000_000 + place))
     return str(folder)
 
 
@@ -159,6 +163,9 @@ def test_order_replay(spark, tmp_path):
     for part in range(3):
         frame = spark.createDataFrame(rows[part * 40:(part + 1) * 40], schema.REQUESTS)
         frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "requests"))
+        for file in (tmp_path / "requests").glob("part-*"):
+            if file.stat().st_mtime > 1_700_000_100:
+                os.utime(file, (1_700_000_000 + part, 1_700_000_000 + part))
     live = stateful.replay_stream(jobs.table_stream(spark, str(tmp_path / "requests"), schema.REQUESTS, 1))
     got = finished(spark, live, tmp_path)
     orders = audit.create_orders(
