@@ -17,8 +17,9 @@ before it, if that is larger, next in its bucket. Then common prefixes of adjace
 reach the window, suffixes are equal windows, whose smallest document id is
 known. Occurrences in larger documents become intervals, which travel back to the batches.
 
-A batch holds about ``BATCH_BYTES`` of text, a bucket as much; both are as many as the
-input needs, and a fragment that very many documents share arrives once a batch.
+A batch holds about ``BATCH_BYTES`` of text, a bucket the fragments of a quarter of that; both
+are as many as the input needs, and a fragment that very many documents share arrives
+once a batch.
 
 Null and empty texts and texts shorter than the window lose nothing. Rows with the same
 id do not count as repeating each other. Rows without an id neither lose nor make
@@ -38,6 +39,7 @@ from tidewatch.llm.common import col, text_bytes
 
 WINDOW, GRAM = 50, 20
 BATCH_BYTES = 4_000_000
+BUCKETS_PER_BATCH = 4
 STEP = 0xD6E8FEB86659FD93
 NO_ID = np.iinfo(np.int64).max
 #: Bytes hashed at a time, so that they stay in the cache.
@@ -136,9 +138,10 @@ def suffix_array(text: np.ndarray, ends: np.ndarray, wanted: np.ndarray, window:
     last[ends] = True
     after[last[:n]] = -1
     # smaller or larger than the successor; equal bytes take the answer of the next that differ
-    differs = np.flatnonzero(here != after)
-    nearest = differs[np.minimum(np.searchsorted(differs, np.arange(n)), len(differs) - 1)]
+    differs = here != after
+    nearest = np.minimum.accumulate(np.where(differs, np.arange(n, dtype=np.int32), n - 1)[::-1])[::-1]
     smaller = (here < after)[nearest]
+    del differs, nearest, here, after
 
     # a wanted larger suffix is induced from its successor, and so on to a smaller one or the end
     needed = np.zeros(n, bool)
@@ -282,6 +285,7 @@ def removed(
     """``id``, ``text``, ``kept`` (bytes that stay) and ``spans`` (begin and end of each removed run, in bytes) of every row."""
     total = text_bytes(docs, text)
     batches = max(1, -(-total // batch_bytes))
+    buckets = batches * BUCKETS_PER_BATCH
     read = docs.select(
         col(doc_id).cast("long").alias("id"), col(text).alias("text"),
     ).withColumn("batch", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(batches)).cast("int"))
@@ -291,7 +295,7 @@ def removed(
         texts = _batch(group)
         number, _, _, hashes = _batch_fragments(texts)
         distinct, twice = _hash_index(texts, number, hashes)
-        cuts = _cuts(distinct, batches)
+        cuts = _cuts(distinct, buckets)
         return _pack([
             (b, key[0].as_py(), distinct[x:y].tobytes(), np.packbits(twice[x:y]).tobytes())
             for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x
@@ -313,7 +317,7 @@ def removed(
         texts = _batch(group)
         number, first, windows, hashes = _batch_fragments(texts)
         distinct, _ = _hash_index(texts, number, hashes)
-        cuts, shared = _cuts(distinct, batches), np.zeros(len(distinct), bool)
+        cuts, shared = _cuts(distinct, buckets), np.zeros(len(distinct), bool)
         for b, raw in zip(answers.column("bucket").to_pylist(), answers.column("shared").to_pylist()):
             x, y = cuts[b], cuts[b + 1]
             shared[x:y] = np.unpackbits(np.frombuffer(raw, np.uint8))[: y - x]
