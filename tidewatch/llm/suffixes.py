@@ -93,7 +93,10 @@ def fragments(data: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     places, hashes = np.concatenate(places), np.concatenate(hashes)
     starts = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
-    return starts, np.diff(np.append(starts, n)), hashes[starts]
+    # least hashes are small ones: mixed again, they fill the range evenly
+    own = hashes[starts] * np.uint64(STEP)
+    own = (own ^ (own >> np.uint64(32))) * np.uint64(STEP)
+    return starts, np.diff(np.append(starts, n)), own ^ (own >> np.uint64(29))
 
 
 # --- suffix array ------------------------------------------------------------------
