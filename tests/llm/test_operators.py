@@ -417,7 +417,7 @@ def _lines_loop(rows):
     signer, places = lines.Signer(), {}
     for i, t in rows:
         for n, raw in enumerate(t.split("\n") if t else []):
-            line = lines.normalised(raw)
+            line = lines.normalised_lines(raw)[0] if raw else b""
             if i is not None and len(line.split()) >= lines.MIN_WORDS:
                 places.setdefault(line, set()).add((i, t, n))
     distinct = sorted(places)
@@ -425,7 +425,7 @@ def _lines_loop(rows):
     union = components.Union()
     for a in range(len(distinct)):
         for b in range(a):
-            if (sims[a] ^ sims[b]).bit_count() <= lines.BITS and lines.within(distinct[a], distinct[b], lines.SIMILARITY):
+            if (sims[a] ^ sims[b]).bit_count() <= lines.BITS and lines.within(distinct[a].decode(), distinct[b].decode(), lines.SIMILARITY):
                 union.join(a, b)
     grouped = {}
     for x, line in enumerate(distinct):
@@ -475,7 +475,10 @@ def test_pigeonhole_keeps_close_lines(spark):
             y ^= 1 << rng.randrange(64)
         rows += [(2 * k, x), (2 * k + 1, y)]
     signed = [(k, x - (1 << 64) if x >> 63 else x) for k, x in rows]
-    got = {tuple(r) for r in lines._candidates(spark.createDataFrame(signed, "key long, sim long"), 3).collect()}
+    listed = lines.block_lists(spark.createDataFrame([(k, x, k % 3) for k, x in signed], "key long, sim long, n long"), 3)
+    alone = spark.createDataFrame([], "node long, root long")
+    got = {tuple(r) for r in lines.other_pairs(listed, alone, 3).collect()}
+    assert {tuple(r) for r in lines.pivot_pairs(listed, 3).collect()} <= got
     expected = {
         (a, b) for i, (a, x) in enumerate(rows) for b, y in rows[i + 1 :] if (x ^ y).bit_count() <= 3
     }
