@@ -475,10 +475,16 @@ def test_pigeonhole_keeps_close_lines(spark):
             y ^= 1 << rng.randrange(64)
         rows += [(2 * k, x), (2 * k + 1, y)]
     signed = [(k, x - (1 << 64) if x >> 63 else x) for k, x in rows]
-    listed = lines.block_lists(spark.createDataFrame([(k, x, k % 3) for k, x in signed], "key long, sim long, n long"), 3)
+    distinct = spark.createDataFrame([(k, x, k % 3) for k, x in signed], "key long, sim long, n long")
+    found = lines.first_pairs(distinct, 3)
+    got = {tuple(r) for r in found.where("a is not null").select("a", "b").collect()}
+    assert found.where("a is null").isEmpty()
+    # with pivots for all, pivots' pairs and the others' are the same pairs
+    found = lines.first_pairs(distinct, 3, long_list=1)
     alone = spark.createDataFrame([], "node long, root long")
-    got = {tuple(r) for r in lines.other_pairs(listed, alone, 3).collect()}
-    assert {tuple(r) for r in lines.pivot_pairs(listed, 3).collect()} <= got
+    first = {tuple(r) for r in found.where("a is not null").select("a", "b").collect()}
+    later = {tuple(r) for r in lines.other_pairs(found.where("a is null"), alone, 3).collect()}
+    assert first | later == got
     expected = {
         (a, b) for i, (a, x) in enumerate(rows) for b, y in rows[i + 1 :] if (x ^ y).bit_count() <= 3
     }
