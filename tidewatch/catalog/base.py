@@ -232,30 +232,21 @@ REQUESTS = """requests AS (
 
 # sample rules with limits that fit the benchmark's users
 RULES = [
-    Rule("high_value_user", "High value", "purchase_count >= 5 and total_amount > 1000", 1,
-         description="Buys often and much",
-         actions=(Action("TAG_USER", {"tags": ["high_value", "vip"], "action": "add", "source": "rule"}),),
-         tags=("user_segment", "value")),
-    Rule("login_risk", "Login risk", "login_fail_count > 12", 2, description="Many failed logins",
-         actions=(Action("TRIGGER_AUDIT", {"level": "HIGH", "reason": "failed logins"}),
-                  Action("TAG_USER", {"tags": ["suspicious", "login_risk"], "ttl": 86400})),
-         tags=("security", "risk")),
-    Rule("high_frequency_access", "High frequency", "event_count > 70 and view_count > 12", 2,
-         description="Looks like a crawler",
-         actions=(Action("TRIGGER_AUDIT", {"level": "medium"}), Action("TAG_USER", {"tags": ["bot_suspected"]}),
-                  Action("ALERT", {})),
-         tags=("security", "bot_detection")),
-    Rule("new_user_onboarding", "New user", "event_count < 60 and purchase_count < 12", 0,
-         description="Few events so far",
-         actions=(Action("TAG_USER", {"tags": ["new_user", "onboarding"], "source": "rule"}),),
-         tags=("user_segment", "onboarding")),
-    Rule("churn_risk_user", "Churn risk", "days_since_last_visit > 2 and purchase_count > 0", 1,
-         description="Did not come back",
-         actions=(Action("TAG_USER", {"tags": ["churn_risk"], "source": "rule"}),),
-         tags=("user_segment", "retention")),
+    Rule("spend_per_event", "Spends much per event", "total_amount > 20 * event_count", 0,
+         actions=(Action("TAG_USER", {"tags": ["good_margin"]}),), tags=("sales",)),
+    Rule("error_share", "One event in five fails", "login_fail_count * 5 > event_count", 4,
+         actions=(Action("TAG_USER", {"tags": ["many_errors"], "ttl": 86400}),
+                  Action("TRIGGER_AUDIT", {"level": "LOW", "reason": "one event in five fails"})),
+         tags=("operations",)),
+    Rule("looks_only", "Looks, seldom buys", "view_count > 2 * purchase_count and click_count > purchase_count", 1,
+         actions=(Action("ALERT", {}), Action("TAG_USER", {"tags": ["window_shopper", "no_checkout"], "source": "rule"}),
+                  Action("TRIGGER_AUDIT", {"level": "critical"})),
+         tags=("sales", "funnel")),
+    Rule("gone_quiet", "Quiet lately", "days_since_last_visit >= 2 or event_count < 55", 2,
+         actions=(Action("TAG_USER", {"tags": ["quiet"], "action": "add"}),), tags=("operations",)),
     Rule("click_share", "Clicks much", "click_count / (view_count - 12) > 1.5 or total_amount // 7 % 3 == 1", 1,
          description="Ratio that fails for some users", actions=(Action("TAG_USER", {"tags": []}),),
-         tags=("user_segment",)),
+         tags=("funnel",)),
     Rule("odd_users", "Odd users", "int(user_id) % 2 == 1 and (1 if event_count > 60 else 0)", 0,
          description="Casts and a choice", tags=("test",)),
     Rule("broken", "Broken", "event_count > and", 3, description="Cannot be read", tags=("test",)),
@@ -274,17 +265,17 @@ CONTEXTS = EV + """, contexts AS (
 # each rule as (id, priority, place in the list, holds, evaluates)
 HITS = CONTEXTS + """, held AS (
   SELECT *, unnest([
-    {'rule_id': 'high_value_user', 'priority': 1, 'pos': 0, 'hit': purchase_count >= 5 AND total_amount > 1000, 'ok': true},
-    {'rule_id': 'login_risk', 'priority': 2, 'pos': 1, 'hit': login_fail_count > 12, 'ok': true},
-    {'rule_id': 'high_frequency_access', 'priority': 2, 'pos': 2, 'hit': event_count > 70 AND view_count > 12, 'ok': true},
-    {'rule_id': 'new_user_onboarding', 'priority': 0, 'pos': 3, 'hit': event_count < 60 AND purchase_count < 12, 'ok': true},
-    {'rule_id': 'churn_risk_user', 'priority': 1, 'pos': 4, 'hit': days_since_last_visit > 2 AND purchase_count > 0, 'ok': true},
-    {'rule_id': 'click_share', 'priority': 1, 'pos': 5,
+    {'rule_id': 'spend_per_event', 'priority': 0, 'pos': 0, 'hit': total_amount > 20 * event_count, 'ok': true},
+    {'rule_id': 'error_share', 'priority': 4, 'pos': 1, 'hit': login_fail_count * 5 > event_count, 'ok': true},
+    {'rule_id': 'looks_only', 'priority': 1, 'pos': 2,
+     'hit': view_count > 2 * purchase_count AND click_count > purchase_count, 'ok': true},
+    {'rule_id': 'gone_quiet', 'priority': 2, 'pos': 3, 'hit': days_since_last_visit >= 2 OR event_count < 55, 'ok': true},
+    {'rule_id': 'click_share', 'priority': 1, 'pos': 4,
      'hit': coalesce(view_count <> 12 AND (click_count / nullif(view_count - 12, 0) > 1.5 OR floor(total_amount / 7) % 3 = 1), false),
      'ok': view_count <> 12},
-    {'rule_id': 'odd_users', 'priority': 0, 'pos': 6, 'hit': CAST(user_id AS BIGINT) % 2 = 1 AND event_count > 60, 'ok': true},
-    {'rule_id': 'broken', 'priority': 3, 'pos': 7, 'hit': false, 'ok': false},
-    {'rule_id': 'unknown_variable', 'priority': 3, 'pos': 8, 'hit': false, 'ok': false}]) AS r
+    {'rule_id': 'odd_users', 'priority': 0, 'pos': 5, 'hit': CAST(user_id AS BIGINT) % 2 = 1 AND event_count > 60, 'ok': true},
+    {'rule_id': 'broken', 'priority': 3, 'pos': 6, 'hit': false, 'ok': false},
+    {'rule_id': 'unknown_variable', 'priority': 3, 'pos': 7, 'hit': false, 'ok': false}]) AS r
   FROM contexts), matches AS (
   SELECT user_id, r.rule_id AS rule_id, r.priority AS priority,
          CAST(row_number() OVER (PARTITION BY user_id ORDER BY r.priority DESC, r.pos) - 1 AS INTEGER) AS rank

@@ -49,9 +49,9 @@ def audit_todo(spark, d):
 
 
 @query("audit_todo_lexical", f"""WITH {ORDERS} SELECT {COLS_SQL} FROM orders_r
-  WHERE assignee = 'rev2' AND status IN ('pending', 'in_review') ORDER BY orders_r.audit_level DESC, create_time, id LIMIT 25""")
+  WHERE assignee = 'rev2' AND status IN ('pending', 'in_review') """)
 def audit_todo_lexical(spark, d):
-    return audit.todo(_orders(spark, d), "rev2", lexical=True).limit(25).select(*COLS)
+    return audit.todo(_orders(spark, d), "rev2", lexical=True).select(*COLS)
 
 
 @query("audit_unassigned", f"""WITH {ORDERS} SELECT {COLS_SQL} FROM orders_r
@@ -68,8 +68,8 @@ def audit_by_level(spark, d):
 @query("audit_by_id", f"WITH {ORDERS} SELECT {COLS_SQL} FROM orders_r WHERE id = (SELECT min(id) FROM orders_r WHERE user_id = '7')")
 def audit_by_id(spark, d):
     orders = _orders(spark, d)
-    first = orders.filter(F.col("user_id") == "7").agg(F.min("id").alias("id"))
-    return orders.join(first, "id", "left_semi").select(*COLS)
+    order = orders.filter(F.col("user_id") == "7").agg(F.min("id")).first()[0]
+    return audit.by_id(orders, order).select(*COLS)
 
 
 @query("audit_next_statuses", f"""WITH {ORDERS} SELECT id, status, CASE status WHEN 'pending' THEN 'in_review,closed'

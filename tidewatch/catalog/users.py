@@ -68,9 +68,9 @@ def rule_matches(spark, d):
 
 
 @query("rule_matches_chosen", f"""WITH {HITS} SELECT user_id, rule_id,
-  CAST(row_number() OVER (PARTITION BY user_id ORDER BY rank) - 1 AS INTEGER) AS rank FROM matches WHERE rule_id IN ('login_risk', 'odd_users')""")
+  CAST(row_number() OVER (PARTITION BY user_id ORDER BY rank) - 1 AS INTEGER) AS rank FROM matches WHERE rule_id IN ('error_share', 'odd_users')""")
 def rule_matches_chosen(spark, d):
-    rows = match.dry_run(contexts(spark, d), RULES, ["odd_users", "login_risk", "none"], AS_OF)
+    rows = match.dry_run(contexts(spark, d), RULES, ["odd_users", "error_share", "none"], AS_OF)
     return rows.select("user_id", "rule_id", "rank")
 
 
@@ -110,14 +110,13 @@ def structured_conditions(spark, d):
 
 ACTION_SQL = HITS + """, acts AS (
   SELECT user_id, rule_id, unnest(CASE rule_id
-    WHEN 'high_value_user' THEN [{'n': 0, 'type': 'TAG_USER', 'tags': ['high_value', 'vip'], 'level': NULL, 'error': NULL}]
-    WHEN 'login_risk' THEN [{'n': 0, 'type': 'TRIGGER_AUDIT', 'tags': NULL, 'level': 'HIGH', 'error': NULL},
-                            {'n': 1, 'type': 'TAG_USER', 'tags': ['suspicious', 'login_risk'], 'level': NULL, 'error': NULL}]
-    WHEN 'high_frequency_access' THEN [{'n': 0, 'type': 'TRIGGER_AUDIT', 'tags': NULL, 'level': 'MEDIUM', 'error': NULL},
-                            {'n': 1, 'type': 'TAG_USER', 'tags': ['bot_suspected'], 'level': NULL, 'error': NULL},
-                            {'n': 2, 'type': 'ALERT', 'tags': NULL, 'level': NULL, 'error': 'No handler registered for action type: ALERT'}]
-    WHEN 'new_user_onboarding' THEN [{'n': 0, 'type': 'TAG_USER', 'tags': ['new_user', 'onboarding'], 'level': NULL, 'error': NULL}]
-    WHEN 'churn_risk_user' THEN [{'n': 0, 'type': 'TAG_USER', 'tags': ['churn_risk'], 'level': NULL, 'error': NULL}]
+    WHEN 'spend_per_event' THEN [{'n': 0, 'type': 'TAG_USER', 'tags': ['good_margin'], 'level': NULL, 'error': NULL}]
+    WHEN 'error_share' THEN [{'n': 0, 'type': 'TAG_USER', 'tags': ['many_errors'], 'level': NULL, 'error': NULL},
+                             {'n': 1, 'type': 'TRIGGER_AUDIT', 'tags': NULL, 'level': 'LOW', 'error': NULL}]
+    WHEN 'looks_only' THEN [{'n': 0, 'type': 'ALERT', 'tags': NULL, 'level': NULL, 'error': 'No handler registered for action type: ALERT'},
+                            {'n': 1, 'type': 'TAG_USER', 'tags': ['window_shopper', 'no_checkout'], 'level': NULL, 'error': NULL},
+                            {'n': 2, 'type': 'TRIGGER_AUDIT', 'tags': NULL, 'level': 'CRITICAL', 'error': NULL}]
+    WHEN 'gone_quiet' THEN [{'n': 0, 'type': 'TAG_USER', 'tags': ['quiet'], 'level': NULL, 'error': NULL}]
     WHEN 'click_share' THEN [{'n': 0, 'type': 'TAG_USER', 'tags': NULL, 'level': NULL, 'error': 'Missing tags parameter'}]
     END) AS a FROM matches)"""
 
@@ -146,14 +145,14 @@ def match_results(spark, d):
 
 
 @query("tag_actions", f"""WITH {ACTION_SQL} SELECT user_id, unnest(a.tags) AS tag_name, 'true' AS value, 'RULE' AS source,
-  CASE WHEN rule_id = 'login_risk' THEN {AT_SQL} + INTERVAL 1 DAY END AS expire_at, {AT_SQL} AS ts, false AS deleted
+  CASE WHEN rule_id = 'error_share' THEN {AT_SQL} + INTERVAL 1 DAY END AS expire_at, {AT_SQL} AS ts, false AS deleted
   FROM acts WHERE a.type = 'TAG_USER' AND a.error IS NULL""")
 def tag_actions(spark, d):
     return actions.default_registry().run(matches(spark, d), "TAG_USER").drop("confidence")
 
 
 @query("audit_actions", f"""WITH {ACTION_SQL} SELECT user_id, rule_id, a.level AS audit_level, 'pending' AS status,
-  CASE WHEN rule_id = 'login_risk' THEN 'failed logins' ELSE 'Rule triggered audit' END AS reason,
+  CASE WHEN rule_id = 'error_share' THEN 'one event in five fails' ELSE 'Rule triggered audit' END AS reason,
   event_count AS context_events, {AT_SQL} AS create_time
   FROM acts JOIN contexts USING (user_id) WHERE a.type = 'TRIGGER_AUDIT'""")
 def audit_actions(spark, d):
@@ -261,9 +260,9 @@ def rule_search(spark, d):
     return rules.search_rules(rule_table(spark, d), "rULE 1", 1).select("id", "name")
 
 
-@query("rule_by_id", f"WITH {RULE_LOG} SELECT id, name, version FROM rules_r WHERE id = 'rule_5'")
+@query("rule_by_id", f"WITH {RULE_LOG} SELECT id, name, version FROM rules_r WHERE id = 'rule_1'")
 def rule_by_id(spark, d):
-    return rules.rule_of(rule_table(spark, d), "rule_5").select("id", "name", "version")
+    return rules.rule_of(rule_table(spark, d), "rule_1").select("id", "name", "version")
 
 
 @query("rule_stats", f"""WITH {RULE_LOG} SELECT count(*) AS total_rules, count(*) FILTER (enabled) AS enabled_rules,

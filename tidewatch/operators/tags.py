@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import schema
 
+#: Longest list of users that is a filter; a longer one is joined, with the same answer.
 BATCH_LIMIT = 100
 _VALUE_FIELDS = ("value", "source", "confidence", "expire_at", "ts", "deleted")
 
@@ -77,15 +78,15 @@ def user_tags(tags: DataFrame, user_id: str) -> DataFrame:
 def batch_tags(tags: DataFrame, users: list[str] | DataFrame, names: list[str] | None = None) -> DataFrame:
     """Tags of many users, optionally of some names.
 
-    A list is short (at most ``BATCH_LIMIT``) and becomes a pushed-down filter; a
-    DataFrame of ``user_id`` may be any size and is joined.
+    A list of up to ``BATCH_LIMIT`` users becomes a pushed-down filter; a longer one,
+    or a DataFrame of ``user_id``, is joined.
     """
     if names:
         tags = tags.filter(F.col("tag_name").isin(*names))
+    if not isinstance(users, DataFrame) and len(users) > BATCH_LIMIT:
+        users = tags.sparkSession.createDataFrame([(u,) for u in users], "user_id string")
     if isinstance(users, DataFrame):
         return tags.join(users.select("user_id"), "user_id", "left_semi")
-    if len(users) > BATCH_LIMIT:
-        raise ValueError(f"at most {BATCH_LIMIT} users in a list; pass a DataFrame")
     return tags.filter(F.col("user_id").isin(*users))
 
 

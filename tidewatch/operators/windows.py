@@ -67,11 +67,9 @@ def sliding_totals(
         .groupBy(*keys, F.col("window_start").alias("_pane"))
         .agg(*totals(F.count(F.lit(1))))
     )
-    backward = range(0, micros(size), micros(slide))
-    pane_us = F.unix_micros("_pane")
-    spread = panes.withColumn(
-        "window_start",
-        F.explode(F.array(*[F.timestamp_micros(pane_us - F.lit(shift)) for shift in backward])),
+    backward = F.sequence(F.lit(0), F.lit(micros(size) - micros(slide)), F.lit(micros(slide)))
+    spread = panes.withColumn("_shift", F.explode(backward)).withColumn(
+        "window_start", F.timestamp_micros(F.unix_micros("_pane") - F.col("_shift"))
     )
     return (
         spread.groupBy(*keys, "window_start")

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from tidewatch import schema
 
-RULE_LIMIT = 10_000
-
 
 @dataclass(frozen=True)
 class Action:
@@ -54,11 +52,9 @@ def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
 
 
 def collect_rules(table: DataFrame) -> list[Rule]:
-    """Rules as records. Rules are configuration: the number is checked, not assumed."""
+    """Rules as records: configuration, as large as the plan made of them."""
     order = [F.asc("load_order")] if "load_order" in table.columns else [F.asc("id")]
-    rows = table.orderBy(*order).limit(RULE_LIMIT + 1).collect()
-    if len(rows) > RULE_LIMIT:
-        raise ValueError(f"more than {RULE_LIMIT} rules")
+    rows = table.orderBy(*order).collect()
     return [_record(row.asDict(recursive=True)) for row in rows]
 
 
