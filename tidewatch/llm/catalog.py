@@ -215,7 +215,7 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: Documents below this mean log ratio go.
-QUALITY_THRESHOLD = -0.5
+QUALITY_THRESHOLD = -0.25
 
 
 @query
