@@ -6,6 +6,7 @@ import pytest
 from oracle import connect, difference
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tidewatch.catalog import QUERIES
 
 FOLDER = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="benchmark tables are not here")
@@ -16,7 +17,7 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, con, name):
     assert name in oracle_sql()
     assert difference(queries()[name](spark, FOLDER), oracle_sql()[name], con) is None
