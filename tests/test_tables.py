@@ -329,3 +329,20 @@ def test_activity(spark):
     totals = {(r["counter"], r["label"], r["detail"]): r["total"] for r in counted.collect()}
     assert totals[("events", "purchase", "log")] == 2 and totals[("tag_changes", "remove", "AUTO")] == 1
     assert totals[("orders", "pending", "LOW")] == 1 and totals[("rule_matches", "r1", "")] == 1
+
+
+def test_messages_are_strict(spark):
+    good = '"user_id":"u","event_type":"view"'
+    cases = {
+        f"{{{good}}}": None, f'{{{good},"session_id":null,"timestamp":1700000000}}': None, f'{{{good},"properties":{{}}}}': None,
+        f"{{{good}}} x": "malformed", f"{{{good}}}{{}}": "malformed", f"{{{good}}},{{}}": "malformed", f"{{{good}}}] x": "malformed",
+        "": "malformed", "[1]": "malformed", "5": "malformed", None: "malformed", '{"event_type":"view"}': "missing user_id",
+        '{"user_id":null,"event_type":"view"}': "missing user_id", '{"user_id":5,"event_type":"view"}': "bad user_id",
+        '{"user_id":{"a":1},"event_type":"view"}': "bad user_id", '{"user_id":"u"}': "unknown event_type",
+        '{"user_id":"u","event_type":7}': "unknown event_type", f'{{{good},"timestamp":null}}': "bad timestamp",
+        f'{{{good},"timestamp":true}}': "bad timestamp", f'{{{good},"session_id":12}}': "bad session_id",
+        f'{{{good},"event_id":null}}': "bad event_id",
+        **{f'{{{good},"properties":{p}}}': "bad properties" for p in ("[1]", '"{}"', "7", "null")},
+    }
+    rows = src.parse_messages(spark.createDataFrame([(c,) for c in cases], "value string")).collect()
+    assert {r["_raw"]: r["_reject"] for r in rows} == cases

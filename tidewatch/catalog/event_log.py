@@ -113,9 +113,9 @@ def log_rows(spark, d):
 
 # every event as a message; some made invalid, so that each reason occurs
 MESSAGE_SQL = """messages AS (
-  SELECT event_id, k, CASE WHEN k % 20 = 1 THEN 'malformed' WHEN k % 20 = 2 THEN 'missing user_id'
-    WHEN event_type IN ('signup', 'error') THEN 'unknown event_type' WHEN k % 20 = 3 THEN 'bad timestamp'
-    END AS reason, user_id, event_type, "timestamp" FROM ev)"""
+  SELECT event_id, k, CASE WHEN k % 20 IN (1, 6) THEN 'malformed' WHEN k % 20 = 2 THEN 'missing user_id'
+    WHEN k % 20 = 4 THEN 'bad user_id' WHEN event_type IN ('signup', 'error') THEN 'unknown event_type'
+    WHEN k % 20 = 3 THEN 'bad timestamp' WHEN k % 20 = 5 THEN 'bad properties' END AS reason, user_id, event_type, "timestamp" FROM ev)"""
 
 
 def _messages(events):
@@ -125,7 +125,13 @@ def _messages(events):
         F.when(k % 20 == 3, F.lit("yesterday")).otherwise(tu.format_iso(F.col("timestamp"))).alias("timestamp"),
         F.from_json("properties", "k int").alias("properties"),
     ))
-    return events.select(F.when(k % 20 == 1, F.concat(F.lit("{"), body)).otherwise(body).alias("value"))
+    user = F.concat(F.lit('"user_id":"'), F.col("user_id"), F.lit('"'))
+    return events.select(
+        F.when(k % 20 == 1, F.concat(F.lit("{"), body))
+        .when(k % 20 == 4, F.replace(body, user, F.lit('"user_id":5')))
+        .when(k % 20 == 5, F.regexp_replace(body, r'"properties":\{[^}]*\}', '"properties":[1]'))
+        .when(k % 20 == 6, F.concat(body, F.lit(" {}"))).otherwise(body).alias("value")
+    )
 
 
 @query("parsed_events", f"""WITH {EV}, {MESSAGE_SQL} SELECT event_id, user_id, event_type, "timestamp"

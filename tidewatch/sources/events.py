@@ -14,47 +14,57 @@ RETENTION_DAYS = 90
 EPOCH_SECONDS_MAX = 20_000_000_000
 LOG_KEYS = ("event_date", "event_type", "timestamp", "event_id")
 
-# message fields as they arrive: the instant as text, the open part as JSON
-_MESSAGE = T.StructType([
-    *[
-        T.StructField(f.name, T.StringType(), True)
-        for f in schema.EVENTS.fields
-        if f.name != "properties"
-    ],
-    T.StructField("properties", T.StringType(), True),
-    T.StructField("_corrupt", T.StringType(), True),
-])
+_OPTIONAL = ("session_id", "page_url", "referrer", "user_agent", "ip_address")
 
 
 def parse_messages(messages: DataFrame, value: str = "value") -> DataFrame:
     """JSON messages (batch or stream) to event columns plus ``_reject``.
 
-    ``_reject`` is null for a valid event, else the reason: text that is not a
-    JSON object, a missing user, an unknown event type or an unreadable time.
+    ``_reject`` is null for a valid event, else the reason. A message is one JSON object and
+    nothing after it, no name twice. Ids and other texts must be JSON texts, the properties an object,
+    the time text or a number; only the optional texts may be null, and what has a default may be missing.
     """
     body = F.col(value).cast("string")
-    parsed = F.from_json(
-        body, _MESSAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    # a number that depends on the message follows it in a list: text after the object cannot pass unseen
+    whole = F.try_parse_json(F.concat(F.lit("["), body, F.lit(","), F.xxhash64(body).cast("string"), F.lit("]")))
+    # as a generated row the parsed message is used by all fields and not parsed for each
+    rows = messages.select(body.alias("_raw"), F.explode(F.array(whole)).alias("_v"))
+
+    def kind(path: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get("_v", path, "variant"))
+
+    def text(name: str) -> Column:
+        return F.try_variant_get("_v", f"$[0].{name}", "string")
+
+    names = ("event_id", "user_id", "event_type", "timestamp", *_OPTIONAL, "properties")
+    kinds = F.struct(*[kind(f"$[0].{n}").alias(n) for n in names])
+    is_object = F.try_variant_get("_v", "$[0]", "map<string,variant>").isNotNull()
+    sealed = F.try_variant_get("_v", "$[1]", "bigint") == F.xxhash64("_raw")
+    rows = rows.select(
+        "_raw", F.explode(F.array(kinds)).alias("_kind"), F.coalesce(is_object & sealed, F.lit(False)).alias("_object"),
+        *[text(n).alias(n) for n in names[:-1]],
+        F.to_json(F.try_variant_get("_v", "$[0].properties", "variant")).alias("properties"),
     )
-    rows = messages.select(body.alias("_raw"), parsed.alias("_m")).select("_raw", "_m.*")
-    at = _moment(F.col("timestamp"))
-    properties = F.coalesce(F.col("properties"), F.lit("{}"))
+    of = {n: F.col(f"_kind.{n}") for n in names}
+    timed = (of["timestamp"] == "STRING") | of["timestamp"].rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    # events without a time get the time they are first seen
+    at = F.when(of["timestamp"].isNull(), F.current_timestamp()).when(timed, _moment(F.col("timestamp")))
     # ids are random where the producer gave none; a digest keeps replays stable
     event_id = F.coalesce(F.col("event_id"), F.sha2(F.col("_raw"), 256))
-    # events without a time get the time they are first seen
-    seen = F.when(F.col("timestamp").isNull(), F.current_timestamp()).otherwise(at)
+    reason = (
+        F.when(~F.col("_object"), F.lit("malformed"))
+        .when(of["user_id"].isNull() | (of["user_id"] == "VOID"), F.lit("missing user_id"))
+        .when(of["user_id"] != "STRING", F.lit("bad user_id"))
+        .when((of["event_type"] != "STRING") | ~_known_type(F.col("event_type")), F.lit("unknown event_type"))
+        .when(at.isNull(), F.lit("bad timestamp"))
+        .when(~of["properties"].startswith("OBJECT"), F.lit("bad properties"))
+        .when(of["event_id"] != "STRING", F.lit("bad event_id"))
+    )
+    for name in _OPTIONAL:
+        reason = reason.when(~of[name].isin("STRING", "VOID"), F.lit(f"bad {name}"))
     return rows.select(
-        event_id.alias("event_id"),
-        "user_id", "event_type", seen.alias("timestamp"),
-        "session_id", "page_url", "referrer", "user_agent", "ip_address",
-        properties.alias("properties"),
-        F.when(F.col("_corrupt").isNotNull() | (F.coalesce(F.trim("_raw"), F.lit("")) == ""), F.lit("malformed"))
-        .when(F.col("user_id").isNull(), F.lit("missing user_id"))
-        .when(~_known_type(F.col("event_type")), F.lit("unknown event_type"))
-        .when(seen.isNull(), F.lit("bad timestamp"))
-        .when(F.try_parse_json(properties).isNull(), F.lit("bad properties"))
-        .alias("_reject"),
-        "_raw",
+        event_id.alias("event_id"), "user_id", "event_type", at.alias("timestamp"), *_OPTIONAL,
+        F.coalesce("properties", F.lit("{}")).alias("properties"), reason.alias("_reject"), "_raw",
     )
 
 
