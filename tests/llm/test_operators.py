@@ -530,3 +530,29 @@ def test_ratio_prefers_the_target(spark, odd, empty):
     nothing = quality.count_grams(empty, trusted)
     assert not nothing.any() and not quality.log_ratios(nothing).any()
     assert quality.score(odd, quality.log_ratios(quality.count_grams(odd, trusted.limit(0)))).where("score <> 0").isEmpty()
+
+
+def test_edit_similarity_equals_the_table():
+    import random
+
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            after = [i]
+            for j, y in enumerate(b, 1):
+                after.append(min(row[j] + 1, after[-1] + 1, row[j - 1] + (x != y)))
+            row = after
+        return row[-1]
+
+    rnd = random.Random(5)
+    for size in (*[12] * 1500, 90, 700, 900):
+        a = "".join(rnd.choice("ab cé") for _ in range(rnd.randint(size // 2, size)))
+        b = list(a)
+        for _ in range(rnd.choice([0, 2, size // 4])):
+            b.insert(rnd.randint(0, len(b)), "z")
+            b.pop(rnd.randrange(len(b)))
+        b = "".join(b)
+        edits = table(a, b)
+        assert lines.edit_distance(a, b) == edits
+        for least in (0.5, 0.8):
+            assert lines.within(a, b, least) == (edits <= int((1 - least) * max(len(a), len(b)) + 1e-9))
