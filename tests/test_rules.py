@@ -98,19 +98,43 @@ def test_tag_and_audit_rows(spark):
 
 def test_set_and_remove_tags(spark):
     held = spark.createDataFrame(
-        [("u:1", "old", "1", "AUTO", 1.0, None, T0, False), ("u:1", "vip", "1", "AUTO", 1.0, None, T0, False),
-         ("v", "old", "1", "AUTO", 1.0, None, T0, False)], schema.TAG_CHANGES)
+        [("u:1", "old", "1", "AUTO", 1.0, None, T0, False, None), ("u:1", "vip", "1", "AUTO", 1.0, None, T0, False, 0),
+         ("v", "old", "1", "AUTO", 1.0, None, T0, False, 0)], schema.TAG_CHANGES)
     rule_list = [
         Rule("set", "Set", "user_id == 'u:1'", actions=(Action("TAG_USER", {"tags": ["vip", "new"], "action": "set"}),)),
         Rule("drop", "Drop", "user_id == 'v'", actions=(Action("TAG_USER", {"tags": ["old"], "action": "remove"}),)),
     ]
     later = hits(spark, rule_list=rule_list).withColumn("executed_at", F.lit(T0 + timedelta(days=1)).cast("timestamp"))
-    present = tags.current_tags(held)
-    changes = actions.default_registry(present).run(later, "TAG_USER")
+    changes = actions.default_registry().run(later, "TAG_USER")
     now = tags.current_tags(held.unionByName(changes)).collect()
     assert {(r["user_id"], r["tag_name"]) for r in now} == {("u:1", "vip"), ("u:1", "new")}
 
 
+def test_changes_of_one_instant_by_place(spark):
+    act = lambda kind, *names: Action("TAG_USER", {"tags": names, "action": kind})
+    rule_list = [
+        Rule("low", "Low", "user_id == 'v'", 1, actions=(act("add", "vip"), act("add", "x"), act("set", "vip", "y"))),
+        Rule("high", "High", "user_id == 'v'", 2, actions=(act("remove", "vip"), act("add", "z", None))),
+    ]
+    changes = actions.default_registry().run(hits(spark, rule_list=rule_list), "TAG_USER")
+    assert {r["tag_name"] for r in tags.current_tags(changes).collect()} == {"vip", "y"}
+    log = tags.latest_changes(changes)
+    assert {r["tag_name"] for r in log.filter("deleted").collect()} == {"x", "z"}
+
+
+def test_metadata_takes_the_place_of_fields(spark):
+    params = {"rule_id": "", "metadata": {"reason": "META", "context": [1], "rule_id": "other"}}
+    rule_list = [
+        Rule("a", "A", "user_id == 'v'", 2, actions=(Action("TRIGGER_AUDIT", params),)),
+        Rule("b", "B", "user_id == 'v'", 1, actions=(Action("TRIGGER_AUDIT", {"rule_id": "", "reason": 'q"'}),)),
+    ]
+    orders = {r["rule_id"]: r["trigger_data"] for r in actions.default_registry().run(hits(spark, rule_list=rule_list), "TRIGGER_AUDIT").collect()}
+    assert set(orders) == {"a", "b"}
+    pairs = json.loads(orders["a"], object_pairs_hook=list)
+    assert len(pairs) == len(dict(pairs)) and dict(pairs)["reason"] == "META" and dict(pairs)["context"] == [1] and dict(pairs)["rule_id"] == "other"
+    assert json.loads(orders["b"])["reason"] == 'q"' and json.loads(orders["b"])["rule_id"] == "b"
+
+
 def test_own_handler(spark):
     registry = actions.default_registry()
     registry.register("BLOCK_USER", actions.Handler(

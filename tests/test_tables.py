@@ -171,11 +171,11 @@ def test_any_amount_is_summed(spark):
 
 def changes(spark):
     rows = [
-        ("u", "level", "new", "AUTO", 0.5, None, T0, False),
-        ("u", "level", "vip", "RULE", 0.9, T0 + 5 * DAY, T0 + DAY, False),
-        ("u", "risk", "high", "AUDIT", 1.0, None, T0, False),
-        ("u", "risk", None, "AUTO", 1.0, None, T0 + DAY, True),
-        ("v", "level", "vip", "MANUAL", 1.0, None, T0, False),
+        ("u", "level", "new", "AUTO", 0.5, None, T0, False, None),
+        ("u", "level", "vip", "RULE", 0.9, T0 + 5 * DAY, T0 + DAY, False, None),
+        ("u", "risk", "high", "AUDIT", 1.0, None, T0, False, None),
+        ("u", "risk", None, "AUTO", 1.0, None, T0 + DAY, True, None),
+        ("v", "level", "vip", "MANUAL", 1.0, None, T0, False, None),
     ]
     return spark.createDataFrame(rows, schema.TAG_CHANGES)
 

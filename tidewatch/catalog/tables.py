@@ -119,7 +119,7 @@ def tags_replaced(spark, d):
 
 @query("tag_log_compacted", f"WITH {TAGS} SELECT {TAG_SQL} FROM tags")
 def tag_log_compacted(spark, d):
-    return _shown(tags.compact(tag_changes(ev(spark, d))).drop("deleted"))
+    return _shown(tags.compact(tag_changes(ev(spark, d))).drop("deleted", "seq"))
 
 
 # --- profiles ---------------------------------------------------------------

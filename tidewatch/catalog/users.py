@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.base import (
-    AS_OF, CONTEXTS, EV, HITS, RULES, TAGS, ev, failed, present_tags, query,
+    AS_OF, CONTEXTS, EV, HITS, RULES, TAGS, ev, failed, query, tag_changes,
 )
-from tidewatch.operators import stats
+from tidewatch.operators import stats, tags
 from tidewatch.plans import actions, match, rules
 from tidewatch.plans.conditions import field_condition as fc
 
@@ -80,10 +80,12 @@ def rule_match_counts(spark, d):
 
 
 @query("rule_validation", f"""WITH {HITS} SELECT r.rule_id AS rule_id, bool_and(r.ok) AS valid,
-  count(*) FILTER (r.ok) AS valid_contexts, count(*) FILTER (r.hit) AS matched_contexts FROM held GROUP BY 1""")
+  count(*) FILTER (r.ok) AS valid_contexts, count(*) FILTER (r.hit) AS matched_contexts,
+  NOT bool_and(r.ok) AS has_error FROM held GROUP BY 1
+  UNION ALL SELECT 'switched_off', true, count(*), count(*) FILTER (event_count > 0), false FROM contexts""")
 def rule_validation(spark, d):
-    rows = match.validate(contexts(spark, d), [r for r in RULES if r.enabled])
-    return rows.select("rule_id", "valid", "valid_contexts", "matched_contexts")
+    rows = match.validate(contexts(spark, d), RULES)
+    return rows.select("rule_id", "valid", "valid_contexts", "matched_contexts", F.col("error").isNotNull().alias("has_error"))
 
 
 def _conditions_sql() -> str:
@@ -144,11 +146,11 @@ def match_results(spark, d):
     )
 
 
-@query("tag_actions", f"""WITH {ACTION_SQL} SELECT user_id, unnest(a.tags) AS tag_name, 'true' AS value, 'RULE' AS source,
+@query("tag_actions", f"""WITH {ACTION_SQL} SELECT user_id, unnest(a.tags) AS tag_name, 'true' AS value, 'RULE' AS source, 1.0::DOUBLE AS confidence,
   CASE WHEN rule_id = 'error_share' THEN {AT_SQL} + INTERVAL 1 DAY END AS expire_at, {AT_SQL} AS ts, false AS deleted
   FROM acts WHERE a.type = 'TAG_USER' AND a.error IS NULL""")
 def tag_actions(spark, d):
-    return actions.default_registry().run(matches(spark, d), "TAG_USER").drop("confidence")
+    return actions.default_registry().run(matches(spark, d), "TAG_USER").drop("seq")
 
 
 @query("audit_actions", f"""WITH {ACTION_SQL} SELECT user_id, rule_id, a.level AS audit_level, 'pending' AS status,
@@ -165,15 +167,28 @@ def audit_actions(spark, d):
 
 
 @query("tags_set_by_rule", f"""WITH {CONTEXTS}{TAGS[len(EV):]}, users AS (SELECT user_id FROM contexts WHERE event_count > 70)
-  SELECT user_id, tag_name, {AT_SQL} AS ts, true AS deleted FROM tags JOIN users USING (user_id)
-    WHERE tag_name NOT IN ('pref_1', 'fresh')
-  UNION ALL SELECT user_id, unnest(['pref_1', 'fresh']), {AT_SQL}, false FROM users""")
+  SELECT user_id, tag_name, value, source, ts FROM tags WHERE user_id NOT IN (SELECT user_id FROM users)
+  UNION ALL SELECT user_id, unnest(['pref_1', 'fresh']), 'true', 'RULE', {AT_SQL} FROM users""")
 def tags_set_by_rule(spark, d):
     rule = rules.Rule("reset", "Reset", "event_count > 70",
                       actions=(rules.Action("TAG_USER", {"tags": ["pref_1", "fresh"], "action": "set"}),))
     hits = match.match(contexts(spark, d), [rule], executed_at=AS_OF)
-    done = actions.default_registry(present_tags(spark, d)).run(hits, "TAG_USER")
-    return done.select("user_id", "tag_name", "ts", "deleted")
+    done = actions.default_registry().run(hits, "TAG_USER")
+    now = tags.current_tags(tag_changes(ev(spark, d)).unionByName(done))
+    return now.select("user_id", "tag_name", "value", "source", "ts")
+
+
+@query("tags_by_order", f"""WITH {CONTEXTS} SELECT user_id, 'watched' AS tag_name, {AT_SQL} AS ts FROM contexts WHERE event_count > 60
+  UNION ALL SELECT user_id, 'last', {AT_SQL} FROM contexts WHERE event_count > 60""")
+def tags_by_order(spark, d):
+    """Several rules and actions change one user's tags at one instant; the last by place holds."""
+    act = lambda kind, *names: rules.Action("TAG_USER", {"tags": names, "action": kind})
+    chosen = [
+        rules.Rule("late", "Late", "event_count > 60", 1, actions=(act("add", "watched"), act("set", "first"), act("set", "watched"), act("add", "last"))),
+        rules.Rule("early", "Early", "event_count > 50", 2, actions=(act("add", "watched"), act("remove", "watched"))),
+    ]
+    hits = match.match(contexts(spark, d), chosen, executed_at=AS_OF)
+    return tags.current_tags(actions.default_registry().run(hits, "TAG_USER")).select("user_id", "tag_name", "ts")
 
 
 BATCH_SQL = EV + """, asked AS (SELECT CASE WHEN k % 9 = 0 THEN '' ELSE user_id END AS user_id, k, "timestamp" FROM ev)"""
@@ -196,10 +211,10 @@ def batch_tagging(spark, d):
     return rows.groupBy("user_id", "status").agg(F.count(F.lit(1)).alias("requests"))
 
 
-@query("batch_tag_changes", f"""WITH {BATCH_SQL} SELECT user_id, unnest(['b1', 'b2']) AS tag_name, 'RULE' AS source, "timestamp" AS ts
-  FROM asked WHERE user_id <> '' AND k % 5 <> 0""")
+@query("batch_tag_changes", f"""WITH {BATCH_SQL} SELECT user_id, unnest(['b1', 'b2']) AS tag_name, 'true' AS value, 'RULE' AS source,
+  1.0::DOUBLE AS confidence, CAST(NULL AS TIMESTAMP) AS expire_at, "timestamp" AS ts, false AS deleted FROM asked WHERE user_id <> '' AND k % 5 <> 0""")
 def batch_tag_changes(spark, d):
-    return actions.batch_tag_changes(_batch(spark, d), F.col("timestamp")).select("user_id", "tag_name", "source", "ts")
+    return actions.batch_tag_changes(_batch(spark, d), F.col("timestamp")).drop("seq")
 
 
 @query("batch_audit", f"""WITH {BATCH_SQL} SELECT user_id, 'r' || CAST(k % 3 AS VARCHAR) AS rule_id,
@@ -229,13 +244,13 @@ def rule_table(spark, d):
     k, kind = F.col("product_id").cast("bigint"), F.col("event_type")
     op = F.when(kind == "signup", "create").when((kind == "error") & (k % 4 == 0), "delete").otherwise("update")
     given = lambda t, c: F.when((kind == "signup") | (kind == t), c)
-    tags = F.when(k % 2 == 0, F.array(F.lit("even"), F.lit("all"))).otherwise(F.array(F.lit("all")))
+    marks = F.when(k % 2 == 0, F.array(F.lit("even"), F.lit("all"))).otherwise(F.array(F.lit("all")))
     log = ev(spark, d).select(
         F.concat(F.lit("rule_"), F.col("user_id")).alias("id"), F.col("timestamp").alias("ts"), op.alias("op"),
         given("view", F.concat(F.lit("Rule "), k.cast("string"))).alias("name"),
         F.lit(None).cast("string").alias("description"), given("view", F.lit("event_count > 0")).alias("condition"),
         given("click", (k % 4).cast("int")).alias("priority"), given("purchase", k % 3 != 0).alias("enabled"),
-        F.lit(None).cast("string").alias("actions"), given("error", tags).alias("tags"),
+        F.lit(None).cast("string").alias("actions"), given("error", marks).alias("tags"),
         F.lit(None).cast("string").alias("created_by"),
     )
     return rules.rule_changes_applied(log)
@@ -319,3 +334,10 @@ CONSTRUCTS = {
 def condition_constructs(spark, d):
     rows = match.validate(contexts(spark, d), [rules.Rule(n, n, text) for n, (text, _) in CONSTRUCTS.items()])
     return rows.select(F.col("rule_id").alias("construct"), F.col("matched_contexts").alias("matched"))
+
+
+@query("batch_audit_status", f"""WITH {BATCH_SQL} SELECT user_id, CASE WHEN user_id = '' THEN 'error' ELSE 'success' END AS status,
+  count(*) AS requests FROM asked GROUP BY ALL""")
+def batch_audit_status(spark, d):
+    rows = actions.batch_audit_status(_batch(spark, d))
+    return rows.groupBy("user_id", "status").agg(F.count(F.lit(1)).alias("requests"))

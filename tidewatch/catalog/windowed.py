@@ -156,11 +156,11 @@ def _burst_sql(name, severity, where, by, micros, limit, field, message):
 
 
 FREQUENT = _burst_sql("high_frequency_operation", "medium", "true", None, 86400000000, 6, "event_count",
-                      "'检测到高频操作: 每分钟 ' || n || ' 次事件'")
+                      "'检测到高频操作: 1天内 ' || n || ' 次事件'")
 CLICKS = _burst_sql("rapid_click", "low", "event_type = 'click'", None, 172800000000, 3, "click_count",
-                    "'检测到快速点击: 10秒内 ' || n || ' 次点击'")
+                    "'检测到快速点击: 2天内 ' || n || ' 次点击'")
 PURCHASES = _burst_sql("unusual_purchase_pattern", "medium", "event_type = 'purchase'", "product_id", 864000000000, 1,
-                       "purchase_count", "'检测到异常购买: 1小时内购买商品 ' || product_id || ' 共 ' || n || ' 次'")
+                       "purchase_count", "'检测到异常购买: 10天内购买商品 ' || product_id || ' 共 ' || n || ' 次'")
 FAIL_WALK = EV + """, numbered AS (
   SELECT event_id, user_id, us, "timestamp", row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS rn
   FROM ev WHERE event_type = 'error'), walk AS (
@@ -170,7 +170,7 @@ FAIL_WALK = EV + """, numbered AS (
   FROM (SELECT n.*, list_append(list_filter(w.recent, lambda x: x > n.us - 172800000000), n.us) AS kept
         FROM walk w JOIN numbered n ON n.user_id = w.user_id AND n.rn = w.rn + 1))"""
 FAILURES = """SELECT 'login_failure_brute_force' AS alert_type, user_id, event_id, 'high' AS severity,
-    '检测到暴力破解尝试: 10分钟内登录失败 3 次' AS message,
+    '检测到暴力破解尝试: 2天内登录失败 3 次' AS message,
     '{"fail_count":3,"window_minutes":2880,"threshold":3}' AS trigger_data, "timestamp", false AS resolved
   FROM walk WHERE fired"""
 
@@ -203,9 +203,21 @@ def all_alerts(spark, d):
     return rows.select("alert_id", *ALERT_COLS)
 
 
-@query("default_alerts", f"""WITH {EV}, f AS ({FREQUENT.replace("86400000000", "60000000").replace("> 6", "> 100")}),
-  c AS ({CLICKS.replace("172800000000", "10000000").replace("> 3", "> 20")})
-  SELECT (SELECT count(*) FROM f) + (SELECT count(*) FROM c) AS alert_count""")
+# the same events under three users and within minutes, where the usual limits are reached
+DENSE = EV.replace("ev AS", "raw AS", 1) + """, ev AS (
+  SELECT * REPLACE (CAST(CAST(user_id AS BIGINT) % 3 AS VARCHAR) AS user_id, us // 20000 AS us,
+    make_timestamp(us // 20000) AS "timestamp") FROM raw)""" + FAIL_WALK[len(EV):].replace(">= 3", ">= 5").replace("172800000000", "600000000")
+USUAL = " UNION ALL ".join((
+    FREQUENT.replace("86400000000", "60000000").replace("> 6", "> 100").replace('"threshold":6', '"threshold":100').replace("1天内", "每分钟"),
+    CLICKS.replace("172800000000", "10000000").replace("> 3", "> 20").replace('"threshold":3', '"threshold":20').replace("2天内", "10秒内"),
+    PURCHASES.replace("864000000000", "3600000000").replace("> 1", "> 5").replace('"threshold":1', '"threshold":5').replace("10天内", "1小时内"),
+    FAILURES.replace("2天内登录失败 3", "10分钟内登录失败 5").replace('"fail_count":3', '"fail_count":5').replace("2880", "10").replace('"threshold":3', '"threshold":5'),
+))
+
+
+@query("default_alerts", f"WITH RECURSIVE {DENSE} {USUAL}")
 def default_alerts(spark, d):
-    rows = detect.burst_alerts(ev(spark, d)).filter(F.col("alert_type") != "unusual_purchase_pattern")
-    return rows.agg(F.count(F.lit(1)).alias("alert_count"))
+    us = F.call_function("div", F.unix_micros("timestamp"), F.lit(20000).cast("bigint"))
+    dense = ev(spark, d).withColumn("timestamp", F.timestamp_micros(us)).withColumn(
+        "user_id", (F.col("user_id").cast("bigint") % 3).cast("string"))
+    return detect.all_alerts(dense, failed=failed()).select(*ALERT_COLS)

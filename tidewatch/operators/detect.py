@@ -24,10 +24,10 @@ RAPID_CLICK = ("rapid_click", "low", 20, timedelta(seconds=10))
 UNUSUAL_PURCHASE = ("unusual_purchase_pattern", "medium", 5, timedelta(hours=1))
 LOGIN_FAILURE = ("login_failure_brute_force", "high", 5, timedelta(minutes=10))
 MESSAGES = {
-    "high_frequency_operation": "检测到高频操作: 每分钟 %d 次事件",
-    "rapid_click": "检测到快速点击: 10秒内 %d 次点击",
-    "unusual_purchase_pattern": "检测到异常购买: 1小时内购买商品 %s 共 %d 次",
-    "login_failure_brute_force": "检测到暴力破解尝试: 10分钟内登录失败 %d 次",
+    "high_frequency_operation": "检测到高频操作: {} %d 次事件",
+    "rapid_click": "检测到快速点击: {} %d 次点击",
+    "unusual_purchase_pattern": "检测到异常购买: {}购买商品 %s 共 %d 次",
+    "login_failure_brute_force": "检测到暴力破解尝试: {}登录失败 %d 次",
 }
 COUNT_FIELDS = {
     "high_frequency_operation": "event_count",
@@ -35,6 +35,16 @@ COUNT_FIELDS = {
     "unusual_purchase_pattern": "purchase_count",
     "login_failure_brute_force": "fail_count",
 }
+PER_MINUTE, WITHIN = "每分钟", "内"
+UNITS = (("天", timedelta(days=1)), ("小时", timedelta(hours=1)), ("分钟", timedelta(minutes=1)), ("秒", timedelta(seconds=1)))
+
+
+def message_format(alert_type: str, window: timedelta) -> str:
+    """The message of a detector, with its window in the largest unit that divides it."""
+    if (alert_type, window) == (HIGH_FREQUENCY[0], HIGH_FREQUENCY[3]):
+        return MESSAGES[alert_type].format(PER_MINUTE)
+    name, unit = next((u for u in UNITS if not window % u[1]), UNITS[-1])
+    return MESSAGES[alert_type].format(f"{window / unit:g}{name}{WITHIN}")
 
 
 @dataclass(frozen=True)
@@ -139,9 +149,9 @@ def burst_alert(burst: Burst, count: Column) -> Column:
     data = [count.alias(COUNT_FIELDS[burst.alert_type]), F.lit(burst.threshold).alias("threshold")]
     if burst.by:
         data.insert(0, F.col(burst.by).alias(burst.by))
-        message = F.format_string(MESSAGES[burst.alert_type], F.col(burst.by), count)
+        message = F.format_string(message_format(burst.alert_type, burst.window), F.col(burst.by), count)
     else:
-        message = F.format_string(MESSAGES[burst.alert_type], count)
+        message = F.format_string(message_format(burst.alert_type, burst.window), count)
     return _alert(burst.alert_type, burst.severity, message, data)
 
 
@@ -243,7 +253,7 @@ def login_failure_alerts(
         F.lit(threshold).alias("threshold"),
     ]
     hits = failure_bursts(events, failed, threshold, window).withColumn(
-        "_alert", _alert(alert_type, severity, F.format_string(MESSAGES[alert_type], count), data)
+        "_alert", _alert(alert_type, severity, F.format_string(message_format(alert_type, window), count), data)
     )
     return _alert_rows(hits)
 

@@ -1,27 +1,29 @@
 """User tags as a change log read latest-wins.
 
-A change row is an upsert or, with ``deleted``, a removal. Nothing is updated in
-place: concurrent writers append, readers take the latest row per user and tag.
+A change row is an upsert or, with ``deleted``, a removal; a removal without a tag name
+takes all tags the user holds by then. Nothing is updated in place: concurrent writers
+append, readers take the latest row per user and tag. ``seq`` orders changes of one
+instant; where it is null, as in older logs, it counts as 0.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import schema
 
 #: Longest list of users that is a filter; a longer one is joined, with the same answer.
 BATCH_LIMIT = 100
-_VALUE_FIELDS = ("value", "source", "confidence", "expire_at", "ts", "deleted")
+_VALUE_FIELDS = ("value", "source", "confidence", "expire_at", "ts", "deleted", "seq")
 
 
 def change_rows(
     rows: DataFrame, user: Column, name: Column, value: Column, ts: Column,
     source: Column | None = None, confidence: Column | None = None, expire_at: Column | None = None,
-    deleted: Column | None = None,
+    deleted: Column | None = None, seq: Column | None = None,
 ) -> DataFrame:
     """Rows of the tag change log; an unknown source is recorded as AUTO."""
     given = F.upper(source) if source is not None else F.lit("AUTO")
@@ -34,6 +36,7 @@ def change_rows(
         (expire_at if expire_at is not None else F.lit(None)).cast("timestamp").alias("expire_at"),
         ts.cast("timestamp").alias("ts"),
         (deleted if deleted is not None else F.lit(False)).cast("boolean").alias("deleted"),
+        (seq if seq is not None else F.lit(0)).cast("bigint").alias("seq"),
     )
 
 
@@ -44,13 +47,21 @@ def removals(rows: DataFrame, user: Column, name: Column, ts: Column) -> DataFra
 def latest_changes(changes: DataFrame) -> DataFrame:
     """Last change per user and tag, removals included.
 
-    At equal times a removal wins over an upsert, then the larger value. An
-    aggregate, so each task reduces its own rows before the shuffle.
+    At equal times the larger ``seq`` is the later change; at equal ones of these a removal wins
+    over an upsert, then the larger value. An aggregate, so each task reduces its own
+    rows before the shuffle; only one row per user and tag is then held against the
+    user's last removal of all tags.
     """
-    order = F.struct("ts", "deleted", "value", "source", "confidence", "expire_at")
+    order = F.struct("ts", F.coalesce("seq", F.lit(0)).alias("seq"), "deleted", "value", "source", "confidence", "expire_at")
+    last = changes.groupBy("user_id", "tag_name").agg(F.max(order).alias("_last"))
+    at = F.struct("_last.ts", "_last.seq")
+    cleared = F.max(F.when(F.col("tag_name").isNull(), at)).over(Window.partitionBy("user_id"))
+    gone = F.col("_last.deleted") | F.coalesce(at < F.col("_cleared"), F.lit(False))
     return (
-        changes.groupBy("user_id", "tag_name").agg(F.max(order).alias("_last"))
-        .select("user_id", "tag_name", *[F.col(f"_last.{c}").alias(c) for c in _VALUE_FIELDS])
+        last.withColumn("_cleared", cleared).filter(F.col("tag_name").isNotNull())
+        .select("user_id", "tag_name", *[
+            gone.alias(c) if c == "deleted" else F.col(f"_last.{c}").alias(c) for c in _VALUE_FIELDS
+        ])
     )
 
 
@@ -58,7 +69,7 @@ def current_tags(changes: DataFrame, as_of: datetime | None = None) -> DataFrame
     """Present tags; with ``as_of`` the changes up to then and only tags still valid."""
     if as_of is not None:
         changes = changes.filter(F.col("ts") <= F.lit(as_of))
-    tags = latest_changes(changes).filter(~F.col("deleted")).drop("deleted")
+    tags = latest_changes(changes).filter(~F.col("deleted")).drop("deleted", "seq")
     return tags if as_of is None else valid_tags(tags, as_of)
 
 

@@ -101,30 +101,30 @@ def _tag_check(user: Column, action: Column) -> Column:
     )
 
 
-def tag_handler(present: DataFrame | None = None) -> Handler:
-    """TAG_USER. ``present`` are the tags users hold; ``set`` removes those it does not name."""
+def tag_handler() -> Handler:
+    """TAG_USER. Changes of one match take effect by place of the rule, then of the action.
+
+    ``set`` first removes all tags the user holds by then, in a row without a tag name.
+    """
 
     def apply(actions: DataFrame) -> DataFrame:
         rows = actions.withColumn("_p", F.from_json("action.params", _TAG_PARAMS)).withColumn(
             "_kind", F.coalesce("_p.action", F.lit("add"))
         )
-        each = rows.withColumn("_tag", F.explode(F.array_distinct("_p.tags")))
+        named = F.array_distinct(F.filter("_p.tags", lambda t: t.isNotNull()))
+        everything = F.array(F.lit(None).cast("string"))
+        each = rows.withColumn(
+            "_tag", F.explode(F.when(F.col("_kind") == "set", F.concat(everything, named)).otherwise(named))
+        )
         ttl = F.nullif(F.col("_p.ttl"), F.lit(0).cast("bigint"))
         expire = F.timestamp_micros(F.unix_micros("executed_at") + ttl * 1_000_000)
-        removed = F.col("_kind") == "remove"
-        changes = tags.change_rows(
+        removed = (F.col("_kind") == "remove") | F.col("_tag").isNull()
+        place = F.shiftleft(F.col("rank").cast("bigint"), 32) + F.col("action.action_no")
+        return tags.change_rows(
             each, F.col("user_id"), F.col("_tag"), F.when(~removed, F.lit(TAG_VALUE)), F.col("executed_at"),
             source=F.coalesce("_p.source", F.lit("rule")),
-            expire_at=F.when(~removed, expire), deleted=removed,
-        )
-        if present is None:
-            return changes
-        replaced = each.filter(F.col("_kind") == "set").select("user_id", F.col("_tag").alias("tag_name"), "executed_at")
-        wanted = tags.change_rows(
-            replaced, F.col("user_id"), F.col("tag_name"), F.lit(TAG_VALUE), F.col("executed_at")
+            expire_at=F.when(~removed, expire), deleted=removed, seq=place,
         )
-        gone = tags.replace_tags(present, wanted).filter("deleted")
-        return changes.unionByName(gone)
 
     return Handler(_tag_check, apply)
 
@@ -135,19 +135,24 @@ def _audit_check(user: Column, action: Column) -> Column:
 
 def _audit_orders(actions: DataFrame) -> DataFrame:
     rows = actions.withColumn("_p", F.from_json("action.params", _AUDIT_PARAMS))
-    rule = F.coalesce("_p.rule_id", F.get_json_object("context", "$.rule_id"), "rule_id")
-    base = F.to_json(F.struct(
-        rule.alias("rule_id"),
-        F.coalesce("_p.reason", F.lit(DEFAULT_REASON)).alias("reason"),
-        format_iso(F.col("executed_at")).alias("triggered_at"),
-    ))
-    context = F.concat(F.lit(',"context":'), F.col("context"), F.lit("}"))
+    rule = F.coalesce(F.nullif("_p.rule_id", F.lit("")), F.get_json_object("context", "$.rule_id"), "rule_id")
     metadata = F.get_json_object("action.params", "$.metadata")
-    extra = F.when(
-        F.size(F.json_object_keys(metadata)) > 0,
-        F.concat(F.lit(","), F.substring(metadata, F.lit(2), F.length(metadata) - 2)),
-    ).otherwise(F.lit(""))
-    data = F.concat(F.substring(base, F.lit(1), F.length(base) - 1), extra, context)
+    own = F.coalesce(F.json_object_keys(metadata), F.array().cast("array<string>"))
+
+    def inside(text: Column) -> Column:
+        return F.substring(text, F.lit(2), F.length(text) - 2)
+
+    def field(name: str, value: Column) -> Column:
+        text = F.to_json(F.struct(value.alias(name)), {"ignoreNullFields": "false"})
+        return F.when(~F.array_contains(own, name), inside(text))
+
+    # metadata takes the place of fields of the same name
+    data = F.concat(F.lit("{"), F.concat_ws(
+        ",", field("rule_id", rule), field("reason", F.coalesce("_p.reason", F.lit(DEFAULT_REASON))),
+        field("triggered_at", format_iso(F.col("executed_at"))),
+        F.when(~F.array_contains(own, "context"), F.concat(F.lit('"context":'), F.col("context"))),
+        F.when(F.size(own) > 0, inside(metadata)),
+    ), F.lit("}"))
     key = audit.order_id(
         F.col("user_id"), rule, F.col("action.action_no").cast("string"), F.col("executed_at").cast("string")
     )
@@ -162,9 +167,9 @@ def audit_handler() -> Handler:
     return Handler(_audit_check, _audit_orders)
 
 
-def default_registry(present_tags: DataFrame | None = None) -> ActionRegistry:
+def default_registry() -> ActionRegistry:
     """Handlers of the two actions that have one; notifications, blocks and alerts have none."""
-    return ActionRegistry({"TAG_USER": tag_handler(present_tags), "TRIGGER_AUDIT": audit_handler()})
+    return ActionRegistry({"TAG_USER": tag_handler(), "TRIGGER_AUDIT": audit_handler()})
 
 
 def batch_tag_status(rows: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def match(
     user_id = F.col(user).cast("string") if user in contexts.columns else F.lit(None).cast("string")
     return contexts.select(
         user_id.alias("user_id"),
-        F.to_json(F.struct(*[F.col(f"`{c}`") for c in contexts.columns])).alias("context"),
+        F.to_json(F.struct(*[F.col(f"`{c}`") for c in contexts.columns]), {"ignoreNullFields": "false"}).alias("context"),
         at.alias("executed_at"),
         F.posexplode(held).alias("rank", "_hit"),
     ).select(

@@ -53,6 +53,7 @@ RULES = _struct(
 TAG_CHANGES = _struct(
     ("user_id", _STRING), ("tag_name", _STRING), ("value", _STRING), ("source", _STRING),
     ("confidence", _DOUBLE), ("expire_at", _TIME), ("ts", _TIME), ("deleted", _BOOL),
+    ("seq", _LONG),
 )
 PROFILES = _struct(
     ("user_id", _STRING), ("basic_info", _STRING), ("behavior_tags", T.ArrayType(_STRING)),

@@ -22,7 +22,7 @@ from tidewatch.functions.timeutil import interval_text, micros
 from tidewatch.operators import audit
 from tidewatch.operators.detect import (
     LOGIN_FAILURE, Burst, _alert, _alert_rows, burst_alert, default_bursts, login_failed,
-    COUNT_FIELDS, MESSAGES,
+    COUNT_FIELDS, message_format,
 )
 
 FAILURE_SLOT = -1
@@ -179,11 +179,11 @@ def alert_stream(
     for i, b in enumerate(bursts):
         made = burst_alert(Burst(b.alert_type, b.severity, b.threshold, b.window, b.flag, None), n)
         if b.by:
-            made = _alert(b.alert_type, b.severity, F.format_string(MESSAGES[b.alert_type], F.col("by"), n), [
+            made = _alert(b.alert_type, b.severity, F.format_string(message_format(b.alert_type, b.window), F.col("by"), n), [
                 F.col("by").alias(b.by), n.alias(COUNT_FIELDS[b.alert_type]), F.lit(b.threshold).alias("threshold")])
         alert = F.when(F.col("slot") == i, made) if alert is None else alert.when(F.col("slot") == i, made)
     kind, severity = LOGIN_FAILURE[:2]
-    burst = _alert(kind, severity, F.format_string(MESSAGES[kind], n), [
+    burst = _alert(kind, severity, F.format_string(message_format(kind, window), n), [
         n.alias(COUNT_FIELDS[kind]), F.lit(window // timedelta(minutes=1)).alias("window_minutes"),
         F.lit(threshold).alias("threshold")])
     alert = burst if alert is None else alert.otherwise(burst)
