@@ -66,8 +66,9 @@ def with_columns(
     """
     new = [name for name, _ in fields]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    read = unused([*kept, *new], "text_read")
-    source = docs.select(*[col(c) for c in kept], col(text).alias(read))
+    # a text that is kept is sent once
+    read = text if text in kept else unused([*kept, *new], "text_read")
+    source = docs.select(*[col(c) for c in kept], *([] if read in kept else [col(text).alias(read)]))
     schema = T.StructType([*(source.schema[c] for c in kept), *(T.StructField(n, t) for n, t in fields)])
     types = [to_arrow_type(t) for _, t in fields]
 
@@ -78,6 +79,7 @@ def with_columns(
                 made = work(part.column(read).to_pylist())
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(made, types)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *arrays], names=[*kept, *new])
+            pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema)
 

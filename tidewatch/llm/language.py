@@ -42,6 +42,8 @@ LEAST_SHARE = 0.001
 #: Bounds of a word's score, and the cost of a change of language, in nats.
 BOUND, PENALTY = 6.0, 9.0
 REMEMBERED = 400_000
+#: Characters of words whose n-grams are held at a time.
+PART_CHARS = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 
 # First code points of script ranges, in order; "" is no script of its own. Fixed values of the standard.
@@ -68,6 +70,18 @@ OTHER = NAMES.index("")
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def word_parts(words: list[str]) -> Iterator[slice]:
+    """Places in the list, cut so that a part has a bounded number of characters (a longer word is a part)."""
+    begin = size = 0
+    for i, w in enumerate(words):
+        if i > begin and size + len(w) > PART_CHARS:
+            yield slice(begin, i)
+            begin, size = i, 0
+        size += len(w) + 1
+    if begin < len(words):
+        yield slice(begin, len(words))
+
+
 def features(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word number, bucket) of every n-gram, a space marking both ends; and each word's script."""
     codes = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -119,6 +133,9 @@ class Model:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """[word, language]"""
+        return np.concatenate([self._scores(words[p]) for p in word_parts(words)])
+
+    def _scores(self, words: list[str]) -> np.ndarray:
         owner, bucket, script = features(words, self.scores.shape[1])
         out = np.stack([np.bincount(owner, s[bucket], len(words)) for s in self.scores], axis=1)
         out = np.clip(out, -BOUND, BOUND)
@@ -145,9 +162,10 @@ def learn(docs: DataFrame, label: str = "lang", text: str = "text", buckets: int
                 return
             total = sums.setdefault(lang, np.zeros(blocks * BLOCK + len(NAMES), np.float64))
             listed, n = list(own), np.array(list(own.values()), np.float64)
-            owner, bucket, script = features(listed, buckets)
-            total[: blocks * BLOCK] += np.bincount(bucket, n[owner], blocks * BLOCK)
-            total[blocks * BLOCK :] += np.bincount(script, n, len(NAMES))
+            for p in word_parts(listed):
+                owner, bucket, script = features(listed[p], buckets)
+                np.add.at(total, bucket, n[p][owner])
+                total[blocks * BLOCK :] += np.bincount(script, n[p], len(NAMES))
 
         for batch in batches:
             for part in slices(batch, "text"):
