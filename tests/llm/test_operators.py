@@ -465,6 +465,26 @@ def test_lines_equal_all_pairs(spark):
     same(got, expected)
 
 
+def test_lines_with_words_changed_go(spark):
+    rng = random.Random(21)
+
+    def word():
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+
+    pairs = []
+    while len(pairs) < 200:
+        own = [word() for _ in range(rng.randrange(8, 61))]
+        copy = list(own)
+        for at in rng.sample(range(len(own)), rng.randrange(1, 3)):
+            copy[at] = word()
+        if lines.within(" ".join(own), " ".join(copy), lines.SIMILARITY):
+            pairs.append((" ".join(own), " ".join(copy)))
+    rows = [(i + 1000 * k, x) for i, pair in enumerate(pairs) for k, x in enumerate(pair)]
+    got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), counts=True).collect()
+    assert not any(r.n_removed for r in got if r.doc_id < 1000)
+    assert sum(r.n_removed for r in got) >= 0.98 * len(pairs)
+
+
 def test_pigeonhole_keeps_close_lines(spark):
     rng = random.Random(3)
     rows = []
