@@ -485,6 +485,14 @@ def test_lines_with_words_changed_go(spark):
     assert sum(r.n_removed for r in got) >= 0.98 * len(pairs)
 
 
+def test_short_and_wordless_lines_repeat(spark):
+    text = "Kurz\n今天天气很好我们去公园散步\n12 34 56\n---\n\n}"
+    rows = [(1, text), (2, text), (3, "kurz!\n今天天气很好我们去公园散步吧\n\neigen"), (4, " \n\t\n ")]
+    got = {r.doc_id: r for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), counts=True).collect()}
+    assert (got[1].text, got[2].text, got[3].text) == (text, "", "\neigen")
+    assert (got[2].n_removed, got[3].n_removed, got[4].n_removed) == (5, 2, 0)
+
+
 def test_pigeonhole_keeps_close_lines(spark):
     rng = random.Random(3)
     rows = []
