@@ -136,3 +136,10 @@ def test_pipeline_of_odd_documents(spark, odd, empty):
 def test_held_out_remainder(spark):
     got = spark.range(200).select("id", language.held_out("id").alias("held")).collect()
     assert all(r.held == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)
+
+
+def test_line_dedup_leaves_no_blank_documents(spark):
+    text = "Der erste Absatz hat einige Worte.\n\nEin zweiter folgt nach einer leeren Zeile.\n \t\n\u00a0\nKurz."
+    rows = [(i, text) for i in range(5)] + [(9, "Ein eigener Text.\n\nKurz."), (10, "\n\n"), (11, None)]
+    got = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER).collect()
+    assert {r.doc_id: r.text for r in got} == {0: text, 9: "Ein eigener Text.\n"}
