@@ -493,6 +493,13 @@ def test_short_and_wordless_lines_repeat(spark):
     assert (got[2].n_removed, got[3].n_removed, got[4].n_removed) == (5, 2, 0)
 
 
+def test_lines_with_other_figures_stay(spark):
+    own = ["04.03.2021 17:00 Gleis 5", "28.11.1998 09:35 Gleis 7", "Posten 4711: 12,50", "Posten 9832: 63,74", "1234567890", "9876054321"]
+    rows = [(i, x) for i, x in enumerate([*own, own[0]])]
+    got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in got) == sorted([*own, ""])
+
+
 def test_pigeonhole_keeps_close_lines(spark):
     rng = random.Random(3)
     rows = []
