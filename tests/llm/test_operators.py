@@ -233,6 +233,25 @@ def test_clean_documents_and_spans(spark):
     assert got[2] == "nur das hier" and got[3] is None and got[1].split() == ["a", "b", "c", "d"]
 
 
+def test_one_benchmark_block_at_a_time(spark, monkeypatch):
+    made, real = [], decontaminate.with_columns
+
+    def counted(*args):
+        made.append(args)
+        return real(*args)
+
+    def blocks(*_):
+        for i in range(3):
+            assert len(made) == i
+            yield [(str(i), "one two three four")]
+
+    monkeypatch.setattr(decontaminate, "with_columns", counted)
+    monkeypatch.setattr(decontaminate, "blocks", blocks)
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    decontaminate.scan(docs, docs)
+    assert len(made) == 3
+
+
 def test_empty_benchmark_and_documents(odd, empty, spark):
     benchmark = spark.createDataFrame([], "item_id long, text string")
     got = decontaminate.scan(odd, benchmark)

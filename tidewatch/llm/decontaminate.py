@@ -18,6 +18,7 @@ all named.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -115,7 +116,9 @@ def scan(
     context = docs.sparkSession.sparkContext
     kept = [c for c in (docs.columns if keep is None else keep) if c not in {f for f, _ in fields}]
     out, earlier = docs, 0
-    for block in [*blocks(benchmark, item, benchmark_text, block_words)] or [[]]:
+    source = blocks(benchmark, item, benchmark_text, block_words)
+    # an empty benchmark is one empty block
+    for block in chain([next(source, [])], source):
         shared = context.broadcast(WindowSet(block, n))
 
         def make(shared=shared):
