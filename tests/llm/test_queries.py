@@ -15,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from tidewatch.llm import catalog, language, licenses  # noqa: E402
+from tidewatch.llm import catalog, components, language, licenses, lines  # noqa: E402
 
 FOLDER = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="benchmark tables are not here")
@@ -86,6 +86,25 @@ def test_op9_keeps_first_lines(spark, docs):
     assert all(r.n_bytes <= len(docs[i].text.encode()) for i, r in got.items())
 
 
+def test_lines_against_all_pairs_by_edit_similarity(spark, docs):
+    rows = [(i, n, x) for i, r in sorted(docs.items()) for n, x in enumerate((r.text or "").split("\n")) if x.strip() and len(x) <= 300]
+    texts = sorted({lines.normalised_lines(x)[0].decode() for _, _, x in rows})
+    union = components.Union()
+    for a in range(len(texts)):
+        for b in range(a):
+            if lines.within(texts[a], texts[b], 0.8):
+                union.join(a, b)
+    place, seen, gone = {x: k for k, x in enumerate(texts)}, set(), set()
+    for k, (_, _, x) in enumerate(rows):
+        root = union.find(place[lines.normalised_lines(x)[0].decode()])
+        gone |= {k} if root in seen else set()
+        seen.add(root)
+    found = lines.dedup(spark.createDataFrame([(k, x) for k, (_, _, x) in enumerate(rows)], "doc_id long, text string"), counts=True)
+    got = {r.doc_id for r in found.where("n_removed > 0").collect()}
+    print(f"lines {len(rows)}, to go {len(gone)}, found {len(got & gone)}, wrong {len(got - gone)}")
+    assert gone and got <= gone and len(got) >= 0.98 * len(gone)
+
+
 def test_op10(spark, docs):
     labels = {r.doc_id: r for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
     got = run(spark, "op10_quality")
