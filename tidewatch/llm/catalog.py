@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, jaccard, language, licenses, lines, pieces, quality, suffixes, token_store, urls
+from tidewatch.llm import (
+    decontaminate, jaccard, language, licenses, lines, pieces, prefixes, quality, sharding, suffixes, token_store, urls, whitening,
+)
 from tidewatch.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,3 +231,88 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & (F.col("score") >= QUALITY_THRESHOLD)).alias("kept"), "score",
     )
+
+
+@query
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector along the leading 32 eigenvectors of all vectors' covariance, at unit variance."""
+    return whitening.whitened(table(folder, "embeddings", spark), components=32)
+
+
+@query
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 24 shards that each hold the mixture of sources."""
+    return sharding.assign(table(folder, "documents", spark), shards=24, seed=0, keep=["doc_id"])
+
+
+def _crc_sql(raw: str) -> str:
+    """CRC-32 of a blob, byte by byte; ``crc_steps``, the usual table, is to be joined."""
+    numbers = f"list_transform(regexp_extract_all(hex({raw}), '..'), lambda p: ('0x' || p)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {numbers}), lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1])), 4294967295::BIGINT)"
+
+
+_CRC_STEPS = """crc_steps AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS steps
+  FROM range(256) AS r(i))"""
+
+ORACLES["op12_sharding"] = rf"""
+WITH {_CRC_STEPS},
+docs AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size, {_crc_sql("encode(coalesce(text, ''))")} AS text_crc32,
+         CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS stratum,
+         ('0x' || left(md5(concat_ws(':', '0', doc_id::VARCHAR, md5(coalesce(text, '')))), 15))::BIGINT AS drawn
+  FROM documents, crc_steps),
+placed AS (
+  SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY drawn)
+             - ('0x' || left(md5(concat_ws(':', '0', stratum)), 15))::BIGINT / (1::BIGINT << 60)::DOUBLE)
+            / count(*) OVER (PARTITION BY stratum) AS place
+  FROM docs),
+cut AS (SELECT *, (row_number() OVER (ORDER BY place, stratum, drawn) - 1) * 24 // count(*) OVER () AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INTEGER AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY place, stratum, drawn) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM cut
+"""
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every shared opening of the conversations, rebuilt so that they share some."""
+    return prefixes.trie(prefixes.rebuilt(prefixes.turns(table(folder, "conversations", spark))))
+
+
+ORACLES["op13_prefix_trie"] = rf"""
+WITH {_CRC_STEPS},
+own AS (
+  SELECT conv_id, list({{'t': md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, '')),
+                         'w': len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))}}
+                       ORDER BY turn NULLS FIRST, coalesce(role, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (SELECT *, {_crc_sql("encode(conv_id::VARCHAR)")} % 4 AS h FROM own, crc_steps),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns
+  FROM heads c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20),
+members AS (
+  SELECT conv_id, d::BIGINT AS depth, len(turns) AS size, array_to_string(list_transform(turns[1:d], lambda x: x.t), ',') AS node,
+         CASE WHEN d > 0 THEN array_to_string(list_transform(turns[1:d - 1], lambda x: x.t), ',') END AS parent,
+         CASE WHEN d > 0 THEN turns[d].w ELSE 0 END AS words
+  FROM rebuilt, unnest(range(0, len(turns) + 1)) AS u(d)),
+nodes AS (
+  SELECT node, depth, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(words) AS tokens,
+         coalesce(string_agg(CASE WHEN size = depth THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '') AS ends
+  FROM members GROUP BY node, depth),
+children AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY parent, depth),
+-- every node with the nodes above it, from one of its members
+ways AS (
+  SELECT DISTINCT a.node, a.depth, v.node AS low, v.depth AS low_depth
+  FROM nodes v JOIN members a ON a.conv_id = v.conv_id AND a.depth <= v.depth),
+below AS (
+  SELECT w.node, w.depth, sum(v.tokens) AS saved, sum((c.n IS NULL)::INTEGER) AS leaves
+  FROM ways w JOIN nodes v ON v.node = w.low AND v.depth = w.low_depth
+  LEFT JOIN children c ON c.node = w.low AND c.depth = w.low_depth GROUP BY w.node, w.depth)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0)::BIGINT AS n_children,
+       b.leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN below b ON b.node = n.node AND b.depth = n.depth
+LEFT JOIN nodes p ON p.node = n.parent AND p.depth = n.depth - 1
+LEFT JOIN children c ON c.node = n.node AND c.depth = n.depth
+"""
