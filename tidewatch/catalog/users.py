@@ -74,6 +74,51 @@ def rule_matches_chosen(spark, d):
     return rows.select("user_id", "rule_id", "rank")
 
 
+#: Rules of the same few forms with limits of their own, one for each number.
+MANY_RULES = 1_000
+MANY_FORMS = (
+    "event_count >= {a} and total_amount < {b}",
+    "view_count == {c} or click_count in [{c}, {d}]",
+    "not (purchase_count > {d} or login_fail_count < {e}) and {a} < event_count <= {a_more}",
+    "user_id >= '{f}' and days_since_last_visit != {e} and login_fail_count > {e}.5",
+)
+
+
+def many_rules() -> list[rules.Rule]:
+    out = []
+    for i in range(MANY_RULES):
+        a = 40 + i * 7 % 90
+        limits = {"a": a, "a_more": a + 5, "b": 100 + i * 31 % 900, "c": 5 + i * 3 % 25, "d": i * 11 % 30, "e": i * 5 % 17, "f": i * 13 % 997}
+        out.append(rules.Rule(f"rule_{i}", f"Rule {i}", MANY_FORMS[i % len(MANY_FORMS)].format(**limits), i % 7))
+    return out
+
+
+_MANY_SQL = f"""WITH {CONTEXTS}, rules AS (
+  SELECT i, i % 7 AS priority, 40 + i * 7 % 90 AS a, 100 + i * 31 % 900 AS b, 5 + i * 3 % 25 AS c, i * 11 % 30 AS d,
+         i * 5 % 17 AS e, CAST(i * 13 % 997 AS VARCHAR) AS f FROM range({MANY_RULES}) AS r(i)),
+matches AS (
+  SELECT user_id, i, priority FROM contexts, rules WHERE CASE i % 4
+    WHEN 0 THEN event_count >= a AND total_amount < b
+    WHEN 1 THEN view_count = c OR click_count IN (c, d)
+    WHEN 2 THEN NOT (purchase_count > d OR login_fail_count < e) AND event_count > a AND event_count <= a + 5
+    ELSE user_id >= f AND days_since_last_visit <> e AND login_fail_count > e + 0.5 END)"""
+
+
+@query("rule_index_matches", f"""{_MANY_SQL} SELECT user_id, 'rule_' || CAST(i AS VARCHAR) AS rule_id, CAST(priority AS INTEGER) AS priority,
+  CAST(row_number() OVER (PARTITION BY user_id ORDER BY priority DESC, i) - 1 AS INTEGER) AS rank FROM matches""")
+def rule_index_matches(spark, d):
+    found = match.match(contexts(spark, d), many_rules(), executed_at=AS_OF)
+    return found.select("user_id", "rule_id", "priority", "rank")
+
+
+@query("rule_index_validation", f"""{_MANY_SQL}, found AS (SELECT i, count(*) AS n FROM matches GROUP BY i)
+SELECT 'rule_' || CAST(r.i AS VARCHAR) AS rule_id, true AS valid, (SELECT count(*) FROM contexts) AS valid_contexts,
+  coalesce(n, 0) AS matched_contexts, CAST(NULL AS VARCHAR) AS error FROM rules r LEFT JOIN found f ON f.i = r.i""")
+def rule_index_validation(spark, d):
+    checked = match.validate(contexts(spark, d), many_rules())
+    return checked.select("rule_id", "valid", "valid_contexts", "matched_contexts", "error")
+
+
 @query("rule_match_counts", f"WITH {HITS} SELECT rule_id, count(*) AS match_count FROM matches GROUP BY rule_id")
 def rule_match_counts(spark, d):
     return match.match_counts(matches(spark, d))
