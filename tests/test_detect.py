@@ -85,7 +85,7 @@ def random_rows(seed, n=1500):
     ]
 
 
-@pytest.mark.parametrize("width", [None, 30 * SEC])
+@pytest.mark.parametrize("width", [None, 30 * SEC, SEC, HOUR])
 def test_bursts_equal_loop(spark, width):
     rows = random_rows(1)
     kind = F.col("event_type")
@@ -125,6 +125,29 @@ def test_failures_equal_loop(spark, threshold, window):
         state[r[1]] = kept
     got = detect.failure_bursts(frame(spark, rows), F.col("event_type") == "login", threshold, window).collect()
     assert {r["event_id"] for r in got} == want
+    for width in (7 * SEC, 45 * SEC):
+        got = detect.failure_bursts(frame(spark, rows), F.col("event_type") == "login", threshold, window, width).collect()
+        assert sorted(r["event_id"] for r in got) == sorted(want)
+
+
+def test_window_as_long_as_the_log_with_one_user_of_a_third(spark):
+    """Largest task near the median: no step gathers the hot user."""
+    n = 30_000
+    user = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("u"), (F.col("id") % 997).cast("string")))
+    events = spark.range(n).select(
+        F.col("id").cast("string").alias("event_id"), user.alias("user_id"), F.lit("view").alias("event_type"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 20).alias("timestamp"), F.lit("{}").alias("properties"),
+    )
+    log = timedelta(seconds=20 * n)
+    bursts = [detect.Burst("high_frequency_operation", "medium", 100, log, F.lit(True))]
+    counted = detect.trailing_counts(events, bursts)
+    per_user = counted.groupBy("user_id").agg(F.max("_n0").alias("most"), F.count("*").alias("n")).collect()
+    assert all(r["most"] == r["n"] for r in per_user) and max(r["n"] for r in per_user) == n // 3
+    rows = detect.prefix_counts(events, bursts, detect.SLICE)
+    largest = rows.groupBy("user_id", "_slice").count().agg(F.max("count")).first()[0]
+    assert largest <= 60
+    hot = detect.failure_bursts(events, F.lit(True), 5, log).groupBy("user_id").count().filter("user_id = 'hot'").first()
+    assert hot["count"] == n // 3 // 5
 
 
 def test_all_alerts_and_one_shuffle(spark):

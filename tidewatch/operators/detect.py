@@ -2,6 +2,12 @@
 
 All detectors order events by ``(timestamp, event_id)`` and look at the last
 ``W``: an event exactly ``W`` old has left the window.
+
+A user's history is cut into slices of time. Windows up to ``SLICE`` long need only the events
+just before a slice, which are copied into it. Longer ones are counted by prefix sums: an
+event adds one when it comes and takes one off when it leaves the window, so the count at any
+instant is the sum of all that came before, within the slice and, as one number, from the slices before it. Slices
+are thus as narrow as ever, however long the window is.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch import schema
-from tidewatch.functions.timeutil import micros
+from tidewatch.functions.timeutil import floor_div, micros
 from tidewatch.functions.values import UNKNOWN_PRODUCT, json_text
 from tidewatch.operators.skew import identity, prefix_states, sliced
 
@@ -35,6 +41,8 @@ COUNT_FIELDS = {
     "unusual_purchase_pattern": "purchase_count",
     "login_failure_brute_force": "fail_count",
 }
+#: Width of slices where windows are longer.
+SLICE = timedelta(hours=1)
 PER_MINUTE, WITHIN = "每分钟", "内"
 UNITS = (("天", timedelta(days=1)), ("小时", timedelta(hours=1)), ("分钟", timedelta(minutes=1)), ("秒", timedelta(seconds=1)))
 
@@ -88,12 +96,15 @@ def trailing_counts(
     """Flagged events in the trailing window of each detector, as columns ``_n<i>``
     next to ``event_id``, ``user_id``, ``timestamp`` and the detectors' own columns.
 
-    One shuffle by (user, time slice) serves all detectors. An event is copied
-    to the next slice only if a window it counts for reaches over the edge.
-    ``slice_width`` defaults to the longest window; a narrower one spreads a
-    crowded stretch of one user over more tasks at the price of more copies.
+    Windows no longer than a slice take one shuffle by (user, time slice) for all detectors: an event is copied
+    to the next slice only if a window it counts for reaches over the edge. Longer windows are counted by
+    prefix sums. ``slice_width`` defaults to the longest window, ``SLICE`` at most.
     """
-    width = micros(slice_width) if slice_width else max(micros(b.window) for b in bursts)
+    longest = max(b.window for b in bursts)
+    width = slice_width or min(longest, SLICE)
+    if longest > width:
+        return prefix_counts(events, bursts, width).drop("_us", "_slice")
+    width = micros(width)
     flags = [b.flag.cast("int").alias(f"_f{i}") for i, b in enumerate(bursts)]
     # what only some events are counted by is not carried along with the others
     own = {b.by: F.when(b.flag, F.col(b.by)).alias(b.by) for b in bursts if b.by}
@@ -121,6 +132,57 @@ def trailing_counts(
     return counted.drop("_own", "_us", "_slice", *[f"_f{i}" for i in range(len(bursts))])
 
 
+def prefix_counts(events: DataFrame, bursts: list[Burst], width: timedelta) -> DataFrame:
+    """What ``trailing_counts`` gives, with ``_us`` and ``_slice``, for windows of any length.
+
+    Rows are shuffled once, by (user, slice). What the slices before a slice sum up to is a
+    row for each user and slice with a change, as many as the log has slices at most for any user.
+    """
+    own = {b.by: F.when(b.flag, F.col(b.by)).alias(b.by) for b in bursts if b.by}
+    flags = [b.flag.cast("int").alias(f"_f{i}") for i, b in enumerate(bursts)]
+    # an event, number -1, and its leaving of each window that it counts for
+    leaving = [
+        F.when(b.flag, F.struct(F.lit(i).alias("number"), (F.unix_micros("timestamp") + micros(b.window)).alias("at"))) for i, b in enumerate(bursts)
+    ]
+    counts_at_all = reduce(Column.__or__, [F.coalesce(b.flag, F.lit(False)) for b in bursts])
+    changes = F.array_compact(F.array(F.struct(F.lit(-1).alias("number"), F.unix_micros("timestamp").alias("at")), *leaving))
+    rows = events.filter(counts_at_all).select("event_id", "user_id", *own.values(), *flags, F.explode(changes).alias("_c"))
+    rows = rows.select("*", F.col("_c.number").alias("_number"), F.col("_c.at").alias("_us")).drop("_c")
+    rows = rows.withColumn("_slice", floor_div(F.col("_us"), micros(width)))
+
+    def change(i: int) -> Column:
+        return F.when(F.col("_number") == -1, F.col(f"_f{i}")).when(F.col("_number") == i, F.lit(-1))
+
+    def earlier(*keys: str):
+        return Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+
+    # what the slices before a slice sum up to
+    carried = []
+    plain = [i for i, b in enumerate(bursts) if not b.by]
+    if plain:
+        totals = rows.groupBy("user_id", "_slice").agg(*[F.sum(change(i)).alias(f"_t{i}") for i in plain])
+        sums = [F.coalesce(F.sum(f"_t{i}").over(earlier("user_id")), F.lit(0)).alias(f"_b{i}") for i in plain]
+        carried.append(totals.select("user_id", "_slice", *sums))
+    for i, b in enumerate(bursts):
+        if b.by:
+            totals = rows.filter(change(i) != 0).groupBy("user_id", b.by, "_slice").agg(F.sum(change(i)).alias("_t"))
+            sums = totals.select("user_id", "_slice", F.struct(b.by).alias("group"), F.coalesce(F.sum("_t").over(earlier("user_id", b.by)), F.lit(0)).alias("before"))
+            carried.append(sums.groupBy("user_id", "_slice").agg(F.map_from_entries(F.collect_list(F.struct("group", "before"))).alias(f"_b{i}")))
+    for i, burst in sorted(enumerate(bursts), key=lambda p: p[1].by is not None):
+        keys = ["user_id", "_slice", *([burst.by] if burst.by else [])]
+        # what leaves at an instant has left for the events of that instant
+        upto = Window.partitionBy(*keys).orderBy("_us", F.desc("_number"), "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.withColumn(f"_n{i}", F.sum(change(i)).over(upto))
+    counted = rows.filter("_number = -1")
+    for sums in carried:
+        counted = counted.join(sums, ["user_id", "_slice"], "left")
+    for i, b in enumerate(bursts):
+        before = F.try_element_at(f"_b{i}", F.struct(b.by)) if b.by else F.col(f"_b{i}")
+        counted = counted.withColumn(f"_n{i}", F.when(F.col(f"_f{i}") == 1, F.col(f"_n{i}") + before))
+    gone = [f"{c}{i}" for i in range(len(bursts)) for c in ("_f", "_b")]
+    return counted.withColumn("timestamp", F.timestamp_micros("_us")).drop("_number", *gone)
+
+
 def _alert(alert_type: str, severity: str, message: Column, data: list[Column]) -> Column:
     return F.struct(
         F.lit(alert_type).alias("alert_type"),
@@ -173,9 +235,60 @@ def burst_alerts(
     return _alert_rows(found)
 
 
+def _after(state: Column, dense: Column, events: Column, states: int) -> Column:
+    """The failures since the last alert, capped, after so many dense or other events."""
+    return F.when(dense, F.pmod(state + events, F.lit(states))).otherwise(F.least(state + events, F.lit(states - 1))).cast("int")
+
+
+def _long_failure_bursts(events: DataFrame, failed: Column, threshold: int, window: timedelta, width: timedelta) -> DataFrame:
+    """``failure_bursts`` with slices narrower than the window.
+
+    Prefix sums tell the dense events. In a slice, neighbours that are all dense, or all not, are one
+    step on the state; so a slice keeps its runs, not its events, and is a map of the states.
+    """
+    kind, severity = LOGIN_FAILURE[:2]
+    counted = prefix_counts(events, [Burst(kind, severity, threshold, window, failed)], width)
+    rows = counted.select("event_id", "user_id", "_slice", "_us", (F.col("_n0") >= threshold).alias("_dense"))
+    in_slice = Window.partitionBy("user_id", "_slice").orderBy("_us", "event_id")
+    rows = rows.withColumn("_pos", F.row_number().over(in_slice)).withColumn(
+        "_first", F.when(F.col("_dense") == F.lag("_dense").over(in_slice), F.lit(None)).otherwise(F.col("_pos"))
+    )
+    # the place of its first event is a run's number
+    rows = rows.withColumn("_run", F.last("_first", ignorenulls=True).over(in_slice)).drop("_first")
+    runs = rows.groupBy("user_id", "_slice", "_run").agg(F.first("_dense").alias("_dense"), F.count("*").cast("int").alias("_length"))
+    slices = runs.groupBy("user_id", "_slice").agg(
+        F.sort_array(F.collect_list(F.struct("_run", "_dense", "_length"))).alias("_runs"), F.max("_dense").alias("_any")
+    )
+    # only users with a dense event somewhere can alert
+    slices = slices.withColumn("_any", F.max("_any").over(Window.partitionBy("user_id"))).filter("_any")
+    turned = F.aggregate(
+        "_runs", identity(threshold), lambda acc, r: F.transform(acc, lambda s: _after(s, r["_dense"], r["_length"], threshold))
+    )
+    steps = slices.select("user_id", "_slice", turned.alias("_fn"))
+    starts = prefix_states(steps, ["user_id"], "_slice", "_fn", threshold, threshold - 1, levels=1)
+    # the state as each run begins
+    begun = F.aggregate(
+        "_runs", F.struct(F.col("state").cast("int").alias("state"), F.array().cast("array<struct<run:int,state:int>>").alias("out")),
+        lambda acc, r: F.struct(
+            _after(acc["state"], r["_dense"], r["_length"], threshold).alias("state"),
+            F.when(r["_dense"], F.concat(acc["out"], F.array(F.struct(r["_run"].alias("run"), acc["state"].alias("state"))))).otherwise(acc["out"]).alias("out"),
+        ),
+    )["out"]
+    entry = slices.join(starts, ["user_id", "_slice"]).select("user_id", "_slice", F.map_from_entries(begun).alias("_states"))
+    state = F.try_element_at("_states", F.col("_run")) + F.col("_pos") - F.col("_run")
+    return (
+        rows.filter("_dense").join(entry, ["user_id", "_slice"])
+        .filter(F.pmod(state, F.lit(threshold)) == threshold - 1)
+        .select(
+            "event_id", "user_id", F.timestamp_micros("_us").alias("timestamp"),
+            F.lit(threshold).cast("bigint").alias("fail_count"),
+        )
+    )
+
+
 def failure_bursts(
     events: DataFrame, failed: Column | None = None,
-    threshold: int = LOGIN_FAILURE[2], window: timedelta = LOGIN_FAILURE[3],
+    threshold: int = LOGIN_FAILURE[2], window: timedelta = LOGIN_FAILURE[3], slice_width: timedelta | None = None,
 ) -> DataFrame:
     """Failed logins that complete a burst: the ``threshold``-th within ``window``
     since the user's previous alert, which clears what was counted.
@@ -185,10 +298,14 @@ def failure_bursts(
     came since the last alert, so the only state is that number, capped: a
     dense event turns it round, any other raises it. In a slice as wide as
     the window only the first ``threshold - 1`` events can be not dense, hence a
-    slice's effect on the state follows from these flags and its size.
+    slice's effect on the state follows from these flags and its size. Where the window is longer
+    than a slice, see ``_long_failure_bursts``.
     """
-    width, states = micros(window), threshold
     chosen = failed if failed is not None else login_failed()
+    slice_width = slice_width or min(window, SLICE)
+    if window > slice_width:
+        return _long_failure_bursts(events, chosen, threshold, window, slice_width)
+    width, states = micros(window), threshold
     # both uses of the rows below need the same columns, so they share one shuffle
     kept = events.filter(chosen).select("event_id", "user_id", F.unix_micros("timestamp").alias("_at"))
     rows = sliced(kept, F.col("_at"), width, width).drop("_at")
@@ -202,9 +319,7 @@ def failure_bursts(
     )
 
     head_len = threshold - 1
-    step = lambda state, dense: (
-        F.when(dense, F.pmod(state + 1, F.lit(states))).otherwise(F.least(state + 1, F.lit(states - 1)))
-    )
+    step = lambda state, dense: _after(state, dense, F.lit(1), states)
     slices = rows.groupBy("user_id", "_slice").agg(
         F.sort_array(
             F.collect_list(F.when(F.col("_pos") <= head_len, F.struct("_pos", "_dense")))

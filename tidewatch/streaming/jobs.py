@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from tidewatch.functions.timeutil import interval_text
 from tidewatch.operators.stats import _spent, session_key, type_count_columns
 from tidewatch.plans.actions import ActionRegistry, default_registry
-from tidewatch.plans.match import match
+from tidewatch.plans.match import RuleSet
 from tidewatch.plans.rules import Rule
 from tidewatch.sources.events import log_rows, parse_messages, valid_events
 
@@ -118,6 +118,14 @@ def keyed_messages(rows: DataFrame, key: str = "user_id") -> DataFrame:
     return rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"))
 
 
+def _kept_moment(spark: SparkSession, folder: str) -> datetime:
+    """The moment stored in a folder; the present one, stored there, if there is none."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        spark.sql("SELECT current_timestamp() AS t").write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder).first()["t"]
+
+
 def rule_job(
     contexts: DataFrame, load_rules: Callable[[], list[Rule]], tag_path: str, order_path: str,
     match_path: str, checkpoint: str, registry: Callable[[], ActionRegistry] = default_registry,
@@ -126,15 +134,19 @@ def rule_job(
     """Matches rules to arriving contexts and writes matches, tag changes and orders.
 
     Rules are loaded anew for every micro-batch, so changes apply while the job
-    runs. Each micro-batch writes its own folder, so a repeated one replaces
-    rather than doubles its rows.
+    runs; as long as they stay the same, so does what is compiled. Each micro-batch writes
+    its own folder and keeps its moment there, so a repeated one replaces its rows by the same.
     """
+    ready: list[RuleSet] = []
 
     def act(batch: DataFrame, batch_id: int) -> None:
         actions = registry()
-        # one moment for the whole micro-batch: ids made from it repeat on a rerun of the plan
-        now = batch.sparkSession.sql("SELECT current_timestamp() AS t").first()["t"]
-        hits = match(batch, load_rules(), executed_at=now).persist()
+        rules = load_rules()
+        if not ready or not ready[0].serves(rules, batch.schema):
+            ready[:] = [RuleSet(rules, batch.schema)]
+        # ids are made from the moment
+        now = _kept_moment(batch.sparkSession, f"{checkpoint}/moments/batch={batch_id}")
+        hits = ready[0].match(batch, executed_at=now).persist()
         try:
             outputs = {match_path: actions.results(hits)}
             for kind, path in (("TAG_USER", tag_path), ("TRIGGER_AUDIT", order_path)):
