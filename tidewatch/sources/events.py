@@ -125,9 +125,19 @@ def append_log(
     if files_per_month:
         spread = F.pmod(F.xxhash64("event_id"), F.lit(files_per_month))
         rows = rows.repartition("event_month", spread)
+    write_log(rows, path)
+
+
+def write_log(rows: DataFrame, path: str, folders: tuple[str, ...] = ("event_month",), mode: str = "append") -> None:
+    """Rows of the log form as files sorted by the log keys, with a Bloom filter of their event ids.
+
+    The filter lets a look-up by id skip row groups, whatever they are sorted by. ``overwrite`` replaces the folders
+    that the rows fall into and no others.
+    """
     (
-        rows.sortWithinPartitions("event_month", *LOG_KEYS)
-        .write.mode("append").partitionBy("event_month").parquet(path)
+        rows.sortWithinPartitions(*folders, *LOG_KEYS).write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic").option("parquet.bloom.filter.enabled#event_id", "true")
+        .partitionBy(*folders).parquet(path)
     )
 
 

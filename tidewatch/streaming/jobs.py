@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from tidewatch.functions.timeutil import interval_text
+from tidewatch.functions.timeutil import interval_text, micros
 from tidewatch.operators.stats import _spent, session_key, type_count_columns
 from tidewatch.plans.actions import ActionRegistry, default_registry
 from tidewatch.plans.match import RuleSet
 from tidewatch.plans.rules import Rule
-from tidewatch.sources.events import log_rows, parse_messages, valid_events
+from tidewatch.sources.events import log_rows, parse_messages, valid_events, write_log
 
 FLUSH_DELAY = timedelta(seconds=30)
 FLUSH_EVERY = "60 seconds"
@@ -109,8 +109,49 @@ def append_table(stream: DataFrame, path: str, checkpoint: str, every: str | Non
 
 
 def append_log_stream(events: DataFrame, path: str, checkpoint: str, every: str | None = FLUSH_EVERY) -> StreamingQuery:
-    """The event log as a sink, one folder per month."""
-    return append_table(log_rows(events), path, checkpoint, every, ("event_month",))
+    """The event log as a sink: one folder per month and micro-batch, files sorted as the batch sink sorts them.
+
+    A repeated micro-batch replaces its own folders, so no row is doubled.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_log(log_rows(batch).withColumn("batch", F.lit(batch_id)), path, ("event_month", "batch"), "overwrite")
+
+    writer = events.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    return _trigger(writer.foreachBatch(write), every).start()
+
+
+# --- the end of a bounded stream ------------------------------------------------
+
+_MARKER = "timestamp timestamp"
+
+
+def with_end_markers(events: DataFrame, folder: str) -> DataFrame:
+    """The events and, once ``run_to_end`` has put one there, a marker row of nobody's far behind them."""
+    spark = events.sparkSession
+    done = spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        spark.createDataFrame([], _MARKER).write.mode("append").parquet(folder)
+    return events.unionByName(table_stream(spark, folder, spark.createDataFrame([], _MARKER).schema), allowMissingColumns=True)
+
+
+def run_to_end(spark: SparkSession, start: Callable[[], StreamingQuery], markers: str, reach: timedelta) -> None:
+    """Runs a windowed job over all that is there, and then its last windows out.
+
+    Windows come out when the watermark passes them, so the last ones of a stream
+    that has ended wait for events that never come. When ``start()``, an ``availableNow`` job over
+    ``with_end_markers(..., markers)``, has read everything, a marker row later than the last event by ``reach``, the length
+    of a window and of two latenesses at least, is put into ``markers``, and a second run takes the watermark past all
+    windows of events. The marker's own window stays in the state. Later events up to the marker would be late.
+    """
+    query = start()
+    query.awaitTermination()
+    latest = [p["eventTime"]["max"] for p in query.recentProgress if "max" in p.get("eventTime", {})]
+    if not latest:
+        return
+    at = F.to_timestamp(F.lit(max(latest))) + F.expr(f"INTERVAL {micros(reach)} MICROSECONDS")
+    spark.range(1).select(at.alias("timestamp")).write.mode("append").parquet(markers)
+    start().awaitTermination()
 
 
 def keyed_messages(rows: DataFrame, key: str = "user_id") -> DataFrame:

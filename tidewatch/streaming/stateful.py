@@ -264,37 +264,140 @@ def session_stream(
 
 
 class OrderReplay(_Ordered):
-    """Applies review requests to an order whose status is the state."""
+    """Applies review requests to an order whose status is the state.
 
-    def __init__(self):
+    Stored orders are the state to begin with; requests for others are refused, their status is null. A
+    closed order takes no request any more; it is dropped when the watermark is ``keep_ms`` past its closing, and
+    unknown from then on.
+    """
+
+    def __init__(self, keep_ms: int):
         super().__init__(["seq"])
+        self.keep_ms = keep_ms
 
     def init(self, handle) -> None:
+        self.handle = handle
         self.status = handle.getValueState("status", "status string")
 
+    def _set(self, status: str, at_us: int) -> None:
+        self.status.update((status,))
+        if not audit.TRANSITIONS[status]:
+            self.handle.registerTimer(int(at_us) // 1000 + self.keep_ms)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        status, us = initialState[["status", "us"]].iloc[-1]
+        if status in audit.TRANSITIONS:
+            self._set(status, us)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = self.rows(rows)
         known = self.status.get()
-        status = known[0] if known is not None else "pending"
+        status = known[0] if known is not None else None
         before, after = [], []
         for action, wanted in zip(batch["action"], batch["status"]):
             before.append(status)
-            wanted = "closed" if action == "close" else wanted
-            status = audit.status_after(action, status, wanted)
+            if status is not None:
+                wanted = "closed" if action == "close" else wanted
+                status = audit.status_after(action, status, wanted)
             after.append(status)
-        self.status.update((status,))
+        if known is not None and status != known[0]:
+            self._set(status, batch["us"].max())
         out = batch[["seq", "action"]].copy()
         out.insert(0, "order_id", key[0])
         out["status_before"], out["status_after"] = before, after
-        out["accepted"] = out["status_before"] != out["status_after"]
+        out["accepted"] = [x != y for x, y in zip(before, after)]
         yield out
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.status.clear()
+        return iter([])
+
+
+def replay_stream(
+    requests: DataFrame, orders: DataFrame, keep_closed: timedelta = timedelta(days=30), lateness: timedelta = timedelta(days=1),
+) -> DataFrame:
+    """Outcome of each request; ``orders``, as stored when the job first starts, have the statuses to begin with.
 
-def replay_stream(requests: DataFrame) -> DataFrame:
-    """Outcome of each request on orders that start as pending."""
-    rows = requests.select("order_id", "seq", "action", "status")
+    Requests that come later than ``lateness`` after newer ones are dropped. Closed orders are kept for ``keep_closed``.
+    """
+    us = F.unix_micros("request_time").alias("us")
+    rows = requests.withWatermark("request_time", interval_text(lateness)).select("order_id", "seq", "action", "status", us, "request_time")
+    stored = orders.select(F.col("id").alias("order_id"), "status", F.unix_micros("update_time").alias("us"))
     return rows.groupBy("order_id").transformWithStateInPandas(
-        OrderReplay(),
+        OrderReplay(keep_closed // timedelta(milliseconds=1)),
         "order_id string, seq bigint, action string, status_before string, status_after string, accepted boolean",
-        "append", "None",
+        "append", "EventTime", initialState=stored.groupBy("order_id"),
+    )
+
+
+class TagFeed(_Ordered):
+    """The effect of each tag change of a user on what the user holds.
+
+    State is the latest change of each tag, removals included, and of the last removal of all tags, so that a change
+    that arrives after a later one has no effect.
+    """
+
+    def __init__(self):
+        super().__init__(["ts", "seq"])
+
+    def init(self, handle) -> None:
+        self.kept = handle.getValueState(
+            "tags", "tag array<string>, ts array<bigint>, seq array<bigint>, deleted array<boolean>, value array<string>, "
+            "cleared_ts bigint, cleared_seq bigint"
+        )
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = self.rows(rows)
+        stored = self.kept.get()
+        held, cleared = {}, (-(2**63), 0)
+        if stored is not None:
+            held = {tag: tuple(rest) for tag, *rest in zip(*stored[:5])}
+            cleared = tuple(stored[5:7])
+        out = []
+        batch = batch.astype(object).where(batch.notna(), None)
+        columns = [batch[c].tolist() for c in ("tag_name", "ts", "seq", "deleted", "value", "source")]
+        changes = sorted(zip(*columns), key=lambda c: (c[1], c[2], c[3], c[4] or ""))
+        for tag, ts, seq, deleted, value, source in changes:
+            if tag is None:
+                if (ts, seq) <= cleared:
+                    continue
+                cleared = (ts, seq)
+                for name in sorted(held):
+                    old = held[name]
+                    if not old[2] and (old[0], old[1]) < cleared:
+                        out.append(("delete", name, None, old[3], source, ts))
+                        held[name] = (ts, seq, True, None)
+                continue
+            old = held.get(tag)
+            if (ts, seq) < cleared or old is not None and (ts, seq, deleted, value or "") < (*old[:3], old[3] or ""):
+                continue
+            before = old[3] if old is not None and not old[2] else None
+            if not deleted:
+                out.append(("update", tag, value, before, source, ts))
+            elif old is not None and not old[2]:
+                out.append(("delete", tag, None, before, source, ts))
+            held[tag] = (ts, seq, deleted, None if deleted else value)
+        tags = list(held)
+        self.kept.update((tags, *[[held[t][i] for t in tags] for i in range(4)], *cleared))
+        if out:
+            made = pd.DataFrame(out, columns=["change", "tag_name", "value", "old_value", "source", "ts"], dtype=object)
+            made.insert(0, "user_id", key[0])
+            made["ts"] = made["ts"].astype("int64")
+            yield made
+
+
+def tag_feed(changes: DataFrame) -> DataFrame:
+    """Tag updates and deletions as they take effect, each with the value that it replaces.
+
+    ``changes`` is the change log as a stream. A removal of what the user does not hold is no event; one without a tag name
+    is a deletion of each tag held. Changes of a user apply by time and ``seq``; one that comes in a later micro-batch
+    than a later change of its tag has no effect, as in the table read latest-wins.
+    """
+    rows = changes.select(
+        "user_id", "tag_name", F.unix_micros("ts").alias("ts"), F.coalesce("seq", F.lit(0).cast("bigint")).alias("seq"),
+        F.coalesce("deleted", F.lit(False)).alias("deleted"), "value", "source",
+    )
+    out = rows.groupBy("user_id").transformWithStateInPandas(
+        TagFeed(), "user_id string, change string, tag_name string, value string, old_value string, source string, ts bigint", "append", "None"
     )
+    return out.withColumn("ts", F.timestamp_micros("ts"))
