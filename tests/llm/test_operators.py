@@ -411,6 +411,42 @@ def test_perfect_hash():
     assert sorted(index.slots(ids, order).tolist()) == list(range(len(ids)))
 
 
+def test_perfect_hash_of_keys_that_once_collided():
+    # ids a power of two apart with repeats, and no id beside the least id
+    ids = np.array([0, 1 << 40, 0, 1 << 40, 1 << 41, 0, token_store.NO_ID, token_store.NO_ID], np.int64)
+    ordinals = np.array([0, 0, 1, 1, 0, 2, 0, -1], np.int64)
+    index = token_store.PerfectHash.build(ids, ordinals)
+    assert sorted(index.slots(ids, ordinals).tolist()) == list(range(8))
+    with pytest.raises(ValueError):
+        token_store.PerfectHash.build(np.array([5, 5]), np.array([1, 1]))
+
+
+def test_store_of_odd_ids_over_many_shards(spark, shared):
+    # no id and one id fill several shards each
+    rng = random.Random(7)
+    rows = [(None, f"a{i} b") for i in range(150)] + [(7, f"c{i}") for i in range(150)] + [(token_store.NO_ID, "x"), (7 + (1 << 40), "y"), (8, "z")]
+    rng.shuffle(rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        entries = token_store.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), shared, tokenizer(WORDS))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert entries.select("shard").distinct().count() > 5
+    keys = {(r.id, r.ordinal) for r in entries.collect()}
+    assert keys == {(None, k) for k in range(150)} | {(7, k) for k in range(150)} | {(token_store.NO_ID, 0), (7 + (1 << 40), 0), (8, 0)}
+    from tokenizers import Tokenizer
+
+    encoder = Tokenizer.from_file(tokenizer(WORDS))
+    got = {(r.id, r.ordinal): np.frombuffer(r["ids"], "<u4").tolist() for r in token_store.lookup(spark, shared, entries).collect()}
+    for want in (None, 7):
+        texts = sorted(t for i, t in rows if i == want)
+        for k, t in enumerate(texts):
+            assert got[want, k] == [*encoder.encode(t, add_special_tokens=False).ids, 1]
+
+
 def test_empty_store(empty, shared, spark):
     entries = token_store.write(empty, shared, tokenizer(WORDS))
     assert token_store.lookup(spark, shared, entries).collect() == []

@@ -140,14 +140,27 @@ def load(path: str):
     return SentencePieceProcessor(model_proto=model), model
 
 
-def _maker(model: bytes, decode: bool) -> Callable:
-    def make():
+#: What a worker process has learned of a model: library, merger, ids by word, words on which both differ.
+_LEARNED: dict[int, tuple] = {}
+
+
+def _learned(model: bytes) -> tuple:
+    """The worker's own memory of a model, kept from task to task; one model at a time."""
+    key = hash(model)
+    if key not in _LEARNED:
         from sentencepiece import SentencePieceProcessor
 
         library = SentencePieceProcessor(model_proto=model)
-        merger = Merger(library)
-        known: dict[str, bytes] = {}
-        odd: set[str] = set()
+        _LEARNED.clear()
+        _LEARNED[key] = library, Merger(library), {}, set()
+    return _LEARNED[key]
+
+
+def _maker(model: bytes, decode: bool) -> Callable:
+    def make():
+        known: dict[str, bytes]
+        odd: set[str]
+        library, merger, known, odd = _learned(model)
 
         def learn(new: list[str]) -> None:
             # the library puts a mark before a text itself; a lone mark has no text of its own

@@ -13,8 +13,8 @@ so unknown keys are recognised, and the shard, offset and count. A lookup is two
 three hashes, a rank and one ranged read.
 
 Null and empty texts have the end id only. Rows with the same id are stored in the
-order of their texts and told apart by their ordinal. Rows without an id come first.
-Extra columns are not read. A retried task writes its shard anew under a name of its
+order of their texts and told apart by their ordinal. Rows without an id come first. Rows
+of one id may fill many shards; their ordinals go on from shard to shard. Extra columns are not read. A retried task writes its shard anew under a name of its
 own and moves it in place, so readers see whole files only.
 """
 
@@ -37,6 +37,8 @@ from tidewatch.llm.common import col, slices
 HEADER, HEADER_BYTES = "<8sII", 16
 SHARD_MAGIC, INDEX_MAGIC = b"TOKENIDS", b"TOKENIDX"
 KEYS_PER_BUCKET = 8_000
+#: Characters of a text by which texts of one id are dealt out.
+RANGE_CHARS = 64
 REMEMBERED = 700_000
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -108,9 +110,29 @@ class WordIds:
         return b"".join([known[w] for w in words])
 
 
+#: What a worker process has learned, by vocabulary, so that not every task learns it anew.
+_LEARNED: dict[tuple[int, str], WordIds] = {}
+
+
+def word_ids(spec: str, dtype: str) -> WordIds:
+    """The worker's own ``WordIds`` of a vocabulary; it keeps one vocabulary's words at a time."""
+    key = hash(spec), dtype
+    if key not in _LEARNED:
+        _LEARNED.clear()
+        _LEARNED[key] = WordIds(spec, dtype)
+    return _LEARNED[key]
+
+
 # --- files ----------------------------------------------------------------------
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark reads and writes it by."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"file://{full.removeprefix('file:')}" if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def _files(folder: str):
     """The file system of a folder given as a path or address, and the path in it."""
     return pafs.FileSystem.from_uri(folder) if ":" in folder else (pafs.LocalFileSystem(), folder)
@@ -136,13 +158,15 @@ def write(
     size = Tokenizer.from_str(spec).get_vocab_size(with_added_tokens=True)
     dtype = "<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4"
     shared = spark.sparkContext.broadcast(spec)
+    folder = qualified(spark, folder)
     fs, root = _files(folder)
     for part in ("shards", "index"):
         fs.create_dir(f"{root}/{part}", recursive=True)
 
-    ordered = (
-        docs.select(col(id_col).cast("long").alias("id"), col(text).alias("text"))
-        .repartitionByRange(F.asc_nulls_first("id")).sortWithinPartitions(F.asc_nulls_first("id"), "text")
+    rows = docs.select(col(id_col).cast("long").alias("id"), col(text).alias("text"))
+    # texts of one id are dealt out by their beginnings
+    ordered = rows.repartitionByRange(F.asc_nulls_first("id"), F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions(
+        F.asc_nulls_first("id"), "text"
     )
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +181,7 @@ def write(
         for batch in batches:
             for part in slices(batch, "text"):
                 if out is None:
-                    words = WordIds(shared.value, dtype)
+                    words = word_ids(shared.value, dtype)
                     out = fs.open_output_stream(temporary)
                     out.write(struct.pack(HEADER, SHARD_MAGIC, item, 0))
                 for i, t in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
@@ -178,23 +202,61 @@ def write(
     ordered.mapInArrow(shard, "id long, ordinal int, shard int, offset long, count long").write.parquet(
         f"{folder}/entries"
     )
-    entries = spark.read.parquet(f"{folder}/entries")
+    entries = _with_ordinals(spark.read.parquet(f"{folder}/entries"))
     _write_index(entries, folder)
     return entries
 
 
+def _with_ordinals(entries: DataFrame) -> DataFrame:
+    """Ordinals of a shard's first id go on from those that earlier shards have of it."""
+    id_ = F.struct(F.col("id").isNotNull().alias("known"), "id").alias("id")
+    edges = entries.groupBy("shard").agg(F.min(id_).alias("first"), F.max(id_).alias("last"))
+    ends = entries.join(edges, "shard").groupBy("shard", "first", "last").agg(
+        F.count_if(F.col("last.id").eqNullSafe(F.col("id"))).alias("of_last"), F.count("*").alias("rows")
+    ).orderBy("shard").collect()  # a row per shard
+    earlier, last, n = [], object(), 0
+    for row in ends:
+        if row["first"] == last:
+            earlier.append((row["shard"], n))
+        else:
+            n = 0
+        n = n + row["of_last"] if row["first"] == row["last"] else row["of_last"]
+        last = row["last"]
+    if not earlier:
+        return entries
+    found = entries.sparkSession.createDataFrame(earlier, "shard int, earlier long")
+    firsts = edges.select("shard", F.col("first.id").alias("first_id"))
+    added = F.when(F.col("id").eqNullSafe(F.col("first_id")), F.coalesce("earlier", F.lit(0))).otherwise(0)
+    joined = entries.join(firsts, "shard").join(found, "shard", "left")
+    return joined.select("id", (F.col("ordinal") + added).cast("int").alias("ordinal"), "shard", "offset", "count")
+
+
 # --- index ----------------------------------------------------------------------
 
 
-def _key_hash(ids: np.ndarray, ordinals: np.ndarray, seed: int) -> np.ndarray:
-    h = ids.astype(np.int64).view(np.uint64) ^ (ordinals.astype(np.uint64) << np.uint64(40))
-    h = h + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & (2**64 - 1))
+def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * MIX[0]
     h = (h ^ (h >> np.uint64(27))) * MIX[1]
     return h ^ (h >> np.uint64(31))
 
 
+def _key_hash(ids: np.ndarray, ordinals: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of both numbers; the seed comes between them, so keys that meet under one seed part under another."""
+    step = np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & (2**64 - 1))
+    h = _mixed(ids.astype(np.int64).view(np.uint64) + step)
+    return _mixed((h ^ step) + ordinals.astype(np.int64).view(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
+def _keys(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and ordinals as numbers; rows without an id get negative ordinals of their own."""
+    ids = rows.column("id")
+    absent, ordinals = np.asarray(ids.is_null()), np.asarray(rows.column("ordinal")).astype(np.int64)
+    return np.asarray(ids.fill_null(NO_ID)), np.where(absent, -1 - ordinals, ordinals)
+
+
 FINGERPRINT_SEED, GAMMA = 1_000, 2
+#: Half of the keys, or more, find their place at each level.
+MOST_LEVELS = 100
 
 
 class PerfectHash:
@@ -209,6 +271,8 @@ class PerfectHash:
     def build(cls, ids: np.ndarray, ordinals: np.ndarray) -> PerfectHash:
         levels = []
         while len(ids):
+            if len(levels) == MOST_LEVELS:
+                raise ValueError(f"{len(ids)} keys find no place of their own; are some given twice?")
             size = GAMMA * len(ids) + 1
             at = (_key_hash(ids, ordinals, len(levels)) % np.uint64(size)).astype(np.int64)
             bits = np.bincount(at, minlength=size) == 1
@@ -247,8 +311,7 @@ def _write_index(entries: DataFrame, folder: str) -> None:
 
     def build(key, group):
         group = group.sort_by([("id", "ascending"), ("ordinal", "ascending")])
-        ids = group.column("id").fill_null(NO_ID).to_numpy()
-        ordinals = group.column("ordinal").to_numpy()
+        ids, ordinals = _keys(group)
         index = PerfectHash.build(ids, ordinals)
         slots = np.zeros(len(ids), SLOT)
         at = index.slots(ids, ordinals)
@@ -313,6 +376,7 @@ def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
 
     ``keys`` has ``id`` and ``ordinal``. Keys that the index does not hold give no row.
     """
+    folder = qualified(spark, folder)
     buckets, begins = _layout(folder)
     asked = _bucketed(keys.select("id", "ordinal"), buckets)
     # at least two partitions a bucket would gain nothing: a bucket is read by one task, and is small
@@ -332,7 +396,7 @@ def lookup(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
                 if index is None:
                     continue
                 part = batch.slice(a, b - a)
-                ids, ordinals = part.column("id").fill_null(NO_ID).to_numpy(), part.column("ordinal").to_numpy()
+                ids, ordinals = _keys(part)
                 at = index[0].slots(ids, ordinals)
                 slots = index[1][np.maximum(at, 0)]
                 found = np.flatnonzero((at >= 0) & (slots["fingerprint"] == _fingerprint(ids, ordinals)))
