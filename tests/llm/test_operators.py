@@ -469,18 +469,17 @@ def test_similarity_equals_full_table():
 
 def _lines_loop(rows):
     """Removed lines by comparing all lines with all."""
-    signer, places = lines.Signer(), {}
+    places = {}
     for i, t in rows:
         for n, raw in enumerate(t.split("\n") if t else []):
             line = lines.normalised_lines(raw)[0] if raw else b""
             if i is not None and len(line.split()) >= lines.MIN_WORDS:
                 places.setdefault(line, set()).add((i, t, n))
     distinct = sorted(places)
-    sims = [int(x) for x in signer(distinct)]
     union = components.Union()
     for a in range(len(distinct)):
         for b in range(a):
-            if (sims[a] ^ sims[b]).bit_count() <= lines.BITS and lines.within(distinct[a].decode(), distinct[b].decode(), lines.SIMILARITY):
+            if lines.within(distinct[a].decode(), distinct[b].decode(), lines.SIMILARITY):
                 union.join(a, b)
     grouped = {}
     for x, line in enumerate(distinct):
@@ -555,30 +554,52 @@ def test_lines_with_other_figures_stay(spark):
     assert sorted(r.text for r in got) == sorted([*own, ""])
 
 
-def test_pigeonhole_keeps_close_lines(spark):
+def test_pairs_of_lines_that_agree(spark):
     rng = random.Random(3)
-    rows = []
-    for k in range(200):
-        x = rng.getrandbits(64)
-        y = x
-        for _ in range(rng.randrange(0, 5)):
-            y ^= 1 << rng.randrange(64)
-        rows += [(2 * k, x), (2 * k + 1, y)]
-    signed = [(k, x - (1 << 64) if x >> 63 else x) for k, x in rows]
-    distinct = spark.createDataFrame([(k, x, k % 3) for k, x in signed], "key long, sim long, n long")
-    found = lines.first_pairs(distinct, 3)
-    got = {tuple(r) for r in found.where("a is not null").select("a", "b").collect()}
-    assert found.where("a is null").isEmpty()
-    # with pivots for all, pivots' pairs and the others' are the same pairs
-    found = lines.first_pairs(distinct, 3, long_list=1)
+    pool = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(rng.choice([3, 6, 20, 40]))) for _ in range(40)]
+    texts = set(pool)
+    for x in pool * 4:
+        for _ in range(rng.randrange(1, 5)):
+            at = rng.randrange(len(x))
+            x = x[:at] + rng.choice(["xyz", "q", ""]) + x[at + rng.randrange(4) :]
+        texts.add(x)
+    texts = sorted(texts)
+    chars, sketches = lines.Signer().sketches([x.encode() for x in texts], 0.8)
+    rows = [(k, c, [(p["posts"], p["sim"]) for p in s], k % 3) for k, (c, s) in enumerate(zip(chars, sketches.to_pylist()))]
+    distinct = spark.createDataFrame(rows, "key long, chars int, sketches array<struct<posts:array<int>,sim:long>>, n long").repartition(3)
+    expected = set()
+    for a, c, s, _ in rows:
+        for b, d, t, _ in rows[a + 1 :]:
+            shared = prints = 0
+            for posts, sim in s:
+                for posts_b, sim_b in t:
+                    agree = sum(x == y for x, y in zip(np.int64(sim).tobytes(), np.int64(sim_b).tobytes()))
+                    found = sum(x == y for x, y in zip(posts, posts_b)) if agree else 0
+                    shared, prints = shared + found, max(prints, agree if found else 0)
+            if min(c, d) >= 0.8 * max(c, d) - 1e-9 and shared and shared + prints >= lines.LEAST_AGREEING:
+                expected.add((a, b))
+    found = lines.first_pairs(distinct)
+    assert found.where("a is null").isEmpty() and len(expected) > 100
+    assert {tuple(r) for r in found.where("a is not null").select("a", "b").collect()} == expected
+    # with pivots for all lists, the pivots' pairs and the others' hold the same
+    found = lines.first_pairs(distinct, long_list=1)
     alone = spark.createDataFrame([], "node long, root long")
     first = {tuple(r) for r in found.where("a is not null").select("a", "b").collect()}
-    later = {tuple(r) for r in lines.other_pairs(found.where("a is null"), alone, 3).collect()}
-    assert first | later == got
-    expected = {
-        (a, b) for i, (a, x) in enumerate(rows) for b, y in rows[i + 1 :] if (x ^ y).bit_count() <= 3
-    }
-    assert got == expected
+    later = {tuple(r) for r in lines.other_pairs(found.where("a is null"), alone).collect()}
+    assert not found.where("a is null").isEmpty() and first | later == expected
+
+
+def test_edits_by_anchors_are_an_upper_bound():
+    rng = random.Random(8)
+    for _ in range(400):
+        a = "".join(rng.choice("abcd ") for _ in range(rng.randrange(5, 300)))
+        b = a
+        for _ in range(rng.randrange(8)):
+            at = rng.randrange(len(b) + 1)
+            b = b[:at] + rng.choice(["", "x", "yz ab", "c" * 90]) + b[at + rng.randrange(12) :]
+        most = int(0.2 * max(len(a), len(b)))
+        found = lines._edits_by_anchors(a, b, most)
+        assert found > most or found >= brute.edits(a, b)
 
 
 def test_lines_of_odd_documents(odd, empty):
