@@ -30,7 +30,7 @@ from tidewatch.llm.common import list_array, with_columns
 
 MARK = "▁"
 #: Words a task remembers; beyond it, it starts anew. It bounds memory and changes no result.
-REMEMBERED = 700_000
+REMEMBERED = 250_000
 #: Characters up to which the agenda is a plain list.
 SHORT, NEVER = 32, float("inf")
 
