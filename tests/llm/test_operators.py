@@ -7,6 +7,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -581,12 +582,34 @@ def test_pairs_of_lines_that_agree(spark):
     found = lines.first_pairs(distinct)
     assert found.where("a is null").isEmpty() and len(expected) > 100
     assert {tuple(r) for r in found.where("a is not null").select("a", "b").collect()} == expected
-    # with pivots for all lists, the pivots' pairs and the others' hold the same
-    found = lines.first_pairs(distinct, long_list=1)
+    # with pivots for all lists, hot or read by one task, the pivots' pairs and the others' hold the same
     alone = spark.createDataFrame([], "node long, root long")
-    first = {tuple(r) for r in found.where("a is not null").select("a", "b").collect()}
-    later = {tuple(r) for r in lines.other_pairs(found.where("a is null"), alone).collect()}
-    assert not found.where("a is null").isEmpty() and first | later == expected
+    for share in (10**6, 1):
+        found = lines.first_pairs(distinct, long_list=1, hot_share=share)
+        first = {tuple(r) for r in found.where("a is not null").select("a", "b").collect()}
+        later = {tuple(r) for r in lines.other_pairs(found.where("a is null"), alone).collect()}
+        assert not found.where("a is null").isEmpty() and first | later == expected
+
+
+@pytest.mark.parametrize(("batch", "long"), [(1, 2), (3, 2), (7, 4), (1000, 3), (1000, 1000)])
+def test_lists_met_over_batches(batch, long):
+    rng = np.random.default_rng(batch)
+    post = np.sort(rng.integers(0, 12, 80))
+    key, chars = np.arange(80, dtype=np.int64), rng.integers(10, 14, 80).astype(np.int32)
+    sim = np.array([np.frombuffer(bytes(rng.integers(0, 3, 8).astype(np.uint8)), np.int64)[0] for _ in range(80)])
+    entries = pa.RecordBatch.from_arrays([pa.array(x) for x in (post, key, sim, chars)], names=["post", "key", "sim", "chars"])
+    met = list(lines._lists_met((entries.slice(i, batch) for i in range(0, 80, batch)), long, 0.8))
+    rows = [r for b in met for r in b.to_pylist()]
+    sizes = {int(p): int((post == p).sum()) for p in post}
+    assert sorted((r["shared"], r["key"]) for r in rows if r["shared"] is not None) == [(int(p), int(k)) for p, k in zip(post, key) if sizes[int(p)] > long]
+    expected = []
+    for i in range(80):
+        for j in range(i + 1, 80):
+            first = int(np.searchsorted(post, post[i])) == i
+            agree = sum(x == y for x, y in zip(sim[i].tobytes(), sim[j].tobytes()))
+            if post[i] == post[j] and (sizes[int(post[i])] <= long or first) and agree and min(chars[i], chars[j]) >= 0.8 * max(chars[i], chars[j]) - 1e-9:
+                expected.append((i, j, agree))
+    assert sorted((r["a"], r["b"], r["prints"]) for r in rows if r["a"] is not None) == sorted(expected)
 
 
 def test_edits_by_anchors_are_an_upper_bound():
