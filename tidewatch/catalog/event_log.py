@@ -161,6 +161,15 @@ def time_conversions(spark, d):
     )
 
 
+@query("time_in_window", f"""WITH {EV} SELECT event_id, "timestamp" AS utc,
+  "timestamp" >= TIMESTAMP '2024-01-10' AND "timestamp" < TIMESTAMP '2024-01-15' AS inside FROM ev""")
+def time_in_window(spark, d):
+    # zone-less instants, as the table may have them
+    utc = tu.to_utc(F.col("timestamp").cast("timestamp_ntz"))
+    inside = tu.in_window(utc, F.lit(MID - timedelta(days=5)), F.lit(MID))
+    return ev(spark, d).select("event_id", utc.alias("utc"), inside.alias("inside"))
+
+
 @query("time_buckets", f"""WITH {EV}, spans AS (
   SELECT user_id, min("timestamp") AS s, max("timestamp") AS e FROM ev GROUP BY user_id), starts AS (
   SELECT user_id, e, unnest(generate_series(time_bucket(INTERVAL 1 DAY, s), e - INTERVAL 1 MICROSECOND, INTERVAL 1 DAY)) AS bucket_start

@@ -1,5 +1,7 @@
 """Per-user statistics, rules and what they lead to."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.base import (
@@ -8,6 +10,9 @@ from tidewatch.catalog.base import (
 from tidewatch.operators import stats, tags
 from tidewatch.plans import actions, match, rules
 from tidewatch.plans.conditions import field_condition as fc
+from tidewatch.schema import RULES as RULE_COLUMNS
+from tidewatch.session import ensure_checkpoint_dir
+from tidewatch.sources.rules import read_rule_table
 
 COUNTS_SQL = """count(*) AS event_count, count(*) FILTER (event_type = 'view') AS view_count,
   count(*) FILTER (event_type = 'click') AS click_count, count(*) FILTER (event_type = 'purchase') AS purchase_count"""
@@ -119,6 +124,30 @@ def rule_index_validation(spark, d):
     return checked.select("rule_id", "valid", "valid_contexts", "matched_contexts", "error")
 
 
+def stored_rules(spark, d):
+    """A rule for each product, some of them off, with limits from its sales."""
+    k = F.col("k")
+    sold = ev(spark, d).groupBy(F.col("product_id").cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    given = {
+        "id": F.concat(F.lit("item_"), k.cast("string")), "name": F.concat(F.lit("Item "), k.cast("string")),
+        "condition": F.format_string("event_count > %d and (purchase_count >= %d or len(user_id) == 1)", 45 + k % 30, F.col("n") % 25),
+        "priority": k % 5, "enabled": k % 4 != 0, "version": F.lit(1), "load_order": k,
+    }
+    return sold.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RULE_COLUMNS.fields])
+
+
+@query("stored_rule_matches", f"""WITH {CONTEXTS}, rules AS (SELECT k, count(*) AS n FROM ev GROUP BY k)
+  SELECT user_id, 'item_' || CAST(k AS VARCHAR) AS rule_id, CAST(k % 5 AS INTEGER) AS priority,
+    CAST(row_number() OVER (PARTITION BY user_id ORDER BY k % 5 DESC, k) - 1 AS INTEGER) AS rank
+  FROM contexts, rules WHERE k % 4 <> 0 AND event_count > 45 + k % 30 AND (purchase_count >= n % 25 OR length(user_id) = 1)""")
+def stored_rule_matches(spark, d):
+    # rules are written as a table, read back and compiled
+    path = f"{ensure_checkpoint_dir(spark)}/tidewatch-{uuid.uuid4().hex}/rules"
+    stored_rules(spark, d).write.parquet(path)
+    found = match.match(contexts(spark, d), read_rule_table(spark, path), executed_at=AS_OF)
+    return found.select("user_id", "rule_id", "priority", "rank")
+
+
 @query("rule_match_counts", f"WITH {HITS} SELECT rule_id, count(*) AS match_count FROM matches GROUP BY rule_id")
 def rule_match_counts(spark, d):
     return match.match_counts(matches(spark, d))

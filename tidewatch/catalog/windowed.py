@@ -1,6 +1,6 @@
 """Windows, sessions and burst detection."""
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -76,13 +76,18 @@ def expired_windows(spark, d):
     return windows.expired(rows, MID, timedelta(minutes=30))
 
 
-@query("triggered_window", f"""WITH {EV} SELECT user_id, count(*) AS event_count FROM ev
-  WHERE user_id = '3' AND "timestamp" >= TIMESTAMP '2024-01-15' AND "timestamp" < TIMESTAMP '2024-01-16' GROUP BY user_id""")
+@query("triggered_window", f"""WITH {EV}, one AS (
+  SELECT user_id, time_bucket(INTERVAL 1 DAY, max("timestamp")) AS window_start FROM ev WHERE user_id = (SELECT min(user_id) FROM ev) GROUP BY user_id)
+  SELECT user_id, window_start, count(*) AS event_count FROM ev JOIN one USING (user_id)
+  WHERE "timestamp" >= window_start AND "timestamp" < window_start + INTERVAL 1 DAY GROUP BY ALL""")
 def triggered_window(spark, d):
-    rows = windows.tumbling(ev(spark, d), DAY).groupBy("user_id", "window_start", "window_end").agg(
+    # the last window of a user, taken before its time
+    events = ev(spark, d)
+    user, last = events.groupBy("user_id").agg(F.max("timestamp")).orderBy("user_id").first()
+    start = datetime(last.year, last.month, last.day)
+    rows = windows.tumbling(events, DAY).groupBy("user_id", "window_start", "window_end").agg(
         F.count(F.lit(1)).alias("event_count"))
-    one = windows.one_window(rows, F.col("user_id") == "3", MID, MID + DAY)
-    return one.select("user_id", "event_count")
+    return windows.one_window(rows, F.col("user_id") == user, start, start + DAY).select("user_id", "window_start", "event_count")
 
 
 SESSIONS = EV + """, gaps AS (
