@@ -43,7 +43,9 @@ GROUPS = {
     "functions": [
         "len(s) > 2", "len(l) > 1", "len(d) == 2", "len([n, m]) == 2", "len(n)", "str(n) == '2'", "str(x) == '1.5'",
         "str(x) == '10000000.0'", "str(x) == '1e-05'", "str(x) == '123456.789'", "str(b) == 'True'",
-        "str(None) == 'None'", "int(s) > 5", "float(s) > 3", "int(x) == -2", "int('7') == 7", "bool(s)", "abs(n) > 2",
+        "str(None) == 'None'", "int(s) > 5", "float(s) > 3", "int(x) == -2", "int('7') == 7",
+        "int('ff', 16) == 255", "int(s, 16) > 5", "int(s, 2) == 1", "int(' -0x_1F ', 16) == -31", "int('0b11', 2) == 3", "int('Zz', 36) == 1295",
+        "int(t, 36) > 10", "int(n, 16) == 1", "int('1', 1) == 1", "int('12', 2) == 1", "int('0b1', 16) == 177", "int('', 16) == 0", "bool(s)", "abs(n) > 2",
         "abs(x) > 2", "abs(b) == 1", "max(n, m) > 3", "min(x, n) < 0", "max(l) == 3", "min(q) == 'a'", "max(1, 'a')",
         "max([])", "max(n)", "max(l, default=1) == 3", "sum(l) > 3", "sum([n, m]) > 2", "sum(s)", "any(l)", "all(l)",
         "all(q)", "any([n, s])", "list(s) == ['v', 'i', 'p']", "len(set(l)) == 2", "tuple(l) == (1,)", "dict(d) == d",
@@ -157,6 +159,27 @@ def test_field_conditions():
         field_condition("a", "like", 1)
 
 
+def test_whole_numbers_in_any_base(spark):
+    """Up to 64 bits as Python; longer ones are errors, not failures of the job."""
+    import random
+
+    rnd = random.Random(1)
+    for base in (2, 3, 10, 16, 35, 36):
+        digits = "0123456789abcdefghijklmnopqrstuvwxyz"[:base]
+        rows = []
+        for size in (1, 5, 6, 7, 12, 13, 19, 20, 40, 63, 64, 90):
+            text = "".join(rnd.choice(digits) for _ in range(size))
+            rows += [(text,), ("-" + text.upper(),), ("0" * 30 + text,)]
+        df = spark.createDataFrame([*rows, ("",), ("_1",), ("1__1",), (None,), ("z!",)], "s string")
+        got = df.select("s", Condition(f"int(s, {base}) > 1000", df.schema).matches.alias("m")).collect()
+        for r in got:
+            try:
+                want = 1000 < int(r["s"], base) < 2**63
+            except (ValueError, TypeError):
+                want = False
+            assert r["m"] == want, (base, r["s"])
+
+
 def test_overflow_is_no_match(spark):
     """Whole numbers beyond 64 bits count as errors."""
     df = spark.createDataFrame([(1,)], "n long")

@@ -529,6 +529,41 @@ def _to_int(v: Value) -> Value:
     raise Undefined(f"int of {v.kind}")
 
 
+_PREFIXES = {2: "0[bB]", 8: "0[oO]", 16: "0[xX]"}
+
+
+def _in_base(value: int, base: int) -> list[int]:
+    """The digits of a number, the last one first."""
+    out = []
+    while value:
+        value, digit = divmod(value, base)
+        out.append(digit)
+    return out
+
+
+def _to_int_of_base(v: Value, base: Value) -> Value:
+    """``int`` of text in a base given as a constant."""
+    n = base.literal
+    if v.kind != "str" or not isinstance(n, int) or isinstance(n, bool) or not 2 <= n <= 36:
+        raise Undefined("int takes text and a constant base from 2 to 36")
+    digits = "0123456789abcdefghijklmnopqrstuvwxyz"[:n]
+    digit = f"[{digits}{digits[10:].upper()}]"
+    prefix = f"({_PREFIXES[n]}_?)?" if n in _PREFIXES else ""
+    form = rf"^\s*[+-]?{prefix}{digit}+(_{digit}+)*\s*$"
+    bare = F.regexp_replace(F.regexp_replace(v.col, r"[_\s+-]", ""), f"^{_PREFIXES[n]}" if n in _PREFIXES else "^$", "")
+    bare = F.regexp_replace(F.when(v.col.rlike(form), bare), "^0+", "")
+    # in two parts, as a part beyond 64 bits would raise; longer texts are beyond them in any case
+    longest, low = len(_in_base(2**63, n)), 6
+    padded = F.concat(F.lit("0" * low), F.when(F.length(bare) <= longest, bare))
+
+    def part(text: Column) -> Column:
+        return F.coalesce(F.conv(text, n, 10), F.when(text.isNotNull(), F.lit("0"))).cast("decimal(20,0)")
+
+    size = part(F.substring(padded, F.lit(1), F.length(padded) - low)) * F.lit(n**low).cast("decimal(10,0)") + part(F.right(padded, F.lit(low)))
+    number = F.when(F.contains(v.col, F.lit("-")), -size).otherwise(size).try_cast("bigint")
+    return Value("int", number, _both(_present(v), number.isNotNull()), nullable=True)
+
+
 def _to_float(v: Value) -> Value:
     if v.kind in NUMBERS:
         return Value("float", _as_float(v), _present(v), nullable=True)
@@ -648,6 +683,8 @@ def _call(name: str, args: list[Value]) -> Value:
         return _extreme(args, name == "max")
     if name == "sum" and n in (1, 2):
         return _total(args[0], args[1] if n == 2 else _constant(0))
+    if name == "int" and n == 2:
+        return _to_int_of_base(*args)
     if n != 1:
         raise Undefined(f"{name} takes one argument")
     (v,) = args
