@@ -180,8 +180,49 @@ def test_whole_numbers_in_any_base(spark):
             assert r["m"] == want, (base, r["s"])
 
 
-def test_overflow_is_no_match(spark):
-    """Whole numbers beyond 64 bits count as errors."""
-    df = spark.createDataFrame([(1,)], "n long")
-    out = df.select(Condition("9223372036854775807 + n > 0", df.schema).matches.alias("m"), F.lit(1))
-    assert out.first()["m"] is False
+BEYOND = [
+    "9223372036854775807 + n > 0", "n ** 10 > 1", "n ** 10 == 97656250000000000", "n * 10**18 > 1",
+    "n * 10**18 == 50 * 10**18", "n * 10**18 * m < 0", "-(n * 10**18) < -10**19", "abs(m * 10**19) > 10**19",
+    "n ** 20 % 7 == 1", "m ** 21 % 7 == 3", "m ** 21 // 10**18 == -1", "n ** 20 // 10**15 > 10**18", "2 ** 60 + 1 > 2 ** 60",
+    "n ** 60 > 10**30", "n ** 200 == n ** 199", "n ** 400 > 1", "n in [10**20, 50]", "n not in [10**20]",
+    "str(n * 10**18) == '50000000000000000000'", "float(n * 10**18) == 5e19", "bool(n * 10**18)", "not n * 10**18",
+    "int(n * 10**18) > 10**19", "n * 10**18 / 10**18 == 50", "n * 10**18 - n * 10**18 == 0", "n * 10**18 == None",
+    "n * 10**18 > x", "10**30 > n", "-10**30 < n < 10**30", "sum([n * 1, 10**18]) > n", "n * m * m * m > 0",
+    "(n * 10**18) % 0 == 0", "10**38 > n * 10**36",
+    "len(s * 5000000) > 1", "len(s * -3) == 0", "len([n] * 5000000) == 5000000", "len(l * 3) > 3", "len(n * m)",
+    "'%s' % n == '50'", "'%s%%' % x == '1.5%'", "'%d/%s' % (n, s) == '50/ab'", "'%d' % s == ''", "'%s' % (n, m) == ''",
+    "{'a': n} == {'a': 50}", "{'a': n} == {'b': 50}", "{'a': n, 'b': m} != {'b': m, 'a': n}", "d == {'a': 1}", "{'a': 1, 'b': 2} == d",
+    "{'a': None} == d", "{1: n} == d", "{} == {}", "n == {'a': 50}", "m == -7", "{-1: n}[-1] == 50",
+]
+
+
+def test_beyond_64_bits_as_python(spark):
+    """Large whole numbers, lengths of long repeats, filled-in text and dicts mean what they mean in Python."""
+    schema = "n long, m long, x double, s string, l array<bigint>, d map<string,bigint>"
+    rows = [
+        (50, -7, 1.5, "ab", [1, 2], {"a": 1}), (1, 0, 2.0, "", [], {"a": 1, "b": 2}), (-3, 2**62, 1e20, "x", [None], {}),
+        (0, 1, 0.0, "ab", [1], {"a": None}), (None, 5, None, None, None, None), (2**63 - 1, -(2**63), -1e300, "y", [7], {"a": 50}),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    got = df.select(*[Condition(c, df.schema).matches.alias(f"c{i}") for i, c in enumerate(BEYOND)]).collect()
+    wrong = [
+        (text, row) for i, text in enumerate(BEYOND) for row, out in zip(rows, got)
+        if out[i] != run(text, dict(zip(df.columns, row)))
+    ]
+    assert not wrong
+
+
+def test_powers_of_small_numbers(spark):
+    """Up to 38 digits exactly, beyond as doubles."""
+    df = spark.createDataFrame([(i,) for i in range(-50, 51)], "n long")
+    texts = ["n ** 100 > n ** 99", "n ** 22 > n ** 21 + 1", "n ** 21 + 1 == n * n ** 20 + 1", "(n ** 21 - 7) // 13 % 11 == 3"]
+    got = df.select("n", *[Condition(c, df.schema).matches.alias(f"c{i}") for i, c in enumerate(texts)]).collect()
+    assert [(c, r["n"]) for r in got for i, c in enumerate(texts) if r[i + 1] != run(c, {"n": r["n"]})] == []
+
+
+def test_what_cannot_be_told_is_no_match(spark):
+    """Beyond 38 digits numbers are approximate: equal ones are neither found equal nor different."""
+    df = spark.createDataFrame([(50,)], "n long")
+    texts = ["n ** 200 == n ** 200", "n ** 200 != n ** 200", "n ** 200 + 1 > n ** 200", "n ** 200 - n ** 200 > -1", "n ** 200 % 7 == 1"]
+    got = df.select(*[Condition(c, df.schema).matches.alias(f"c{i}") for i, c in enumerate(texts)]).first()
+    assert list(got) == [False] * 5

@@ -398,6 +398,11 @@ CONSTRUCTS = {
     "lists": ("[view_count, click_count] == [12, 12] or len(set([view_count, click_count])) == 1", "view_count = click_count"),
     "eager_error": ("event_count > 0 or 1 / 0", "false"),
     "lazy_chain": ("event_count < 0 < missing or event_count > 66", "event_count > 66"),
+    "large_powers": ("event_count ** 12 % 7 == 1 and event_count ** 20 > 60 ** 20", "event_count % 7 <> 0 AND event_count > 60"),
+    "large_products": ("view_count * 10**18 == 12 * 10**18 or click_count * 10**19 // 10**18 > 180", "view_count = 12 OR click_count * 10 > 180"),
+    "repeated_length": ("len(user_id * 5000000) > 10000000", "length(user_id) > 2"),
+    "filled_text": ("'%s-%d%%' % (user_id, view_count) == '7-%s%%' % view_count", "user_id = '7'"),
+    "equal_dicts": ("{'v': view_count, 'c': click_count} == {'c': 12, 'v': click_count}", "click_count = 12 AND view_count = 12"),
     "refused": ("(lambda: 1)() or event_count.real", "false"),
 }
 

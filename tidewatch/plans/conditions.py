@@ -16,6 +16,7 @@ alternatives of one type each.
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -26,6 +27,15 @@ from pyspark.sql import types as T
 NUMBERS = ("bool", "int", "float")
 SEQUENCES = ("list", "tuple", "set")
 REPEAT_LIMIT = 1 << 22
+WIDE = "decimal(38,0)"
+WIDE_END = 10**38
+EXACT_FLOAT = 2.0**53
+# wide numbers are divided by less than SMALL in two parts, the last HALF_DIGITS apart
+HALF_DIGITS, SMALL = 19, 10**12
+# approximate numbers differ where they do by this share of them
+NEAR = 1e-9
+# constants are worked out beforehand up to this many bits
+FOLD_BITS = 4096
 # The variables conditions are checked against when no schema is given.
 SAMPLE_SCHEMA = T.StructType([
     T.StructField("user_id", T.StringType()),
@@ -42,6 +52,18 @@ _FLOAT_TEXT = (
 )
 
 
+@dataclass
+class Wide:
+    """A whole number where 64 bits do not hold it.
+
+    ``big`` is exact and null beyond 38 digits; ``far`` is a double for what lies
+    beyond, and null where rounding could have taken its meaning.
+    """
+
+    big: Column
+    far: Column
+
+
 class Undefined(Exception):
     """The expression can be told to fail before any row is seen."""
 
@@ -53,7 +75,8 @@ class Value:
     ``ok`` is null-free; None means always valid. A ``strict`` value is valid
     only where it is not null: arithmetic hands on the null of whatever failed,
     so a long formula needs a single check. ``items`` are the parts of a literal
-    sequence or dict, ``literal`` the value of a constant.
+    sequence or dict, ``literal`` the value of a constant. ``wide`` takes over
+    where ``col`` is null because the number is beyond 64 bits.
     """
 
     kind: str
@@ -64,6 +87,7 @@ class Value:
     nullable: bool = False
     literal: object = None
     strict: bool = False
+    wide: Wide | None = None
 
     def missing(self) -> Column:
         if self.kind == "none":
@@ -138,7 +162,12 @@ def _constant(value: object) -> Value:
     if isinstance(value, int):
         if -(2**63) <= value < 2**63:
             return Value("int", F.lit(value).cast("bigint"))
-        return Value("float", F.lit(float(value)))
+        big = F.lit(str(value) if abs(value) < WIDE_END else None).cast(WIDE)
+        try:
+            far = float(value)
+        except OverflowError:
+            far = float("inf") if value > 0 else float("-inf")
+        return Value("int", F.lit(None).cast("bigint"), strict=True, wide=Wide(big, F.lit(far)))
     if isinstance(value, float):
         return Value("float", F.lit(value))
     if isinstance(value, str):
@@ -150,7 +179,15 @@ def _as_int(v: Value) -> Column:
     return v.col.cast("bigint")
 
 
+def _wide(v: Value) -> Wide:
+    return v.wide or Wide(_as_int(v).cast(WIDE), _as_int(v).cast("double"))
+
+
 def _as_float(v: Value) -> Column:
+    if v.wide:
+        # beyond the doubles Python fails
+        far = F.when(F.abs(v.wide.far) != float("inf"), v.wide.far)
+        return F.coalesce(v.col.cast("double"), v.wide.big.cast("double"), far)
     return v.col.cast("bigint").cast("double") if v.kind == "bool" else v.col.cast("double")
 
 
@@ -160,6 +197,17 @@ def _pair(a: Value, b: Value) -> tuple[str, Column, Column]:
     return "int", _as_int(a), _as_int(b)
 
 
+def _compared(test: Callable[[Column, Column], Column], a: Value, b: Value) -> Column:
+    """A comparison of two whole numbers by the narrowest form that holds both; null
+    where only approximate forms do and they are too close to be told apart."""
+    x, y = _wide(a), _wide(b)
+    largest = F.greatest(F.abs(x.far), F.abs(y.far))
+    apart = F.when(largest == float("inf"), x.far != y.far).otherwise(F.abs(x.far - y.far) > NEAR * largest)
+    return F.coalesce(
+        test(_as_int(a), _as_int(b)), test(x.big, y.big), F.when(apart, test(x.far, y.far))
+    )
+
+
 # --- truth, equality, order -------------------------------------------------
 
 def _truth(v: Value) -> Column:
@@ -169,6 +217,8 @@ def _truth(v: Value) -> Column:
         return F.lit(bool(v.items))
     if v.kind == "bool":
         return _sure(v.col)
+    if v.wide:
+        return _sure(F.coalesce(v.col != 0, v.wide.big != 0, v.wide.far != 0))
     if v.kind in ("int", "float"):
         return _sure(v.col != 0)
     if v.kind == "str":
@@ -191,7 +241,12 @@ def _elements(v: Value) -> list[Value] | None:
 def _equal(a: Value, b: Value) -> Value:
     ok = None
     both_none = a.missing() & b.missing()
-    if a.kind in NUMBERS and b.kind in NUMBERS:
+    if (a.wide or b.wide) and {a.kind, b.kind} <= {"int", "bool"}:
+        # None equals no number
+        gone = a.missing() | b.missing()
+        held = F.when(gone, F.lit(False)).otherwise(_compared(Column.__eq__, a, b))
+        same, ok = _sure(held), held.isNotNull()
+    elif a.kind in NUMBERS and b.kind in NUMBERS:
         _, x, y = _pair(a, b)
         same = _sure((x == y) & _not_nan(a) & _not_nan(b)) | both_none
     elif a.items is not None or b.items is not None:
@@ -228,10 +283,10 @@ def _equal_parts(a: Value, b: Value) -> tuple[Column, Column | None]:
     """Equality where at least one side is a literal sequence or dict."""
     if a.kind != b.kind:
         return a.missing() & b.missing(), None
-    if a.kind == "dict":
-        raise Undefined("comparison of dict literals")
     if a.items is None:
         a, b = b, a
+    if a.kind == "dict":
+        return _equal_dicts(a, b)
     if a.kind == "set":
         raise Undefined("comparison of set literals")
     if b.items is not None:
@@ -247,6 +302,29 @@ def _equal_parts(a: Value, b: Value) -> tuple[Column, Column | None]:
     return _held(_both(size, *[p.col for p in parts])), _both(*[p.ok for p in parts])
 
 
+def _entry(box: Value, key: Value) -> Column:
+    return F.get(F.filter(F.map_entries(box.col), lambda e: e["key"] == key.col), 0)
+
+
+def _equal_dicts(a: Value, b: Value) -> tuple[Column, Column | None]:
+    """A literal dict against another one or against a map column."""
+    if b.items is None:
+        parts = []
+        for key, value in a.items:
+            if key.kind != _kind(b.of.keyType):
+                return F.lit(False), None
+            entry = _entry(b, key)
+            held = _equal(value, _of_column(entry["value"], b.of.valueType))
+            parts.append(replace(held, col=_sure(entry.isNotNull() & held.col)))
+        size = _sure(F.size(b.col) == len(a.items))
+        return _held(_both(size, *[p.col for p in parts])), _both(*[p.ok for p in parts])
+    other = {key.literal: value for key, value in b.items}
+    if {key.literal for key, _ in a.items} != set(other):
+        return F.lit(False), None
+    parts = [_equal(value, other[key.literal]) for key, value in a.items]
+    return _held(_both(*[p.col for p in parts])), _both(*[p.ok for p in parts])
+
+
 _ORDER: dict[type, Callable[[Column, Column], Column]] = {
     ast.Lt: lambda x, y: x < y,
     ast.LtE: lambda x, y: x <= y,
@@ -257,6 +335,9 @@ _ORDER: dict[type, Callable[[Column, Column], Column]] = {
 
 def _ordered(op: ast.cmpop, a: Value, b: Value) -> Value:
     test = _ORDER[type(op)]
+    if (a.wide or b.wide) and {a.kind, b.kind} <= {"int", "bool"}:
+        held = _compared(test, a, b)
+        return Value("bool", _sure(held), _both(_present(a, b), held.isNotNull()))
     if a.kind in NUMBERS and b.kind in NUMBERS:
         _, x, y = _pair(a, b)
         held = test(x, y) & _not_nan(a) & _not_nan(b)
@@ -333,6 +414,8 @@ def _arithmetic(op: ast.operator, a: Value, b: Value) -> Value:
         if x.of != y.of:
             raise Undefined("lists of different types")
         return Value(a.kind, F.concat(x.col, y.col), _present(x, y), x.of, nullable=True)
+    if name is ast.Mod and a.kind == "str":
+        return _formatted(a, b)
     if name is ast.Mult:
         body, times = (a, b) if a.kind not in NUMBERS else (b, a)
         if body.kind in ("str", "list", "tuple") and times.kind in ("bool", "int"):
@@ -352,9 +435,114 @@ def _repeated(body: Value, times: Value) -> Value:
     return Value(body.kind, col, _both(_present(body, times), fits), body.of, nullable=True)
 
 
+def _repeated_length(op: ast.operator, a: Value, b: Value) -> Value:
+    """``len`` of a product; text or a list repeated need not exist for it."""
+    body, times = (a, b) if a.kind not in NUMBERS else (b, a)
+    if body.kind not in ("str", "list", "tuple") or times.kind not in ("bool", "int"):
+        return _length(_arithmetic(op, a, b))
+    count = Value("int", F.greatest(_as_int(times), F.lit(0).cast("bigint")))
+    size = _length(body)
+    return replace(_numeric(ast.Mult, size, count), ok=_both(_present(body, times), size.ok))
+
+
+def _formatted(form: Value, given: Value) -> Value:
+    """``%`` with a constant text on the left that holds ``%s``, ``%d`` and ``%%``."""
+    if not isinstance(form.literal, str):
+        raise Undefined("only a constant text is filled in")
+    values = given.items if given.kind == "tuple" and given.items is not None else [given]
+    parts = re.split(r"(%.?)", form.literal, flags=re.DOTALL)
+    marks = [p for p in parts[1::2] if p != "%%"]
+    if any(m not in ("%s", "%d") for m in marks) or len(marks) != len(values):
+        raise Undefined("unsupported format")
+    out, oks, left = [], [], list(values)
+    for i, part in enumerate(parts):
+        if i % 2 == 0 or part == "%%":
+            out.append(F.lit("%" if i % 2 else part))
+            continue
+        v = left.pop(0)
+        if part == "%d":
+            if v.kind not in NUMBERS:
+                raise Undefined("%d takes a number")
+            v = _to_int(v)
+            oks.append(v.ok)
+        out.append(_text(v))
+    return Value("str", F.concat(*out), _both(_present(form), *oks), T.StringType(), nullable=True)
+
+
+def _quotient(number: Column, divisor: Column) -> Column:
+    """The exact quotient of wide numbers where no rest is left.
+
+    A division keeps 32 digits before the point, so by a small divisor it is done in
+    two parts, the leading digits first.
+    """
+    half = F.lit(str(10**HALF_DIGITS)).cast(WIDE)
+    low = number % half
+    high = F.try_divide(F.try_subtract(number, low).cast(WIDE), half).cast(WIDE)
+    over = high % divisor
+    lead = F.try_divide(F.try_subtract(high, over).cast(WIDE), divisor).cast(WIDE)
+    left = F.try_add(F.try_multiply(over, half).cast(WIDE), low).cast(WIDE)
+    parts = F.try_add(
+        F.try_multiply(lead, half).cast(WIDE), F.try_divide(left, divisor).cast(WIDE)
+    ).cast(WIDE)
+    return F.when(F.abs(divisor) < SMALL, parts).otherwise(F.try_divide(number, divisor).cast(WIDE))
+
+
+def _beyond(name: type, a: Value, b: Value) -> Wide | None:
+    """What an operation on whole numbers gives beyond 64 bits."""
+    x, y = _wide(a), _wide(b)
+    if name in (ast.Add, ast.Sub, ast.Mult):
+        run = {ast.Add: F.try_add, ast.Sub: F.try_subtract, ast.Mult: F.try_multiply}[name]
+        # a small sum of large approximate numbers would say nothing; a product keeps its digits
+        nothing = F.lit(None).cast("double")
+        far = F.nanvl(x.far * y.far, nothing) if name is ast.Mult else nothing
+        return Wide(run(x.big, y.big).cast(WIDE), far)
+    divisor = F.nullif(y.big, F.lit(0).cast(WIDE))
+    rest = x.big % divisor
+    off = (rest != 0) & ((rest < 0) != (divisor < 0))
+    rest = F.when(off, F.try_add(rest, divisor)).otherwise(rest).cast(WIDE)
+    if name is ast.Mod:
+        return Wide(rest, F.lit(None).cast("double"))
+    whole = _quotient(F.try_subtract(x.big, rest).cast(WIDE), divisor)
+    share = x.far / F.nullif(y.far, F.lit(0.0))
+    return Wide(whole, F.when(F.abs(share) >= 1 / NEAR, share))
+
+
+def _whole_power(a: Value, times: int, power: Column) -> Value:
+    """A whole number to a constant power that is not negative."""
+    x = _wide(a)
+    if times < 127:  # more than that takes any number but -1, 0 and 1 beyond 38 digits
+        big = F.aggregate(
+            F.array_repeat(F.lit(0), times), F.lit(1).cast(WIDE), lambda acc, _: F.try_multiply(acc, x.big).cast(WIDE)
+        )
+    else:
+        big = F.lit(None).cast(WIDE)
+    narrow = F.when(F.abs(power) <= EXACT_FLOAT, power.try_cast("bigint"))
+    return Value("int", narrow, strict=True, wide=Wide(big, power))
+
+
 def _numeric(name: type, a: Value, b: Value) -> Value:
-    """Null where an operand is None or the operation fails; beyond 64 bits a whole
-    number fails too."""
+    """Null where an operand is None or the operation fails; a whole number beyond
+    64 bits goes on in its wide form."""
+    kind, x, y = _pair(a, b)
+    if kind == "int" and isinstance(a.literal, int) and isinstance(b.literal, int):
+        if (known := _folded(name, int(a.literal), int(b.literal))) is not None:
+            return replace(_constant(known), literal=known)
+    if kind == "int" and name in (ast.Add, ast.Sub, ast.Mult, ast.FloorDiv, ast.Mod):
+        return replace(_narrow(name, a, b), wide=_beyond(name, a, b))
+    return _narrow(name, a, b)
+
+
+def _folded(name: type, a: int, b: int) -> int | None:
+    """The operation on two constants, where it is whole and not too long."""
+    if name in (ast.Add, ast.Sub, ast.Mult):
+        return {ast.Add: a + b, ast.Sub: a - b, ast.Mult: a * b}[name]
+    if name is ast.Pow and b >= 0 and max(a.bit_length(), 1) * b <= FOLD_BITS:
+        return a**b
+    return None
+
+
+def _narrow(name: type, a: Value, b: Value) -> Value:
+    """The operation in 64 bits or as doubles."""
     kind, x, y = _pair(a, b)
     if name in (ast.Add, ast.Sub, ast.Mult):
         if kind == "int":
@@ -381,8 +569,7 @@ def _numeric(name: type, a: Value, b: Value) -> Value:
         real = ~((p == 0) & (q < 0)) & ~((p < 0) & (q != F.rint(q)))
         power = F.when(real, F.pow(p, q))
         if kind == "int" and isinstance(b.literal, int) and b.literal >= 0:
-            # whole as long as a double holds it exactly
-            return Value("int", F.when(F.abs(power) <= 2.0**53, power.try_cast("bigint")), strict=True)
+            return _whole_power(a, int(b.literal), power)
         if kind == "float":
             power = F.when(F.abs(power) != float("inf"), power)
         return Value("float", power, strict=True)
@@ -394,12 +581,21 @@ def _negate(v: Value) -> Value:
         raise Undefined(f"bad operand for unary -: {v.kind}")
     if v.kind == "float":
         return Value("float", -v.col, strict=True)
-    return Value("int", F.try_subtract(F.lit(0).cast("bigint"), _as_int(v)), strict=True)
+    wide = Wide(F.try_subtract(F.lit(0).cast(WIDE), v.wide.big).cast(WIDE), -v.wide.far) if v.wide else None
+    return Value("int", F.try_subtract(F.lit(0).cast("bigint"), _as_int(v)), strict=True, wide=wide)
 
 
-def _settled(v: Value) -> Value:
-    """The value with its null check spelled out."""
-    return replace(v, ok=_both(v.ok, v.col.isNotNull()), strict=False) if v.strict else v
+def _settled(v: Value, wide: bool = False) -> Value:
+    """The value with its null check spelled out; without ``wide`` a number beyond 64
+    bits is an error, unless it is a constant."""
+    if not v.strict:
+        return v
+    if v.wide and v.literal is not None:
+        return replace(v, strict=False)
+    if v.wide and wide:
+        there = v.col.isNotNull() | v.wide.big.isNotNull() | v.wide.far.isNotNull()
+        return replace(v, ok=_both(v.ok, there), strict=False)
+    return replace(v, ok=_both(v.ok, v.col.isNotNull()), strict=False, wide=None)
 
 
 # --- containers and functions -----------------------------------------------
@@ -416,7 +612,7 @@ def _materialised(v: Value) -> Value:
     if kinds <= set(NUMBERS):
         if kinds == {"bool"}:
             parts, element = [i.col for i in v.items], T.BooleanType()
-        elif "float" in kinds:
+        elif "float" in kinds or any(i.wide for i in v.items):
             parts, element = [_as_float(i) if i.kind in NUMBERS else i.col for i in v.items], T.DoubleType()
         else:
             parts, element = [_as_int(i) if i.kind in NUMBERS else i.col for i in v.items], T.LongType()
@@ -488,7 +684,7 @@ def _text(v: Value) -> Column:
     elif v.kind == "bool":
         shown = F.when(v.col, F.lit("True")).otherwise(F.lit("False"))
     elif v.kind == "int":
-        shown = v.col.cast("string")
+        shown = F.coalesce(v.col.cast("string"), v.wide.big.cast("string")) if v.wide else v.col.cast("string")
     elif v.kind == "float":
         shown = _float_text(v.col)
     else:
@@ -516,6 +712,8 @@ def _float_text(d: Column) -> Column:
 
 
 def _to_int(v: Value) -> Value:
+    if v.wide:
+        return replace(v, strict=True)
     if v.kind in ("bool", "int"):
         return Value("int", _as_int(v), _present(v), nullable=True)
     if v.kind == "float":
@@ -566,7 +764,8 @@ def _to_int_of_base(v: Value, base: Value) -> Value:
 
 def _to_float(v: Value) -> Value:
     if v.kind in NUMBERS:
-        return Value("float", _as_float(v), _present(v), nullable=True)
+        number = _as_float(v)
+        return Value("float", number, _both(_present(v), number.isNotNull() if v.wide else None), nullable=True)
     if v.kind == "str":
         bare = F.lower(F.regexp_replace(v.col, r"[_\s]", ""))
         number = F.when(v.col.rlike(_FLOAT_TEXT), bare.try_cast("double"))
@@ -691,7 +890,7 @@ def _call(name: str, args: list[Value]) -> Value:
     if name == "len":
         return _length(v)
     if name == "str":
-        return Value("str", _text(v), of=T.StringType())
+        return Value("str", _text(v), v.col.isNotNull() | v.wide.big.isNotNull() if v.wide else None, T.StringType())
     if name == "int":
         return _to_int(v)
     if name == "float":
@@ -704,7 +903,8 @@ def _call(name: str, args: list[Value]) -> Value:
         if v.kind == "float":
             return Value("float", F.abs(v.col), _present(v), nullable=True)
         size = F.when(_as_int(v) < 0, _negate(v).col).otherwise(_as_int(v))
-        return Value("int", size, strict=True)
+        wide = Wide(F.abs(v.wide.big), F.abs(v.wide.far)) if v.wide else None
+        return Value("int", size, strict=True, wide=wide)
     if name in ("any", "all"):
         return _any_all(v, name == "all")
     if name == "set":
@@ -726,6 +926,10 @@ FUNCTIONS = (
 )
 
 
+# those that take a whole number beyond 64 bits as it is
+_WIDE_CALLS = ("str", "int", "float", "bool", "abs")
+
+
 # --- expressions ------------------------------------------------------------
 
 class Condition:
@@ -764,11 +968,13 @@ class Condition:
             return [(None, _never())]
 
     def _over(
-        self, run: Callable[..., Value | Alternatives], *operands: Alternatives, passes_null: bool = False
+        self, run: Callable[..., Value | Alternatives], *operands: Alternatives, passes_null: bool = False,
+        wide: bool = False,
     ) -> Alternatives:
         """Applies ``run`` to every combination of alternatives; operands must be valid.
 
-        With ``passes_null`` the result of ``run`` is null where an operand is.
+        With ``passes_null`` the result of ``run`` is null where an operand is; with
+        ``wide`` it takes numbers beyond 64 bits.
         """
         combos: list[tuple[Column | None, list[Value]]] = [(None, [])]
         for alternatives in operands:
@@ -777,7 +983,7 @@ class Condition:
             ]
         out: Alternatives = []
         for guard, values in combos:
-            settled = [_settled(v) for v in values]
+            settled = [_settled(v, wide) for v in values]
             try:
                 got = run(*(values if passes_null else settled))
             except Undefined as error:
@@ -791,7 +997,7 @@ class Condition:
 
     def _flag(self, alternatives: Alternatives) -> tuple[Column, Column | None]:
         """Truth and validity of a value, whatever its type."""
-        alternatives = [(g, _settled(v)) for g, v in alternatives]
+        alternatives = [(g, _settled(v, wide=True)) for g, v in alternatives]
         if len(alternatives) == 1 and alternatives[0][0] is None:
             value = alternatives[0][1]
             return _truth(value), value.ok
@@ -813,6 +1019,9 @@ class Condition:
                 passes_null=True,
             )
         if isinstance(node, ast.UnaryOp):
+            known = node.operand.value if isinstance(node.operand, ast.Constant) else None
+            if isinstance(node.op, ast.USub) and type(known) is int:
+                return [(None, replace(_constant(-known), literal=-known))]
             if isinstance(node.op, ast.Not):
                 truth, valid = self._flag(self._any(node.operand))
                 return [(None, Value("bool", ~truth, valid))]
@@ -857,14 +1066,21 @@ class Condition:
             if not isinstance(node.func, ast.Name) or node.func.id not in FUNCTIONS:
                 raise Undefined("function call is not allowed")
             name = node.func.id
-            return self._over(lambda *args: _call(name, list(args)), *[self._any(a) for a in node.args])
+            only = node.args[0] if len(node.args) == 1 else None
+            if name == "len" and isinstance(only, ast.BinOp) and isinstance(only.op, ast.Mult):
+                return self._over(
+                    lambda a, b: _repeated_length(only.op, a, b), self._any(only.left), self._any(only.right)
+                )
+            return self._over(
+                lambda *args: _call(name, list(args)), *[self._any(a) for a in node.args], wide=name in _WIDE_CALLS
+            )
         raise Undefined(f"unsupported expression: {type(node).__name__}")
 
     def _compare(self, node: ast.Compare) -> Alternatives:
         """A chain stops at the first false pair; what follows is not looked at."""
         operands = [self._any(e) for e in [node.left, *node.comparators]]
         pairs = [
-            self._flag(self._over(lambda a, b, op=op: _test(op, a, b), operands[i], operands[i + 1]))
+            self._flag(self._over(lambda a, b, op=op: _test(op, a, b), operands[i], operands[i + 1], wide=True))
             for i, op in enumerate(node.ops)
         ]
         truth, valid = pairs[-1]
@@ -912,7 +1128,7 @@ def _signed(op: ast.unaryop, v: Value) -> Value:
         return _negate(v)
     if not isinstance(op, ast.UAdd) or v.kind not in NUMBERS:
         raise Undefined(f"unsupported operator: {type(op).__name__} on {v.kind}")
-    return Value(v.kind, v.col, strict=True) if v.kind == "float" else Value("int", _as_int(v), strict=True)
+    return Value(v.kind, v.col, strict=True) if v.kind == "float" else Value("int", _as_int(v), strict=True, wide=v.wide)
 
 
 def _test(op: ast.cmpop, a: Value, b: Value) -> Value:
