@@ -65,3 +65,16 @@ def test_no_task_gets_a_whole_hot_key(spark):
     )
     cells = skew.sliced(rows, F.col("us"), 3_600_000_000, 60_000_000).groupBy("user_id", "_slice").count()
     assert cells.filter("user_id = 'hot'").agg(F.max("count")).first()[0] < 2_500
+
+
+@pytest.mark.parametrize("fold", ["max", "sum"])
+@pytest.mark.parametrize("levels,fan", [(0, 4), (1, 4), (3, 2)])
+def test_what_lies_before(spark, fold, levels, fan):
+    rnd = random.Random(levels)
+    rows = [(k, i, None if rnd.random() < 0.2 else rnd.randint(-9, 9)) for k in ("a", None) for i in rnd.sample(range(-40, 60), 30)]
+    df = spark.createDataFrame(rows, "k string, i long, v long")
+    out = skew.before(df, ["k"], "i", "v", "earlier", getattr(F, fold), levels, fan).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        known = [v for k, i, v in rows if k == r["k"] and i < r["i"] and v is not None]
+        assert r["earlier"] == ((max if fold == "max" else sum)(known) if known else None)

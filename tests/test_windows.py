@@ -159,3 +159,75 @@ def test_capped_sessions_equal_loop(spark, fold_limit, gap, limit):
     assert {(r["user_id"], r["session_start"]): (r["event_count"], r["amount"]) for r in totals} == {
         k: (n, float(n)) for k, n in Counter((users[e], start) for e, (start, _) in want.items()).items()
     }
+
+
+def test_sessions_of_many_parts_and_null_keys(spark):
+    """A hot key with a short timeout, sessions over many slices, and events without a key."""
+    rnd = random.Random(9)
+    rows = [(f"e{i:04d}", rnd.choice(["hot"] * 5 + [None]), T0 + timedelta(seconds=rnd.randint(0, 9000)), 1.0) for i in range(900)]
+    # one session of the key "long" goes on through 600 slices, with another one behind it
+    rows += [(f"l{i:04d}", "long", T0 + timedelta(seconds=20 * i), 1.0) for i in range(600)]
+    rows += [("l9999", "long", T0 + timedelta(seconds=20 * 700), 1.0)]
+    gap = timedelta(seconds=20)
+    want = plain_sessions(rows, gap)
+    got = w.session_windows(frame(spark, rows), "user_id", gap, ("amount",), width=timedelta(seconds=1)).collect()
+    users = {r[0]: r[1] for r in rows}
+    sizes = Counter((users[e], start) for e, (start, _) in want.items())
+    assert {(r["user_id"], r["session_start"]): (r["event_count"], r["amount"]) for r in got} == {k: (n, float(n)) for k, n in sizes.items()}
+    assert len(got) == len(sizes)
+
+
+def test_no_window_holds_a_whole_key(spark):
+    """Neither sessions nor ordered contents sort by the key alone, but for the top of a tree of blocks."""
+    df = frame(spark, random_rows(1, 50))
+    for out in (
+        w.session_windows(df, "user_id", HOUR), w.ordered_contents(w.tumbling(df, HOUR), ["user_id"], width=MIN),
+    ):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line for line in plan.splitlines() if "Window [" in line]
+        assert windows
+        whole = [line for line in windows if "_slice" not in line and "_block" not in line]
+        assert not whole
+
+
+@pytest.mark.parametrize("width", [MIN, 100 * HOUR])
+def test_ordered_contents_equal_lists(spark, width):
+    rows = [(e, None if u == "b" else u, at, None if e.endswith("3") else x) for e, u, at, x in random_rows(5, 300)]
+    windowed = w.tumbling(frame(spark, rows), HOUR)
+    placed = w.ordered_contents(windowed, ["user_id"], width=width)
+    got = {}
+    for r in placed.collect():
+        got.setdefault((r["user_id"], r["window_start"]), {})[r["position"]] = (r["timestamp"], r["event_id"], r["amount"])
+    want = {}
+    for e, u, at, x in sorted(rows, key=lambda r: (r[2], r[0])):
+        want.setdefault((u, at.replace(minute=0, second=0)), []).append((at, e, x))
+    assert {k: [v[i] for i in range(len(v))] for k, v in got.items()} == want
+    runs = w.content_runs(placed, ["user_id"], 7).collect()
+    assert max(len(r["values"]) for r in runs) == 7
+    joined = {}
+    for r in sorted(runs, key=lambda r: r["run"]):
+        joined.setdefault((r["user_id"], r["window_start"]), []).extend(v["event_id"] for v in r["values"])
+    assert joined == {k: [v[1] for v in vs] for k, vs in want.items()}
+    assert w.ordered_contents(windowed.limit(0), ["user_id"]).count() == 0
+
+
+def test_sketches_near_the_exact_count(spark):
+    """Estimates of windows merged from panes, with nulls and a window of nothing but nulls."""
+    at = F.timestamp_seconds(F.lit(1_704_110_400) + F.col("id") % 7200)
+    df = spark.range(200_000).select(
+        F.col("id").cast("string").alias("event_id"), (F.col("id") * 7 % 30_011).alias("v"), at.alias("timestamp"), F.lit("k").alias("k"),
+    )
+    df = df.unionByName(df.limit(3).withColumns({"v": F.lit(None).cast("bigint"), "timestamp": F.lit(T0 - 50 * HOUR).cast("timestamp")}))
+    got = w.sliding_distinct(df, ["k"], "v", HOUR, 10 * MIN).collect()
+    exact = {
+        r["window_start"]: (r["n"], r["d"]) for r in w.sliding(df, HOUR, 10 * MIN).groupBy("window_start")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_distinct("v").alias("d")).collect()
+    }
+    assert len(got) == len(exact)
+    for r in got:
+        n, d = exact[r["window_start"]]
+        assert r["event_count"] == n and r["window_end"] - r["window_start"] == HOUR
+        assert abs(r["distinct_count"] - d) <= w.distinct_error() * d
+    assert {0} == {r["distinct_count"] for r in got if r["window_start"] < T0 - 40 * HOUR}
+    with pytest.raises(ValueError):
+        w.sliding_distinct(df, ["k"], "v", HOUR, 7 * MIN)

@@ -1,13 +1,15 @@
 """Per-user statistics, rules and what they lead to."""
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.base import (
-    AS_OF, CONTEXTS, EV, HITS, RULES, TAGS, ev, failed, query, tag_changes,
+    AS_OF, CONTEXTS, EV, HITS, MID, RULES, TAGS, ev, failed, query, tag_changes,
 )
 from tidewatch.operators import stats, tags
+from tidewatch.operators.user_table import UserTable
 from tidewatch.plans import actions, match, rules
 from tidewatch.plans.conditions import field_condition as fc
 from tidewatch.schema import RULES as RULE_COLUMNS
@@ -50,6 +52,46 @@ def user_stat(spark, d):
     return stats.user_stats(ev(spark, d), AS_OF, login=F.col("event_type") == "signup")
 
 
+STORED_COLS = ["user_id", "total_events", "total_purchases", "total_amount", "last_event_time", "update_time"]
+_STATS_SQL = f"""SELECT user_id, count(*) AS total_events, count(*) FILTER (event_type = 'purchase') AS total_purchases,
+  {SPENT_SQL.format('amount')} AS total_amount, max("timestamp") AS last_event_time, {{0}} AS update_time FROM ev
+  WHERE "timestamp" <= {{0}} GROUP BY user_id"""
+STORED = EV + f""", earlier AS ({_STATS_SQL.format("TIMESTAMP '2024-01-15'")}), later AS (
+  SELECT * FROM ({_STATS_SQL.format(AT_SQL)}) WHERE last_event_time > TIMESTAMP '2024-01-29'),
+  stored AS (SELECT * FROM later UNION ALL SELECT * FROM earlier WHERE user_id NOT IN (SELECT user_id FROM later))"""
+RECENT = datetime(2024, 1, 29)
+
+
+def _stored(spark, d):
+    """Statistics of the middle of the month, brought up to date for users seen lately."""
+    events = ev(spark, d)
+    first, last = (
+        stats.user_stats(events, at, login=F.col("event_type") == "signup").select(*STORED_COLS) for at in (MID, AS_OF)
+    )
+    path = f"{ensure_checkpoint_dir(spark)}/tidewatch-{uuid.uuid4().hex}/user_stats"
+    table = UserTable(spark, path, first.schema, 16)
+    table.upsert(first)
+    table.upsert(last.filter(F.col("last_event_time") > F.lit(RECENT)))
+    return table
+
+
+@query("stat_table_upsert", f"WITH {STORED} SELECT * FROM stored")
+def stat_table_upsert(spark, d):
+    return _stored(spark, d).read()
+
+
+@query("stat_table_deletion", f"WITH {STORED} SELECT * FROM stored WHERE total_purchases <= 10")
+def stat_table_deletion(spark, d):
+    table = _stored(spark, d)
+    table.delete(table.read().filter("total_purchases > 10"))
+    return table.read()
+
+
+@query("stat_of_user", f"WITH {STORED} SELECT * FROM stored WHERE user_id = '7'")
+def stat_of_user(spark, d):
+    return _stored(spark, d).of("7")
+
+
 CONTEXT_COLS = """user_id, event_count, view_count, click_count, purchase_count, total_amount, login_fail_count,
   days_since_last_visit"""
 

@@ -1,11 +1,13 @@
 """Windows, sessions and burst detection."""
 
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from tidewatch.catalog.base import EV, MID, ev, failed, query
 from tidewatch.operators import detect, windows
+from tidewatch.session import ensure_checkpoint_dir
 
 HOUR, DAY = timedelta(hours=1), timedelta(days=1)
 SESSION_GAP, SESSION_MAX = timedelta(hours=6), timedelta(hours=10)
@@ -59,6 +61,41 @@ def window_aggregates(spark, d):
     return out.withColumns({"amount_sum": F.round("amount_sum", 2), "amount_avg": F.round("amount_avg", 8)})
 
 
+@query("window_content_runs", f"""WITH {EV}, w AS (
+  SELECT user_id, event_id, us, time_bucket(INTERVAL 10 DAY, "timestamp", TIMESTAMP '1970-01-01') AS window_start FROM ev),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY user_id, window_start ORDER BY us, event_id) - 1 AS position FROM w)
+  SELECT user_id, window_start, position // 5 AS run, string_agg(event_id, ',' ORDER BY position) AS event_ids FROM placed GROUP BY ALL""")
+def window_content_runs(spark, d):
+    rows = windows.tumbling(ev(spark, d).select("user_id", "event_id", "timestamp"), 10 * DAY)
+    runs = windows.content_runs(windows.ordered_contents(rows, ["user_id"]), ["user_id"], 5)
+    return runs.select("user_id", "window_start", "run", F.concat_ws(",", "values.event_id").alias("event_ids"))
+
+
+@query("sliding_distinct_users", f"""WITH {EV}, {SLIDES} SELECT window_start, count(*) AS event_count,
+  count(DISTINCT user_id) AS users, true AS within_bound FROM spread GROUP BY window_start""")
+def sliding_distinct_users(spark, d):
+    # the estimate stands beside the exact number, which it has to be near
+    events = ev(spark, d)
+    guess = windows.sliding_distinct(events, [], "user_id", 6 * HOUR, HOUR)
+    exact = windows.sliding(events, 6 * HOUR, HOUR).groupBy("window_start").agg(F.count_distinct("user_id").alias("users"))
+    near = F.abs(F.col("distinct_count") - F.col("users")) <= windows.distinct_error() * F.col("users")
+    return guess.join(exact, "window_start").select("window_start", "event_count", "users", near.alias("within_bound"))
+
+
+@query("distinct_users_of_range", f"""WITH {EV} SELECT event_type, count(*) AS event_count, count(DISTINCT user_id) AS users,
+  true AS within_bound FROM ev WHERE "timestamp" >= TIMESTAMP '2024-01-08' AND "timestamp" < TIMESTAMP '2024-01-22' GROUP BY event_type""")
+def distinct_users_of_range(spark, d):
+    # two weeks from a stored table of one sketch an hour and type
+    events = ev(spark, d)
+    path = f"{ensure_checkpoint_dir(spark)}/tidewatch-{uuid.uuid4().hex}/sketches"
+    windows.distinct_sketches(events, ["event_type"], "user_id", HOUR).write.parquet(path)
+    weeks = [(F.col(c) >= F.lit(MID - 7 * DAY)) & (F.col(c) < F.lit(MID + 7 * DAY)) for c in ("window_start", "timestamp")]
+    guess = windows.merged_distinct(spark.read.parquet(path).filter(weeks[0]), ["event_type"])
+    exact = events.filter(weeks[1]).groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+    near = F.abs(F.col("distinct_count") - F.col("users")) <= windows.distinct_error() * F.col("users")
+    return guess.join(exact, "event_type").select("event_type", "event_count", "users", near.alias("within_bound"))
+
+
 @query("late_events_dropped", f"""WITH {EV}, w AS (
   SELECT event_id, time_bucket(INTERVAL 1 HOUR, "timestamp") + INTERVAL 1 HOUR AS window_end FROM ev)
   SELECT event_id, window_end FROM w WHERE TIMESTAMP '2024-01-15' - window_end <= INTERVAL 36 HOUR""")

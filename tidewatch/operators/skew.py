@@ -5,6 +5,7 @@ key's history into slices of time, sort within slices, and carry what crosses a
 slice edge as small per-slice summaries:
 
 * ``sliced`` copies a row into the later slices whose look-back reaches it;
+* ``before`` totals what lies earlier, by a tree of blocks;
 * ``carry_forward`` fills the latest value of a key across slices;
 * ``prefix_states`` and ``ordered_states`` give the state of a finite automaton
   before each step.
@@ -12,6 +13,8 @@ slice edge as small per-slice summaries:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +42,39 @@ def sliced(rows: DataFrame, at: Column, slice_us: int, reach: Column | int = 0)
     )
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which a null meets a null; the columns of ``on`` come once."""
+    renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in on})
+    met = F.lit(True)
+    for c in on:
+        met = met & left[c].eqNullSafe(renamed[f"_right_{c}"])
+    return left.join(renamed, met, how).drop(*[f"_right_{c}" for c in on])
+
+
+def before(
+    rows: DataFrame, keys: list[str], index: str, value: str, into: str,
+    fold: Callable[[str], Column] = F.max, levels: int = 2, fan: int = FAN,
+) -> DataFrame:
+    """``into``: ``fold`` (``max`` or ``sum``) of ``value`` over the key's rows of a smaller ``index``.
+
+    ``index`` is unique within a key. It is cut into blocks of ``fan`` numbers, those into blocks of blocks:
+    a window holds at most ``fan`` rows, except at the top, which holds ``range / fan**levels``. Null where
+    nothing lies before; a key that is null is a key as any other.
+    """
+    if levels == 0:
+        earlier = Window.partitionBy(*keys).orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn(into, fold(value).over(earlier))
+    block, total, carried = f"_block{levels}", f"_total{levels}", f"_carried{levels}"
+    rows = rows.withColumn(block, floor_div(F.col(index), fan))
+    blocks = rows.groupBy(*keys, block).agg(fold(value).alias(total))
+    starts = before(blocks, keys, block, total, carried, fold, levels - 1, fan).drop(total)
+    inside = Window.partitionBy(*keys, block).orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
+    joined = null_safe_join(rows.withColumn(into, fold(value).over(inside)), starts, [*keys, block])
+    here, carry = F.col(into), F.col(carried)
+    both = F.greatest(here, carry) if fold is F.max else here + carry
+    return joined.withColumn(into, F.coalesce(both, here, carry)).drop(block, carried)
+
+
 def carry_forward(
     rows: DataFrame, keys: list[str], order: list[str], value: str, into: str
 ) -> DataFrame:

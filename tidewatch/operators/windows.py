@@ -7,8 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.timeutil import interval_text, micros
-from tidewatch.operators.skew import carry_forward, sliced
+from tidewatch.functions.timeutil import floor_div, interval_text, micros
+from tidewatch.operators.skew import before, carry_forward, null_safe_join, sliced
 from tidewatch.session import ensure_checkpoint_dir
 
 ZERO = timedelta(0)
@@ -78,6 +78,61 @@ def sliding_totals(
     )
 
 
+# --- distinct values by sketches ---------------------------------------------
+
+SKETCH_BITS = 12
+
+
+def distinct_sketches(
+    events: DataFrame, keys: list[str], field: str, pane: timedelta, offset: timedelta = ZERO,
+    ts: str = "timestamp", bits: int = SKETCH_BITS,
+) -> DataFrame:
+    """Events and a sketch of the distinct values of ``field`` per key and pane.
+
+    A sketch has a fixed size, ``2**bits`` bytes at most, and sketches merge: the table
+    answers for any run of panes without a look at the events. Null values are not
+    counted; a pane with none but nulls has an empty sketch.
+    """
+    return tumbling(events, pane, offset, ts).groupBy(*keys, "window_start", "window_end").agg(
+        F.count(F.lit(1)).alias("event_count"), F.hll_sketch_agg(field, bits).alias("sketch")
+    )
+
+
+def merged_distinct(panes: DataFrame, keys: list[str]) -> DataFrame:
+    """Panes of ``distinct_sketches`` taken together per key: events, distinct values, merged sketch."""
+    return (
+        panes.groupBy(*keys)
+        .agg(F.sum("event_count").alias("event_count"), F.hll_union_agg("sketch").alias("sketch"))
+        .withColumn("distinct_count", F.hll_sketch_estimate("sketch"))
+    )
+
+
+def sliding_distinct(
+    events: DataFrame, keys: list[str], field: str, size: timedelta, slide: timedelta,
+    offset: timedelta = ZERO, ts: str = "timestamp", bits: int = SKETCH_BITS,
+) -> DataFrame:
+    """Events and estimated distinct values per key and sliding window.
+
+    Events are sketched once, per slide-wide pane; only sketches are repeated for the
+    windows they belong to. The slide divides the size.
+    """
+    if slide > size or micros(size) % micros(slide):
+        raise ValueError("the slide must divide the window size")
+    panes = distinct_sketches(events, keys, field, slide, offset, ts, bits)
+    backward = F.sequence(F.lit(0), F.lit(micros(size) - micros(slide)), F.lit(micros(slide)))
+    spread = panes.withColumn("_shift", F.explode(backward)).withColumn(
+        "window_start", F.timestamp_micros(F.unix_micros("window_start") - F.col("_shift"))
+    )
+    return merged_distinct(spread, [*keys, "window_start"]).withColumn(
+        "window_end", F.timestamp_micros(F.unix_micros("window_start") + micros(size))
+    )
+
+
+def distinct_error(bits: int = SKETCH_BITS) -> float:
+    """Three standard errors of a merged estimate, as a share of the true count."""
+    return 3 * 1.04 / 2 ** (bits / 2)
+
+
 def field_aggregates(field: str, prefix: str | None = None) -> list[Column]:
     """Count, sum, average, minimum, maximum and distinct count of one field.
 
@@ -132,6 +187,34 @@ def window_contents(windowed: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def ordered_contents(
+    windowed: DataFrame, keys: list[str], ts: str = "timestamp", tie: str = "event_id", width: timedelta = HOUR,
+) -> DataFrame:
+    """Events of each key's windows with their ``position``, from 0 in order of time and ``tie``.
+
+    Order is made inside time slices of ``width``; only the sizes of slices are added
+    up, so no task holds a window whole. Rows equal in time and ``tie`` share a slice and
+    are placed in either order.
+    """
+    group = [*keys, "window_start", "window_end"]
+    rows = sliced(windowed, F.unix_micros(ts), micros(width)).drop("_own")
+    sizes = rows.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_size"))
+    firsts = before(sizes, group, "_slice", "_size", "_first", F.sum, levels=1).drop("_size")
+    by_time = Window.partitionBy(*group, "_slice").orderBy("_us", tie)
+    placed = null_safe_join(rows.withColumn("_at", F.row_number().over(by_time)), firsts, [*group, "_slice"])
+    position = F.col("_at") - 1 + F.coalesce("_first", F.lit(0))
+    return placed.withColumn("position", position.cast("bigint")).drop("_us", "_slice", "_at", "_first")
+
+
+def content_runs(placed: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Rows of ``ordered_contents`` as lists of at most ``size``, numbered by ``run``."""
+    group = [*keys, "window_start", "window_end"]
+    bare = [c for c in placed.columns if c not in (*group, "position")]
+    return placed.groupBy(*group, floor_div(F.col("position"), size).alias("run")).agg(
+        F.sort_array(F.collect_list(F.struct("position", *bare))).alias("values")
+    )
+
+
 # --- sessions -------------------------------------------------------------
 
 def mark_new_sessions(
@@ -170,18 +253,14 @@ def _session_parts(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows with ``_part``, and the parts: what each session holds of each time slice.
 
-    Parts carry the session (``_session``, its first instant), its span and its
-    size. Only parts, not events, are put in order per key.
+    Parts carry the session (``_session``, its first instant). A part that goes on with
+    a session finds it in the last slice before that opens one; that is looked up
+    from a row per slice in a tree of blocks, so no task holds a key's parts.
     """
     in_slice = (
         Window.partitionBy(key, "_slice").orderBy("_us", tie)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    in_key = (
-        Window.partitionBy(key).orderBy("_slice", "_part")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    whole = Window.partitionBy(key, "_no")
     rows = flagged.withColumn("_part", F.sum(F.col("is_new_session").cast("bigint")).over(in_slice))
     parts = (
         rows.groupBy(key, "_slice", "_part")
@@ -189,13 +268,28 @@ def _session_parts(
             F.min("_us").alias("_first"), F.max("_us").alias("_last"),
             F.count(F.lit(1)).alias("event_count"), *[F.sum(c).alias(c) for c in sums],
         )
-        .withColumn("_no", F.sum((F.col("_part") > 0).cast("bigint")).over(in_key))
-        .withColumn("_session", F.min("_first").over(whole))
-        .withColumn("_span", F.max("_last").over(whole) - F.col("_session"))
+    )
+    facts = ["_first", "_last", "event_count", *sums]
+    slices = parts.groupBy(key, "_slice").agg(
+        F.max(F.when(F.col("_part") > 0, F.col("_first"))).alias("_open"),
+        # one part at most goes on with a session
+        F.max(F.when(F.col("_part") == 0, F.struct(*facts))).alias("_rest"),
+    )
+    going_on = (
+        before(slices, [key], "_slice", "_open", "_session", levels=1).filter("_rest is not null")
+        .select(key, "_slice", F.lit(0).cast("bigint").alias("_part"), "_rest.*", "_session")
+    )
+    opened = parts.filter(F.col("_part") > 0).withColumn("_session", F.col("_first"))
+    return rows, opened.unionByName(going_on)
+
+
+def _with_span(parts: DataFrame, key: str) -> DataFrame:
+    """Parts with the span and the size of their session."""
+    whole = Window.partitionBy(key, "_session")
+    return (
+        parts.withColumn("_span", F.max("_last").over(whole) - F.col("_session"))
         .withColumn("_n", F.sum("event_count").over(whole))
-        .drop("_no")
     )
-    return rows, parts
 
 
 def _part_totals(parts: DataFrame, key: str, timeout: timedelta, sums: tuple[str, ...]) -> DataFrame:
@@ -338,6 +432,7 @@ def capped_sessions(
     limit, gap = micros(max_length), micros(timeout)
     flagged = mark_new_sessions(events, key, timeout, ts=ts, tie=tie, **options)
     rows, parts = _session_parts(flagged, key, tie, ())
+    parts = _with_span(parts, key)
     crowded = not parts.filter((F.col("_span") > limit) & (F.col("_n") > fold_limit)).isEmpty()
     placed = rows.join(
         parts.select(key, "_slice", "_part", "_session", "_span", "_n"), [key, "_slice", "_part"]
@@ -367,6 +462,7 @@ def capped_session_windows(
     slim = events.select(*dict.fromkeys([key, ts, tie, *sums]))
     flagged = mark_new_sessions(slim, key, timeout, ts=ts, tie=tie, **options)
     rows, parts = _session_parts(flagged, key, tie, sums)
+    parts = _with_span(parts, key)
     long = (
         parts.filter(F.col("_span") > limit).select(key, "_slice", "_part", "_session", "_n").checkpoint()
     )
