@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import sys
 import zlib
 from pathlib import Path
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import brute  # noqa: E402
+from oracle import connect, difference  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from tidewatch.llm import catalog, components, language, licenses, lines  # noqa: E402
@@ -162,3 +164,28 @@ def test_line_dedup_leaves_no_blank_documents(spark):
     rows = [(i, text) for i in range(5)] + [(9, "Ein eigener Text.\n\nKurz."), (10, "\n\n"), (11, None)]
     got = corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER).collect()
     assert {r.doc_id: r.text for r in got} == {0: text, 9: "Ein eigener Text.\n"}
+
+
+def test_url_patterns_decide_as_sql(spark, tmp_path):
+    """Addresses made of what the patterns look for, whole and damaged, where no base rule fits."""
+    rnd = random.Random(5)
+    words = [
+        *catalog.URL_WORDS, *catalog.URL_HOSTS, *catalog.URL_SECTIONS, *(f"{o}-{g}" for o in catalog.URL_OFFERS for g in catalog.URL_GOODS[:4]),
+    ]
+
+    def word():
+        w = rnd.choice(words)
+        return w if rnd.random() < 0.7 else rnd.choice([f"{w}s", f"x{w}", f"{w}-2", w.upper(), "news", "a_b", ""])
+
+    urls = [
+        f"https://{'.'.join([word() for _ in range(rnd.randint(0, 2))] + ['site.org'])}/"
+        f"{'/'.join(word() for _ in range(rnd.randint(0, 3)))}{rnd.choice(['', '.' + rnd.choice(catalog.URL_ENDINGS), '?login', '.html'])}"
+        for _ in range(3000)
+    ] + [None, "", "cart", "://", "http://ads.", "http://cdn.net/es/docs", "http://ads.site.org/x\n/docs", "http://é.org/login"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    # as one file: a table the driver finds under its name
+    pages.toPandas().to_parquet(tmp_path / "pages.parquet")
+    con = connect(str(tmp_path))
+    assert difference(catalog.QUERIES["op4_urls"](spark, str(tmp_path)), catalog.ORACLES["op4_urls"], con) is None
+    counts = dict(con.execute(f"SELECT verdict, count(*) FROM ({catalog.ORACLES['op4_urls']}) WHERE pattern IS NOT NULL GROUP BY 1").fetchall())
+    assert counts["block"] > 500 and counts["allow"] > 10

@@ -77,10 +77,33 @@ BASE_RULES = [
     urls.host_rule("www.example.com", "/en/", urls.ALLOW), urls.host_rule("net", "/es/", urls.BLOCK),
     urls.host_rule("net", "/fr/", urls.BLOCK),
 ]
-#: Where no base rule fits: hosts and paths that seldom hold text worth keeping.
+# Where no base rule fits: hosts and paths that seldom hold text worth keeping.
+#: Words that stand alone in a host or path.
+URL_WORDS = (
+    "adult", "porn", "xxx", "escort", "casino", "betting", "poker", "torrent", "warez", "keygen", "login", "signin", "signup", "logout",
+    "register", "password", "cart", "checkout", "basket", "wishlist", "captcha", "wp-login", "wp-admin", "cgi-bin", "print", "unsubscribe",
+)
+#: Endings of files without text.
+URL_ENDINGS = ("jpg", "jpeg", "png", "gif", "webp", "svg", "ico", "zip", "gz", "rar", "exe", "apk", "css", "js", "mp3", "mp4", "woff")
+#: Names of hosts that serve advertisements, files or forms; their manuals stay.
+URL_HOSTS = (
+    "ad", "ads", "adserver", "banner", "click", "track", "tracker", "pixel", "beacon", "telemetry", "analytics", "metrics",
+    "cdn", "static", "assets", "img", "images", "thumbs", "download", "mirror", "proxy", "webmail", "mail", "auth", "sso", "accounts", "pay",
+)
+URL_SECTIONS = ("docs", "manual", "wiki")
+#: Two words joined by a hyphen, one of each list, as names of shops that send junk.
+URL_OFFERS = ("cheap", "buy", "best", "free", "discount", "online")
+URL_GOODS = (
+    "pills", "meds", "pharmacy", "viagra", "cialis", "steroids", "casino", "slots", "poker", "lottery", "loans", "credit",
+    "replica", "watches", "handbags", "followers", "likes", "backlinks", "essays", "diplomas", "hosting", "vpn", "crypto", "forex",
+)
 MORE_RULES = [
-    *(urls.Rule(f"^{w}^", urls.BLOCK, w) for w in ("adult", "porn", "xxx", "casino", "betting", "torrent", "warez", "login", "signup", "cart", "checkout")),
-    *(urls.Rule(f".{e}|", urls.BLOCK, e) for e in ("jpg", "png", "gif", "zip", "exe", "css", "js")),
+    *(urls.Rule(f"^{w}^", urls.BLOCK, w) for w in URL_WORDS),
+    *(urls.Rule(f".{e}|", urls.BLOCK, f"*.{e}") for e in URL_ENDINGS),
+    *(urls.Rule(f"||{h}.", urls.BLOCK, f"{h}.") for h in URL_HOSTS),
+    *(urls.Rule(f"||{h}.*^{s}^", urls.ALLOW, f"{h}./{s}", 1) for h in URL_HOSTS for s in URL_SECTIONS),
+    *(urls.Rule(f"||{o}-{g}.", urls.BLOCK, f"{o}-{g}.") for o in URL_OFFERS for g in URL_GOODS),
+    *(urls.Rule(f"/{o}-{g}^", urls.BLOCK, f"/{o}-{g}") for o in URL_OFFERS for g in URL_GOODS),
 ]
 
 
@@ -88,13 +111,31 @@ MORE_RULES = [
 def op4_urls(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on every page's address."""
     return urls.judge(table(folder, "pages", spark), BASE_RULES, MORE_RULES, keep=["page_id"]).select(
-        "page_id", "host", "path", "rule", "verdict",
+        "page_id", "host", "path", "rule", "verdict", "pattern",
     )
 
 
 _RULES = ", ".join(f"('{r.name}', '{r.verdict}', '{r.name.partition('/')[0]}', '/{r.name.partition('/')[2]}')" for r in BASE_RULES)
-_WORDS = "|".join(r.name for r in MORE_RULES if r.pattern.startswith("^"))
-_ENDS = "|".join(r.name for r in MORE_RULES if r.pattern.startswith("."))
+_CUT = r"[^A-Za-z0-9_\-.%]"
+
+
+def _found(names, before: str, after: str) -> str:
+    """SQL for the first name, in alphabetical order, that stands in the address between two expressions."""
+    rows = ", ".join(f"('{shown}', '{before.format(*name)}{after.format(*name)}')" for shown, *name in names)
+    return f"(SELECT min(shown) FROM (VALUES {rows}) AS n(shown, form) WHERE regexp_matches(address, '(?s)' || form))"
+
+
+_OFFERS = [(o, g) for o in URL_OFFERS for g in URL_GOODS]
+_BLOCKS = ", ".join((
+    _found([(w, w) for w in URL_WORDS], _CUT + "{0}", f"({_CUT}|$)"),
+    _found([(f"*.{e}", e) for e in URL_ENDINGS], r"\.{0}", "$"),
+    _found([(f"{h}.", h) for h in URL_HOSTS], r"^([^/]*\.)?{0}", r"\."),
+    _found([(f"{o}-{g}.", f"{o}-{g}") for o, g in _OFFERS], r"^([^/]*\.)?{0}", r"\."),
+    _found([(f"/{o}-{g}", f"{o}-{g}") for o, g in _OFFERS], "/{0}", f"({_CUT}|$)"),
+))
+_STAYS = _found(
+    [(f"{h}./{s}", h, s) for h in URL_HOSTS for s in URL_SECTIONS], r"^([^/]*\.)?{0}\..*" + _CUT, f"{{1}}({_CUT}|$)"
+)
 ORACLES["op4_urls"] = rf"""
 WITH cut AS (
   SELECT page_id, coalesce(regexp_extract(url, '(?s)^(.*?)://([^/?#]*)([^?#]*)', 2), '') AS raw_host,
@@ -105,11 +146,16 @@ fitting AS (
   SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(rules.verdict, length(rule)) AS verdict
   FROM (SELECT DISTINCT host, path FROM addresses) JOIN rules
     ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
-  GROUP BY host, path)
-SELECT page_id, a.host, a.path, rule, coalesce(verdict, CASE
-    WHEN regexp_matches(a.host || a.path, '[^A-Za-z0-9_\-.%]({_WORDS})([^A-Za-z0-9_\-.%]|$)') THEN 'block'
-    WHEN regexp_matches(a.host || a.path, '\.({_ENDS})$') THEN 'block' ELSE 'allow' END) AS verdict
+  GROUP BY host, path),
+others AS (
+  SELECT host, path, {_STAYS} AS stays, least({_BLOCKS}) AS blocks
+  FROM (SELECT DISTINCT host, path, host || path AS address FROM addresses) AS d
+  WHERE NOT EXISTS (SELECT 1 FROM fitting f WHERE f.host = d.host AND f.path = d.path))
+SELECT page_id, a.host, a.path, rule,
+  coalesce(verdict, CASE WHEN stays IS NULL AND blocks IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(stays, blocks) AS pattern
 FROM addresses a LEFT JOIN fitting f ON a.host = f.host AND a.path = f.path
+LEFT JOIN others o ON a.host = o.host AND a.path = o.path
 """
 
 
