@@ -625,6 +625,41 @@ def test_edits_by_anchors_are_an_upper_bound():
         assert found > most or found >= brute.edits(a, b)
 
 
+def test_pairs_far_apart_are_ruled_out():
+    rng = random.Random(17)
+    pairs = []
+    for _ in range(400):
+        a = "".join(rng.choice("abcdefgh é日") for _ in range(rng.randrange(160)))
+        b = list(a) if rng.random() < 0.6 else [rng.choice("abcdefgh é") for _ in a]
+        for _ in range(rng.randrange(len(a) // 3 + 1)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "x", "é", "日本"])
+        pairs.append((a, "".join(b)))
+    for least in (0.8, 0.5):
+        for too_few in (1, lines.TOO_FEW):
+            apart = lines.apart([a for a, _ in pairs], [b for _, b in pairs], least, too_few)
+            alike = np.array([brute.edits(a, b) <= int((1 - least) * max(len(a), len(b)) + 1e-9) for a, b in pairs]) if too_few == 1 else alike
+            assert not (apart & alike).any() and alike.sum() > 100
+            # most of those not alike cost no table
+            assert least < 0.8 or apart.sum() > 0.7 * (~alike).sum()
+    assert lines.apart([], [], 0.8).tolist() == [] and lines.apart(["", "a", ""], ["", "", "ab"], 0.8, 1).tolist() == [False, True, True]
+
+
+def test_tables_behind_line_groups_go(spark, tmp_path):
+    context = spark.sparkContext
+    before = context.getCheckpointDir()
+    context.setCheckpointDir(str(tmp_path))
+    try:
+        gone = lines.repeated(spark.createDataFrame(_line_rows(), "doc_id long, text string"))
+        assert gone.count()
+    finally:
+        if before:
+            context.setCheckpointDir(before)
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.glob("*/*")}
+    # what the result is read from, and nodes of groups
+    assert left == {"line-places", "first-places", "links"}
+
+
 def test_lines_of_odd_documents(odd, empty):
     got = lines.dedup(odd)
     assert got.columns == odd.columns and got.count() == odd.count()
