@@ -83,6 +83,14 @@ GERMAN = "das haus und der fluss mit dem berg den wir sahen als es dort am abend
 RUSSIAN = "дом и река на холме где мы были вечером и это было хорошо "
 
 
+def test_words_held_are_bounded_over_all_languages():
+    from collections import Counter
+
+    some = Counter(map(str, range(language.HELD // 2)))
+    assert not language.too_many({"a": some, "b": some})
+    assert language.too_many({"a": some, "b": some, "c": Counter("x")})
+
+
 def test_learned_counts_are_of_all_texts(spark):
     rows = [("en", ENGLISH)] * 3 + [("de", GERMAN), ("ru", RUSSIAN), (None, "zzz"), ("en", None)]
     model = language.learn(spark.createDataFrame(rows, "lang string, text string").repartition(3))

@@ -42,6 +42,8 @@ LEAST_SHARE = 0.001
 #: Bounds of a word's score, and the cost of a change of language, in nats.
 BOUND, PENALTY = 6.0, 9.0
 REMEMBERED = 400_000
+#: Words, of all languages together, that a task counts before they are added up.
+HELD = 200_000
 #: Characters of words whose n-grams are held at a time.
 PART_CHARS = 200_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -143,6 +145,11 @@ class Model:
         return np.where(fits | ~fits.any(axis=1, keepdims=True), out, -BOUND)
 
 
+def too_many(words: dict[str, Counter]) -> bool:
+    """Whether the counted words of all languages together are more than a task holds."""
+    return sum(map(len, words.values())) > HELD
+
+
 def learn(docs: DataFrame, label: str = "lang", text: str = "text", buckets: int = BUCKETS) -> Model:
     """The model of all texts with a label; labels are few, as languages are.
 
@@ -171,8 +178,9 @@ def learn(docs: DataFrame, label: str = "lang", text: str = "text", buckets: int
             for part in slices(batch, "text"):
                 for lang, t in zip(part.column("label").to_pylist(), part.column("text").to_pylist()):
                     words.setdefault(lang, Counter()).update(WORD.findall(t.lower()))
-                for lang in [k for k, c in words.items() if len(c) > 200_000]:
-                    add(lang)
+                if too_many(words):
+                    for lang in list(words):
+                        add(lang)
         for lang in list(words):
             add(lang)
         rows = [
