@@ -679,6 +679,115 @@ def test_lines_of_odd_documents(odd, empty):
     assert lines.dedup(empty).collect() == []
 
 
+def _crowded_lines():
+    """Lines that share passages, some of them alike, many not."""
+    rng = random.Random(31)
+
+    def words(n):
+        return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8))) for _ in range(n))
+
+    texts = set()
+    for passage in (words(5), words(6), words(12)):
+        for _ in range(90):
+            line = f"{words(rng.randrange(2, 9))} {passage} {words(rng.randrange(1, 5))}"
+            texts.add(line)
+            for _ in range(rng.choice([0, 0, 0, 1, 4])):
+                at = rng.randrange(len(line))
+                texts.add(" ".join((line[:at] + rng.choice("xyz") + line[at + 1 :]).split()))
+    return sorted(texts)
+
+
+def _joined(pairs):
+    union = components.Union()
+    for a, b in pairs:
+        union.join(a, b)
+    return {x: union.find(x) for x in list(union.parent)}
+
+
+def _distinct(spark, texts):
+    chars, sketches = lines.Signer().sketches([x.encode() for x in texts], 0.8)
+    rows = [(k, 1, c, x, [(p["posts"], p["sim"]) for p in s]) for k, (c, x, s) in enumerate(zip(chars, texts, sketches.to_pylist()))]
+    return spark.createDataFrame(rows, lines.DISTINCT).repartition(3)
+
+
+def test_dealt_links_join_what_pairs_join(spark, monkeypatch):
+    texts = _crowded_lines()
+    distinct = _distinct(spark, texts).cache()
+    pairs = lines.first_pairs(distinct, long_list=10**6).select("a", "b")
+    expected = _joined(tuple(r) for r in lines.verified(distinct.select("key", "line"), pairs, 0.8).collect())
+    assert len(set(expected.values())) > 50
+    # all at once, by rounds, with lists cut in parts, and with long lines apart from the others
+    longer = sorted(map(len, texts))[len(texts) // 2]
+    for rounds, settings in ((1, {}), (4, {"ROUND_CHARS": 4 * sum(map(len, texts)), "PART": 8}), (3, {"DEALT_CHARS": longer})):
+        with monkeypatch.context() as patch:
+            for name, value in settings.items():
+                patch.setattr(lines, name, value)
+            made = []
+            found = lines.dealt_links(distinct, 0.8, made) + lines._longest_links(distinct, 0.8, made)
+            assert len(found) == rounds
+            links = [tuple(r) for df in found for r in df.collect()]
+            assert all(lines.within(texts[a], texts[b], 0.8) for a, b in links)
+            assert _joined(links) == expected
+
+
+@pytest.mark.parametrize("settings", [{"SHORT_LIST": 2, "BLOCK": 30, "VERIFIED": 7, "UNIT": 5}, {"SHORT_LIST": 10, "VERIFIED": 100, "LIKELY": 9}, {"LIKELY": 0}])
+@pytest.mark.parametrize("batch", [3, 1000])
+def test_links_of_lists_over_batches(monkeypatch, settings, batch):
+    texts = _crowded_lines()
+    chars, sketches = lines.Signer().sketches([x.encode() for x in texts], 0.8)
+    rows = []
+    for k, (c, x, s) in enumerate(zip(chars, texts, sketches.to_pylist())):
+        rows += [((at << 32) | (least & 0xFFFFFFFF), c, k, p["sim"], p["posts"][:3], x) for p in s for at, least in enumerate(p["posts"][:4])]
+    rows.sort(key=lambda r: r[:3])
+    post, chars, key, sim, before, line = (list(c) for c in zip(*rows))
+    ints = {"post": post, "sub": [0] * len(rows), "part": [0] * len(rows), "key": key, "sim": sim, "chars": chars}
+    entries = pa.table({**ints, "before": pa.array(before, pa.list_(pa.int32())), "line": line})
+    expected, begin = set(), 0
+    for i, (p, c, k, s, _, x) in enumerate(rows):
+        begin = i if post[i] != post[begin] else begin
+        for j in range(begin, i):
+            agree = any(u == v for u, v in zip(np.int64(s).tobytes(), np.int64(sim[j]).tobytes()))
+            if agree and key[j] != k and lines.within(x, line[j], 0.8):
+                expected.add((key[j], k))
+    for name, value in settings.items():
+        monkeypatch.setattr(lines, name, value)
+    found = [tuple(r.values()) for b in lines._lists_linked(iter(entries.to_batches(max_chunksize=batch)), 0.8) for r in b.to_pylist()]
+    assert _joined(found) == _joined(expected) and len(set(found)) < len(expected)
+
+
+def test_lines_that_share_a_passage_fill_no_disk(spark, monkeypatch):
+    texts = _crowded_lines()
+    rows, kept = [(i, x) for i, x in enumerate(texts)], lines.stored
+
+    def counted(df, what, *args, **more):
+        out = kept(df, what, *args, **more)
+        written.append((what, out.count()))
+        return out
+
+    written = []
+    monkeypatch.setattr(lines, "stored", counted)
+    gone = lines.repeated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.id for r in gone.collect()} == {i for i, _, _ in _lines_loop(rows)}
+    # a line is stored a few times, but neither the pairs of lines that are not alike nor the lists they stand in
+    assert sum(n for _, n in written) < 4 * len(rows), written
+
+
+def test_counts_of_characters_keep_what_is_alike():
+    rng = random.Random(23)
+    apart = 0
+    for _ in range(300):
+        a = "".join(rng.choice("abé ") for _ in range(rng.randrange(2, 90)))
+        b = list(a) if rng.random() < 0.7 else [rng.choice("xyz ") for _ in a]
+        for _ in range(rng.randrange(8)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "x", "日"])
+        most = rng.randrange(10)
+        if lines._counts_apart(a, "".join(b), most):
+            apart += 1
+            assert brute.edits(a, "".join(b)) > most
+    assert apart > 30
+
+
 # --- 10: quality ---
 
 
